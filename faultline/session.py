@@ -16,6 +16,7 @@ def local_session(cores: int | str = 8, app: str = "faultline", **conf: str) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
     }
     defaults.update({key.replace("__", "."): value for key, value in conf.items()})
