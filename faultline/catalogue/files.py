@@ -87,16 +87,16 @@ def scan_json_lines(t: Tables) -> DataFrame:
 
 @query(_PLAIN_SQL)
 def scan_json_documents(t: Tables) -> DataFrame:
-    """One JSON array per hour, written over several lines in a .json file of its own."""
+    """JSON arrays of up to 2000 events, each written over several lines in a file of its own."""
     folder = new_folder(t.spark, "documents")
     entry = F.to_json(F.struct("time", "level", "service", "message", "seq"))
-    hours = (
+    entries = F.array_join(F.collect_list(entry), ",\n")
+    documents = (
         _flat(t)
-        .groupBy(F.substring("time", 1, 13).alias("hour"))
-        .agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(entry), ",\n"), F.lit("\n]")).alias("document"))
+        .groupBy(F.expr("seq div 2000").alias("document"))
+        .agg(F.concat(F.lit("[\n"), entries, F.lit("\n]")).alias("text"))
     )
-    # One document per file: the JSON of one hour is bounded by the hour.
-    hours.select("hour", "document").write.partitionBy("hour").text(folder)
+    documents.select("text").write.option("maxRecordsPerFile", 1).text(folder)
     found = files.raw_json(t.spark, [folder], extensions=["txt"])
     return _plain(timeline.to_events(found, as_of()))
 
@@ -183,9 +183,7 @@ def scenario_lookup(t: Tables) -> DataFrame:
             F.concat(F.lit("About "), "o_orderpriority").alias("description"),
         )
     )
-    names.select(body.alias("body"), F.col("o_orderpriority").alias("file")).write.partitionBy(
-        "file"
-    ).text(folder)
+    names.select(body.alias("body")).write.option("maxRecordsPerFile", 1).text(folder)
     catalogue = read_catalogue(t.spark, folder).withColumn("scenario", F.col("name"))
     joined = with_scenario(orders.withColumnRenamed("o_orderpriority", "scenario"), catalogue)
     return joined.groupBy("scenario").agg(

@@ -517,7 +517,7 @@ def trend_baseline(t: Tables) -> DataFrame:
 @query(
     with_log(
         f"""
-SELECT service, string_agg(concat({sql_second("window_start")}, '=', printf('%.3f', error_rate)), ' '
+SELECT service, string_agg(concat({sql_second("window_start")}, '=', printf('%.1f%%', error_rate * 100)), ' '
                            ORDER BY window_start) AS points
 FROM rates GROUP BY 1""",
         _SIX_HOURS,
@@ -528,7 +528,7 @@ def trend_points(t: Tables) -> DataFrame:
     found = trends.data_points(rates, ["service"])
     text = F.transform(
         "data_points",
-        lambda p: F.concat(second(p["ts"]), F.lit("="), F.format_string("%.3f", p["value"])),
+        lambda p: F.concat(second(p["ts"]), F.lit("="), percent_text(p["value"], 1)),
     )
     return found.select("service", F.array_join(text, " ").alias("points"))
 

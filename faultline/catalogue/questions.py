@@ -61,25 +61,28 @@ def conversation_sessions(t: Tables) -> DataFrame:
 
 @query(
     f"""
-WITH {_PAIRS_SQL}
-SELECT c.conv_id, c.session_start, c.session_end, c.questions_count, coalesce(h.history, '') AS history
+WITH {_PAIRS_SQL},
+numbered AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 + 1 AS part FROM pairs),
+parts AS (SELECT conv_id, part, string_agg(concat(turn, '> ', question, ' < ', answer), chr(10) ORDER BY turn) AS history
+          FROM numbered GROUP BY 1, 2)
+SELECT c.*, coalesce(part, 1) AS part, coalesce(history, '') AS history
 FROM (SELECT conv_id, min(turn) AS session_start, max(turn) AS session_end,
              count(*) FILTER (WHERE role = 'user') AS questions_count FROM conversations GROUP BY 1) c
-LEFT JOIN (SELECT conv_id, string_agg(concat(turn, '> ', question, ' < ', answer), chr(10) ORDER BY turn) AS history
-           FROM pairs GROUP BY 1) h USING (conv_id)"""
+LEFT JOIN parts USING (conv_id)"""
 )
 def conversation_export(t: Tables) -> DataFrame:
-    turns = t.table("conversations")
-    stats = context.conversation_stats(turns, "conv_id", "turn", "role")
-    pairs = context.question_answer_pairs(turns)
-    line = F.concat(F.col("turn").cast("string"), F.lit("> "), "question", F.lit(" < "), "answer")
-    history = context.as_text(pairs.withColumnRenamed("turn", "rn").withColumn("turn", F.col("rn")), line, "history", ["conv_id"])
-    return stats.join(history, "conv_id", "left").select(
+    exported = context.conversation_export(t.table("conversations"), pairs_per_part=2)
+    lines = F.transform(
+        "history",
+        lambda p: F.concat(p["turn"].cast("string"), F.lit("> "), p["question"], F.lit(" < "), p["answer"]),
+    )
+    return exported.select(
         "conv_id",
         "session_start",
         "session_end",
         "questions_count",
-        F.coalesce("history", F.lit("")).alias("history"),
+        "part",
+        F.coalesce(F.array_join(lines, "\n"), F.lit("")).alias("history"),
     )
 
 

@@ -56,8 +56,9 @@ def stream_closed_windows(t: Tables) -> DataFrame:
 
 @query(
     with_log(
-        """SELECT 'success' AS status, count(*) AS events_processed,
-                  count(*) FILTER (WHERE level = 'ERROR') AS n_errors, 0::BIGINT AS n_quarantined FROM log_events"""
+        """
+SELECT concat('level ', level) AS what, count(*) AS n FROM log_events GROUP BY 1
+UNION ALL SELECT 'scan success', count(*) FROM log_events"""
     )
 )
 def stream_text_scan(t: Tables) -> DataFrame:
@@ -71,9 +72,10 @@ def stream_text_scan(t: Tables) -> DataFrame:
     )
     scans.awaitTermination()
     read = t.spark.read
-    events = read.parquet(f"{out}/events").agg(F.count_if(F.col("level") == "ERROR").alias("n_errors"))
-    bad = read.parquet(f"{out}/quarantine").agg(F.count(F.lit(1)).alias("n_quarantined"))
-    done = read.parquet(f"{out}/scans").groupBy("status").agg(
-        F.sum("events_processed").alias("events_processed")
+    events = read.parquet(f"{out}/events").groupBy(F.concat(F.lit("level "), "level").alias("what"))
+    bad = read.parquet(f"{out}/quarantine").groupBy(F.concat(F.lit("bad "), "reason").alias("what"))
+    scanned = read.parquet(f"{out}/scans").groupBy(F.concat(F.lit("scan "), "status").alias("what"))
+    n = F.count(F.lit(1)).alias("n")
+    return events.agg(n).unionByName(bad.agg(n)).unionByName(
+        scanned.agg(F.sum("events_processed").alias("n"))
     )
-    return done.crossJoin(events).crossJoin(bad)

@@ -12,12 +12,12 @@ from faultline.operators import analysis, timeline, trends
 from faultline.operators.remediation import request_commands, split_requests, with_remediation
 from faultline.sources.tables import json_column, lines_of_column
 
-# DuckDB's \b knows ASCII words only. Where a letter beyond ASCII touches an ASCII
-# word character, the SQL sets a mark of ASCII letters between them and takes it
-# out again after the replacements, so that both sides see the same word bounds.
+# DuckDB's \b knows ASCII words only. The SQL fences letters beyond ASCII with marks
+# whose outer characters are ASCII word characters, and takes the marks out again
+# after the replacements, so that both sides see the same word bounds.
 _MARKED_SQL = """marked AS (
-    SELECT *, regexp_replace(regexp_replace(text, '([À-ÖØ-öø-ÿ])([A-Za-z0-9_])', '\\1Q_Q\\2', 'g'),
-                             '([A-Za-z0-9_])([À-ÖØ-öø-ÿ])', '\\1Q_Q\\2', 'g') AS t
+    SELECT *, regexp_replace(text, '([\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)',
+                             concat('_', chr(1), '_\\1_', chr(1), '_'), 'g') AS t
     FROM documents)"""
 
 _EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
@@ -37,7 +37,7 @@ def _redacted_sql(column: str) -> str:
         (_BEARER, "[REDACTED]"),
     ]:
         made = f"regexp_replace({made}, '{pattern}', '{mark}', 'g')"
-    return f"replace({made}, 'Q_Q', '')"
+    return f"regexp_replace({made}, concat('_?', chr(1), '_?'), '', 'g')"
 
 
 @query(f"WITH {_MARKED_SQL} SELECT doc_id, {_redacted_sql('t')} AS redacted FROM marked")
@@ -364,16 +364,14 @@ def confidence_tiers(t: Tables) -> DataFrame:
 
 @query(
     """
-SELECT count(*) FILTER (WHERE value / 100.0 BETWEEN 0 AND 1) AS good,
-       count(*) FILTER (WHERE NOT coalesce(value / 100.0 BETWEEN 0 AND 1, false)) AS refused
-FROM events"""
+SELECT CASE WHEN coalesce(value / 100.0 BETWEEN 0 AND 1, false) THEN 'good' ELSE 'refused' END AS kind, count(*) AS n
+FROM events GROUP BY 1"""
 )
 def confidence_check(t: Tables) -> DataFrame:
     scored = t.events.select((F.col("value") / 100.0).alias("confidence_score"))
     good, refused = analysis.split_by_confidence(scored)
-    return good.agg(F.count(F.lit(1)).alias("good")).crossJoin(
-        refused.agg(F.count(F.lit(1)).alias("refused"))
-    )
+    both = good.withColumn("kind", F.lit("good")).unionByName(refused.withColumn("kind", F.lit("refused")))
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 _CAUSES_SQL = """causes AS (

@@ -153,6 +153,37 @@ def conversation_stats(turns: DataFrame, conversation: str, turn: str, role: str
     )
 
 
+def in_parts(df: DataFrame, per_part: int, number: str = "rn", name: str = "part") -> DataFrame:
+    """Cut numbered rows into parts of a bounded size, counted from 1."""
+    return df.withColumn(name, F.expr(f"({number} - 1) div {int(per_part)} + 1"))
+
+
+def conversation_export(
+    turns: DataFrame,
+    conversation: str = "conv_id",
+    turn: str = "turn",
+    role: str = "role",
+    text: str = "text",
+    pairs_per_part: int = 500,
+) -> DataFrame:
+    """Every conversation with its session bounds and all its pairs as an array.
+
+    A conversation of more pairs than a part holds yields several rows.
+    """
+    pairs = question_answer_pairs(turns, conversation, turn, role, text)
+    numbered = in_parts(exact_row_number(pairs, [conversation], [turn], "rn"), pairs_per_part)
+    gathered = numbered.groupBy(conversation, "part").agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("rn", turn, "question", "answer"))),
+            lambda p: F.struct(p[turn].alias(turn), p["question"].alias("question"), p["answer"].alias("answer")),
+        ).alias("history")
+    )
+    stats = conversation_stats(turns, conversation, turn, role)
+    return stats.join(gathered, conversation, "left").withColumn(
+        "part", F.coalesce("part", F.lit(1).cast("long"))
+    )
+
+
 # ---------------------------------------------------------------------------
 # Prompts
 # ---------------------------------------------------------------------------
@@ -167,7 +198,7 @@ def root_cause_prompts(
     numbered in order, and no prompt gathers more lines than a chunk holds.
     """
     numbered = exact_row_number(events, ["incident_id"], list(order), "rn")
-    chunked = numbered.withColumn("chunk", F.expr(f"(rn - 1) div {int(lines_per_chunk)} + 1"))
+    chunked = in_parts(numbered, lines_per_chunk, name="chunk")
     texts = as_text(chunked, event_line(), "log", ["incident_id", "chunk"])
     chunks = texts.groupBy("incident_id").agg(F.max("chunk").alias("n_chunks"))
     ask = (

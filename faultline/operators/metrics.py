@@ -152,20 +152,24 @@ def latest(sessions: DataFrame, keys: Sequence[str], at: Sequence[str]) -> DataF
 
 
 def session_or_latest(requests: DataFrame, sessions: DataFrame, at: Sequence[str]) -> DataFrame:
-    """The session each request names; without a name, the newest of all."""
+    """The session each request names; without a name, the newest of all.
+
+    The newest session is added to the lookup under a key of its own, so that
+    unnamed requests, however many, are an ordinary lookup as well.
+    """
     columns = [c for c in sessions.columns if c != "session_id"]
-    newest = sessions.agg(F.max_by(F.struct("session_id", *columns), F.struct(*at)).alias("_new"))
-    found = lookup_join(
-        requests, sessions.select("session_id", F.struct(*columns).alias("_own")), ["session_id"], "left"
-    ).join(F.broadcast(newest), how="left")
-    unnamed = F.col("session_id").isNull()
+    row = F.struct("session_id", *columns)
+    named = F.concat(F.lit("id:"), F.col("session_id").cast("string"))
+    newest = sessions.agg(F.max_by(row, F.struct(*at)).alias("_row")).select(
+        F.lit("newest").alias("_key"), "_row"
+    )
+    stored = sessions.select(named.alias("_key"), row.alias("_row")).unionByName(newest)
+    keyed = requests.withColumn("_key", F.coalesce(named, F.lit("newest")))
+    found = lookup_join(keyed.withColumnRenamed("session_id", "_asked"), stored, ["_key"], "left")
     return found.select(
         *[c for c in requests.columns if c != "session_id"],
-        F.when(unnamed, F.col("_new.session_id")).otherwise(F.col("session_id")).alias("session_id"),
-        *[
-            F.when(unnamed, F.col(f"_new.{c}")).otherwise(F.col(f"_own.{c}")).alias(c)
-            for c in columns
-        ],
+        F.coalesce("_asked", "_row.session_id").alias("session_id"),
+        *[F.col(f"_row.{c}").alias(c) for c in columns],
     )
 
 

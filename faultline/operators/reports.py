@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from faultline.functions.json_text import parse_analysis
 from faultline.functions.text import bullet_list, cut_text, escape_pipe, numbered_list, percent_text
 from faultline.functions.timestamps import iso_text, timestamp_text
-from faultline.operators.context import as_text, first_events
+from faultline.operators.context import as_text, first_events, in_parts
 from faultline.operators.metrics import ORDER
 from faultline.schema import (
     HISTORY_ANSWER_CHARS,
@@ -19,6 +19,9 @@ from faultline.schema import (
     MARKDOWN_EVENTS,
 )
 
+# Questions and answers that one report row holds.
+HISTORY_PART = 500
+
 
 def report_id(given: Column | None, analysis: Column, default: str) -> Column:
     """The given id, else the one in the analysis, else the default."""
@@ -50,7 +53,7 @@ def timeline_table(events: DataFrame, order: Sequence[str] = ORDER) -> DataFrame
     return as_text(first_events(events, MARKDOWN_EVENTS, order), row, "rows")
 
 
-def history_text(history: DataFrame) -> DataFrame:
+def history_parts(history: DataFrame, per_part: int = HISTORY_PART) -> DataFrame:
     """Questions with shortened answers (``incident_id``, ``rn``, ``question``, ``answer``)."""
     entry = F.concat(
         F.lit("**Q:** "),
@@ -59,7 +62,7 @@ def history_text(history: DataFrame) -> DataFrame:
         cut_text(F.col("answer"), HISTORY_ANSWER_CHARS),
         F.lit("\n"),
     )
-    return as_text(history, entry, "history")
+    return as_text(in_parts(history, per_part), entry, "history", ["incident_id", "part"])
 
 
 def markdown_reports(
@@ -69,12 +72,18 @@ def markdown_reports(
     history: DataFrame | None = None,
     order: Sequence[str] = ORDER,
 ) -> DataFrame:
-    """A Markdown report per incident (``incident_id``, ``analysis``, ``command``)."""
+    """A Markdown report per incident (``incident_id``, ``analysis``, ``command``).
+
+    ``history`` holds numbered questions and answers. The first part of them is
+    in the report; a longer history goes on in rows of its own (``part`` 2, 3, ...).
+    """
     base = analyses.withColumn("_a", parse_analysis(F.col("analysis"))).join(
         timeline_table(events, order), "incident_id", "left"
     )
     if history is not None:
-        base = base.join(history_text(history), "incident_id", "left")
+        parts = history_parts(history)
+        first = parts.filter("part = 1").select("incident_id", "history")
+        base = base.join(first, "incident_id", "left")
     else:
         base = base.withColumn("history", F.lit(None).cast("string"))
     a, command = F.col("_a"), F.col("command")
@@ -108,7 +117,12 @@ def markdown_reports(
             F.concat(F.lit("\n## Questions and answers\n\n"), F.col("history")),
         ),
     )
-    return base.select("incident_id", report.alias("report"))
+    if history is None:
+        return base.select("incident_id", report.alias("report"))
+    further = parts.filter("part > 1").select("incident_id", "part", F.col("history").alias("report"))
+    return base.select(
+        "incident_id", F.lit(1).cast("long").alias("part"), report.alias("report")
+    ).unionByName(further)
 
 
 def json_timeline(events: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
@@ -134,7 +148,10 @@ def json_reports(
     history: DataFrame | None = None,
     order: Sequence[str] = ORDER,
 ) -> DataFrame:
-    """A JSON report per incident (``incident_id``, ``analysis``, ``command``)."""
+    """A JSON report per incident (``incident_id``, ``analysis``, ``command``).
+
+    A history longer than one part goes on in rows of its own, as in Markdown.
+    """
     base = analyses.withColumn("_a", parse_analysis(F.col("analysis"))).join(
         json_timeline(events, order), "incident_id", "left"
     )
@@ -145,12 +162,12 @@ def json_reports(
             "answer",
             F.coalesce(F.col("timestamp").cast("string"), F.lit("")).alias("timestamp"),
         )
-        investigation = history.groupBy("incident_id").agg(
+        parts = in_parts(history, HISTORY_PART).groupBy("incident_id", "part").agg(
             F.transform(
                 F.sort_array(F.collect_list(F.struct("rn", entry.alias("e")))), lambda s: s["e"]
             ).alias("investigation")
         )
-        base = base.join(investigation, "incident_id", "left")
+        base = base.join(parts.filter("part = 1").drop("part"), "incident_id", "left")
     else:
         base = base.withColumn("investigation", F.lit(None).cast(asked))
     a = F.col("_a")
@@ -173,7 +190,16 @@ def json_reports(
         F.coalesce("timeline", F.array().cast(events_type)).alias("timeline"),
         F.coalesce("investigation", F.array().cast(asked)).alias("investigation"),
     )
-    return base.select("incident_id", F.to_json(report).alias("report"))
+    if history is None:
+        return base.select("incident_id", F.to_json(report).alias("report"))
+    further = parts.filter("part > 1").select(
+        "incident_id",
+        "part",
+        F.to_json(F.struct("incident_id", "part", "investigation")).alias("report"),
+    )
+    return base.select(
+        "incident_id", F.lit(1).cast("long").alias("part"), F.to_json(report).alias("report")
+    ).unionByName(further)
 
 
 def reports(analyses: DataFrame, events: DataFrame, generated_at: Column, kind: str, **more) -> DataFrame:
