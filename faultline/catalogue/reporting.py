@@ -9,7 +9,7 @@ from faultline.catalogue.incidents import as_of
 from faultline.catalogue.questions import rule_analyses
 from faultline.catalogue.registry import Tables, query, sql_second, with_log
 from faultline.operators import alerts, analysis, context, metrics, outbox, remediation, reports
-from faultline.functions.json_text import parse_prediction
+from faultline.functions.json_text import with_prediction
 
 _CAUSE = analysis.FALLBACK_CAUSE.replace("'", "''")
 
@@ -291,7 +291,7 @@ FROM tails WHERE fatals = 0 AND warnings >= 3""",
     )
 )
 def predicted_alerts(t: Tables) -> DataFrame:
-    parsed = _replies(t).select("incident_id", parse_prediction(F.col("reply")).alias("prediction"))
+    parsed = with_prediction(_replies(t))
     found = alerts.predicted_alerts(parsed, as_of())
     return found.select(
         "incident_id",
@@ -316,7 +316,7 @@ GROUP BY 1""",
     )
 )
 def alerts_of_both_kinds(t: Tables) -> DataFrame:
-    parsed = _replies(t).select("incident_id", parse_prediction(F.col("reply")).alias("prediction"))
+    parsed = with_prediction(_replies(t))
     both = alerts.all_alerts(
         alerts.error_rate_alerts(t.log_events, as_of()), alerts.predicted_alerts(parsed, as_of())
     )

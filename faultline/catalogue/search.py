@@ -46,4 +46,4 @@ WHERE rank <= 5"""
 def keyword_search(t: Tables) -> DataFrame:
     words = search.words_of(F.col("text"))
     keywords = t.table("benchmark").select(F.explode(words).alias("keyword")).distinct()
-    return search.keyword_search(t.table("documents"), keywords, 5)
+    return search.keyword_search(t.spread("documents"), keywords, 5)

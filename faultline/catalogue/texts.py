@@ -42,7 +42,7 @@ def _redacted_sql(column: str) -> str:
 
 @query(f"WITH {_MARKED_SQL} SELECT doc_id, {_redacted_sql('t')} AS redacted FROM marked")
 def redact_documents(t: Tables) -> DataFrame:
-    return t.table("documents").select("doc_id", redact.redact(F.col("text")).alias("redacted"))
+    return t.spread("documents").select("doc_id", redact.redact(F.col("text")).alias("redacted"))
 
 
 @query(
@@ -59,7 +59,7 @@ FROM marked GROUP BY 1"""
 def pii_counts_by_source(t: Tables) -> DataFrame:
     found = redact.found_kinds(F.col("text"))
     return (
-        t.table("documents")
+        t.spread("documents")
         .groupBy("source")
         .agg(
             F.count(F.lit(1)).alias("n_documents"),
@@ -77,7 +77,7 @@ _LINES_SQL = """lines AS (
 
 @query(f"WITH {_LINES_SQL} SELECT doc_id, line_number, line FROM lines")
 def document_lines(t: Tables) -> DataFrame:
-    return lines_of_column(t.table("documents"), "text", ["doc_id"])
+    return lines_of_column(t.spread("documents"), "text", ["doc_id"])
 
 
 _SYNTHETIC_SQL = """synthetic AS (
@@ -169,7 +169,7 @@ def timestamp_formats(t: Tables) -> DataFrame:
     chain = F
     for i, (spark_format, _) in enumerate(_FORMATS):
         chain = chain.when(F.col("event_id") % 8 == i, F.date_format("ts", spark_format))
-    written = t.events.select("event_id", chain.otherwise(None).alias("written"))
+    written = t.spread("events").select("event_id", chain.otherwise(None).alias("written"))
     return written.select(
         "event_id",
         stamp(timestamps.parse_timestamp(F.col("written"))).alias("parsed"),
@@ -276,7 +276,7 @@ def _replies(t: Tables) -> DataFrame:
         .when(kind == "purchase", props)
         .otherwise(F.concat(F.lit("no object, only "), F.col("event_id").cast("string")))
     )
-    return t.events.select("event_id", reply.alias("reply"))
+    return t.spread("events").select("event_id", reply.alias("reply"))
 
 
 @query(
@@ -307,7 +307,7 @@ SELECT event_id, CASE WHEN event_type = 'error'
 FROM replies"""
 )
 def json_by_strategy(t: Tables) -> DataFrame:
-    return _replies(t).select("event_id", json_text.extract_json(F.col("reply")).alias("found"))
+    return json_text.extract_json(_replies(t), "reply", "found").drop("reply")
 
 
 @query(
@@ -416,7 +416,7 @@ def remediation_commands(t: Tables) -> DataFrame:
         .when(kind == "view", "the Payment-Service was deployed again")
         .otherwise(F.concat(F.lit('{"root_cause_description":"heap of user-service '), user, F.lit('"}')))
     )
-    made = with_remediation(t.events.select("event_id", cause.alias("analysis")))
+    made = with_remediation(t.spread("events").select("event_id", cause.alias("analysis")))
     return made.drop("analysis")
 
 

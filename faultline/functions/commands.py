@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from faultline.functions.json_text import is_json, outer_object
-from faultline.functions.text import before_tag, is_blank
-from faultline.schema import ANALYSIS, DEFAULT_SERVICE, REMEDIATION_SERVICES, UNDO_WORDS
+from faultline.functions.text import is_blank
+from faultline.schema import DEFAULT_SERVICE, REMEDIATION_SERVICES, UNDO_WORDS
 
 
 def clean_name(name: Column) -> Column:
@@ -51,27 +50,6 @@ def scale_command(service: Column, replicas: Column, namespace: Column) -> Colum
     )
 
 
-def remediation_service(analysis: Column) -> Column:
-    """The first affected component, else the first known service named."""
-    parsed = F.from_json(outer_object(analysis), ANALYSIS)
-    first = F.get(parsed["affected_components"], F.lit(0))
-    named = F.when(is_json(outer_object(analysis)), first)
-    return before_tag(F.coalesce(named, first_known_service(analysis)))
-
-
-def remediation_command(analysis: Column, namespace: str = "default") -> Column:
-    """The command for an analysis reply, whether or not it holds JSON."""
-    found = outer_object(analysis)
-    cause = F.when(
-        is_json(found), F.from_json(found, ANALYSIS)["root_cause_description"]
-    )
-    return rollout_command(
-        remediation_action(F.coalesce(cause, analysis)),
-        remediation_service(analysis),
-        F.lit(namespace),
-    )
-
-
 def invalid_request(service: Column, replicas: Column | None = None) -> Column:
     """Why a command request must be turned down; null for a good one."""
     reason = F.when(service.isNull() | is_blank(service), "empty service name")

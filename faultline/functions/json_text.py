@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.text import cut_text, strip
@@ -91,53 +91,64 @@ def balanced_object(text: Column) -> Column:
     )
 
 
-def extract_json(text: Column) -> Column:
-    """The JSON object of a reply by four strategies, or an error object.
+def extract_json(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the JSON object of a reply, found by four strategies, or an error object.
 
-    A fenced block, balanced braces, braces two levels deep, the whole text: the
-    later ones are evaluated only where the earlier ones found nothing valid.
+    A fenced block, balanced braces, braces two levels deep, the whole text. Each
+    is a step of its own, tried only on the rows that the steps before it left.
     """
-
-    def valid(candidate: Column) -> Column:
-        return F.when(is_json(candidate), candidate)
-
+    reply = F.col(text)
+    steps = [
+        _found(reply, _FENCED),
+        balanced_object(reply),
+        _found(reply, _TWO_LEVELS),
+        strip(reply),
+    ]
+    found, tried = F.col("_found"), F.col("_tried")
+    staged = df.withColumn("_found", F.lit(None).cast("string"))
+    for step in steps:
+        staged = staged.withColumn("_tried", F.when(found.isNull(), step)).withColumn(
+            "_found", F.when(is_json(tried), tried).otherwise(found)
+        )
     failed = F.to_json(
         F.struct(
             F.lit("no JSON object found in the reply").alias("error"),
             F.when(
-                F.length(text) > RAW_ANALYSIS_CHARS,
-                F.concat(cut_text(text, RAW_ANALYSIS_CHARS), F.lit("...")),
+                F.length(reply) > RAW_ANALYSIS_CHARS,
+                F.concat(cut_text(reply, RAW_ANALYSIS_CHARS), F.lit("...")),
             )
-            .otherwise(text)
+            .otherwise(reply)
             .alias("raw_response"),
         )
     )
-    return F.coalesce(
-        valid(_found(text, _FENCED)),
-        valid(balanced_object(text)),
-        valid(_found(text, _TWO_LEVELS)),
-        valid(strip(text)),
-        failed,
-    )
+    return staged.withColumn(name, F.coalesce(found, failed)).drop("_found", "_tried")
+
 
+def with_analysis(df: DataFrame, text: str = "analysis", name: str = "_a") -> DataFrame:
+    """Add an analysis reply as a struct; text that is no JSON becomes the summary.
 
-def parse_analysis(text: Column) -> Column:
-    """An analysis reply as a struct; text that is no JSON becomes the summary."""
-    found = outer_object(text)
+    ``{name}_ok`` tells whether the reply held valid JSON.
+    """
     plain = F.struct(
         *[
-            (cut_text(text, RAW_ANALYSIS_CHARS) if field.name == "summary" else F.lit(None))
+            (cut_text(F.col(text), RAW_ANALYSIS_CHARS) if field.name == "summary" else F.lit(None))
             .cast(field.dataType)
             .alias(field.name)
             for field in ANALYSIS.fields
         ]
     )
-    return F.when(is_json(found), F.from_json(found, ANALYSIS)).otherwise(plain)
+    staged = df.withColumn("_object", outer_object(F.col(text))).withColumn(
+        f"{name}_ok", is_json(F.col("_object"))
+    )
+    parsed = F.when(F.col(f"{name}_ok"), F.from_json("_object", ANALYSIS)).otherwise(plain)
+    return staged.withColumn(name, parsed).drop("_object")
 
 
-def parse_prediction(text: Column) -> Column:
-    found = outer_object(text)
-    return F.when(is_json(found), F.from_json(found, PREDICTION))
+def with_prediction(df: DataFrame, text: str = "reply", name: str = "prediction") -> DataFrame:
+    """Add a prediction reply as a struct; null where it holds no valid JSON."""
+    staged = df.withColumn("_object", outer_object(F.col(text)))
+    parsed = F.when(is_json(F.col("_object")), F.from_json("_object", PREDICTION))
+    return staged.withColumn(name, parsed).drop("_object")
 
 
 def strip_fences(text: Column) -> Column:

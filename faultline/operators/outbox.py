@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.json_text import parse_analysis
+from faultline.functions.json_text import with_analysis
 from faultline.functions.text import bullet_list, cut_text
 from faultline.functions.timestamps import iso_text
 from faultline.functions.tiers import colour_of_severity, priority_of_severity
@@ -120,7 +120,7 @@ def analysis_responses(analyses: DataFrame, usage: DataFrame | None = None) -> D
 
     ``usage`` holds ``incident_id`` and ``used``, the analyses of its client so far.
     """
-    base = analyses
+    base = with_analysis(analyses)
     if usage is not None:
         base = base.join(usage.select("incident_id", "used"), "incident_id", "left")
     else:
@@ -128,7 +128,7 @@ def analysis_responses(analyses: DataFrame, usage: DataFrame | None = None) -> D
     response = F.struct(
         F.lit("success").alias("status"),
         F.col("incident_id").alias("session_id"),
-        parse_analysis(F.col("analysis")).alias("analysis"),
+        F.col("_a").alias("analysis"),
         F.col("command").alias("remediation_command"),
         F.greatest(F.lit(0), F.lit(CLIENT_QUOTA) - F.coalesce("used", F.lit(0))).alias(
             "trial_remaining"

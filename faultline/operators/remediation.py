@@ -7,25 +7,36 @@ from pyspark.sql import functions as F
 
 from faultline.functions.commands import (
     clean_name,
+    first_known_service,
     invalid_request,
     remediation_action,
-    remediation_command,
-    remediation_service,
     rollout_command,
     scale_command,
 )
-from faultline.functions.json_text import parse_analysis
+from faultline.functions.json_text import with_analysis
+from faultline.functions.text import before_tag
 
 
 def with_remediation(analyses: DataFrame, namespace: str = "default") -> DataFrame:
-    """Action, service and command for each ``analysis`` text."""
+    """Action, service and command for each ``analysis`` text.
+
+    Without a root cause the whole text is searched for the action; without an
+    affected component it is searched for a known service.
+    """
     text = F.col("analysis")
-    cause = F.coalesce(parse_analysis(text)["root_cause_description"], text)
-    return analyses.select(
-        "*",
-        remediation_action(cause).alias("action"),
-        remediation_service(text).alias("service"),
-        remediation_command(text, namespace).alias("command"),
+    component = F.when(F.col("_a_ok"), F.get(F.col("_a.affected_components"), F.lit(0)))
+    return (
+        with_analysis(analyses)
+        .withColumns(
+            {
+                "action": remediation_action(F.coalesce("_a.root_cause_description", text)),
+                "service": before_tag(F.coalesce(component, first_known_service(text))),
+            }
+        )
+        .withColumn(
+            "command", rollout_command(F.col("action"), F.col("service"), F.lit(namespace))
+        )
+        .drop("_a", "_a_ok")
     )
 
 

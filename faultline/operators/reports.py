@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.json_text import parse_analysis
+from faultline.functions.json_text import with_analysis
 from faultline.functions.text import bullet_list, cut_text, escape_pipe, numbered_list, percent_text
 from faultline.functions.timestamps import iso_text, timestamp_text
 from faultline.operators.context import as_text, first_events, in_parts
@@ -77,7 +77,7 @@ def markdown_reports(
     ``history`` holds numbered questions and answers. The first part of them is
     in the report; a longer history goes on in rows of its own (``part`` 2, 3, ...).
     """
-    base = analyses.withColumn("_a", parse_analysis(F.col("analysis"))).join(
+    base = with_analysis(analyses).join(
         timeline_table(events, order), "incident_id", "left"
     )
     if history is not None:
@@ -152,7 +152,7 @@ def json_reports(
 
     A history longer than one part goes on in rows of its own, as in Markdown.
     """
-    base = analyses.withColumn("_a", parse_analysis(F.col("analysis"))).join(
+    base = with_analysis(analyses).join(
         json_timeline(events, order), "incident_id", "left"
     )
     asked = "array<struct<question:string,answer:string,timestamp:string>>"
@@ -210,7 +210,7 @@ def reports(analyses: DataFrame, events: DataFrame, generated_at: Column, kind:
 
 def tickets(analyses: DataFrame, generated_at: Column) -> DataFrame:
     """A Markdown ticket per incident (``incident_id``, ``analysis``, ``command``)."""
-    a = parse_analysis(F.col("analysis"))
+    a = F.col("_a")
     components = F.coalesce(a["affected_components"], F.array(F.lit("unknown")))
     text = F.concat_ws(
         "\n",
@@ -229,7 +229,7 @@ def tickets(analyses: DataFrame, generated_at: Column) -> DataFrame:
         ),
         F.concat(F.lit("\n**Generated:** "), timestamp_text(generated_at), F.lit(" UTC")),
     )
-    return analyses.select("incident_id", text.alias("ticket"))
+    return with_analysis(analyses).select("incident_id", text.alias("ticket"))
 
 
 def issue_description(
