@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.catalogue.incidents import as_of
 from faultline.catalogue.registry import Tables, log_view, query, second, sql_second, with_log
+from faultline.operators import timeline
 from faultline.session import new_folder
 from faultline.sources.streams import stream_table, stream_text
-from faultline.operators import timeline
-from faultline.catalogue.incidents import as_of
 from faultline.streaming import monitor
+from faultline.streaming.lifecycle import alert_changes
 
 
 def _event_stream(t: Tables) -> DataFrame:
@@ -54,6 +55,41 @@ def stream_closed_windows(t: Tables) -> DataFrame:
     return closed.select(second("window_start").alias("window_start"), "service", "n_events", "n_errors")
 
 
+@query(
+    with_log(
+        f"""
+SELECT 'opened' AS change, service, {sql_second("window_start")} AS opened_at, NULL::VARCHAR AS resolved_at
+FROM turns WHERE firing
+UNION ALL
+SELECT 'resolved', service, {sql_second("window_start")}, {sql_second("next_start")}
+FROM turns WHERE firing AND next_start IS NOT NULL""",
+        """closed AS (
+    SELECT * FROM (
+        SELECT time_bucket(INTERVAL '6 hours', timestamp, TIMESTAMP '1970-01-01') AS window_start, service,
+               count(*) FILTER (WHERE level = 'ERROR') / count(*) > 0.15 AS firing FROM log_events GROUP BY 1, 2)
+    WHERE window_start + INTERVAL '6 hours' <= (SELECT max(timestamp) FROM log_events) - INTERVAL '1 day')""",
+        """turns AS (
+    SELECT service, window_start, firing,
+           lead(window_start) OVER (PARTITION BY service ORDER BY window_start) AS next_start
+    FROM (SELECT *, coalesce(lag(firing) OVER (PARTITION BY service ORDER BY window_start), false) AS before
+          FROM closed) WHERE firing <> before)""",
+    )
+)
+def stream_alert_changes(t: Tables) -> DataFrame:
+    windows, out = new_folder(t.spark, "windows"), new_folder(t.spark, "changes")
+    monitor.write_windows(
+        _event_stream(t), "6 hours", "1 day", windows, new_folder(t.spark, "state"), once=True
+    ).awaitTermination()
+    closed = stream_table(t.spark, windows, t.spark.read.parquet(windows).schema)
+    changes = alert_changes(closed).writeStream.format("parquet").option("path", out)
+    changes.option("checkpointLocation", new_folder(t.spark, "state")).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    return t.spark.read.parquet(out).select(
+        "change", "service", second("opened_at").alias("opened_at"), second("resolved_at").alias("resolved_at")
+    )
+
+
 @query(
     with_log(
         """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,6 +17,14 @@ from faultline.schema import ERROR_RATE_ALERT, ERROR_RATE_CRITICAL
 SCAN_INTERVAL = "30 seconds"
 
 
+_ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Use the RocksDB state store, whose state may outgrow the memory of executors."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS_DB)
+
+
 def _trigger(once: bool, interval: str) -> dict:
     return {"availableNow": True} if once else {"processingTime": interval}
 
@@ -41,6 +49,8 @@ def write_running(
     newest scan of a key is its present state.
     """
 
+    keep_state_on_disk(rates.sparkSession)
+
     def scan(batch: DataFrame, batch_id: int) -> None:
         (
             batch.withColumn("severity", alert_severity(F.col("error_rate"), high, critical))
@@ -114,6 +124,7 @@ def write_windows(
     interval: str = SCAN_INTERVAL,
 ) -> StreamingQuery:
     """Windowed error rates, each written once when the watermark has closed it."""
+    keep_state_on_disk(events.sparkSession)
     return (
         windowed_rates(events, width, keys, late=late)
         .writeStream.outputMode("append")

@@ -81,3 +81,25 @@ def test_sinks(spark, make_events, tmp_path):
     landed = spark.read.parquet(str(tmp_path / "landed")).filter("day = '1970-01-02'")
     assert landed.count() == 1
     assert "PartitionFilters: [isnotnull(day" in landed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_alert_changes_equal_the_batch_life_cycle(spark, make_events, tmp_path):
+    from faultline.operators.alerts import alert_life_cycle
+    from faultline.streaming.lifecycle import alert_changes
+
+    source, windows, out = (str(tmp_path / n) for n in ("in", "windows", "out"))
+    noisy = [n for n in range(600) if (n // 60) % 3 == 1]
+    events = make_events([("i", n * 10, "ERROR" if n in noisy and n % 3 == 0 else "INFO", f"s{n % 2}", "m") for n in range(600)])
+    for part in (events.filter("seq <= 330"), events.filter("seq > 330")):
+        part.write.mode("append").parquet(source)
+        monitor.write_windows(stream_table(spark, source, events.schema), "5 minutes", "1 minute", windows,
+                              str(tmp_path / "s1"), once=True).awaitTermination()
+        closed = stream_table(spark, windows, spark.read.parquet(windows).schema)
+        (alert_changes(closed).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", str(tmp_path / "s2")).trigger(availableNow=True).start().awaitTermination())
+    batch = alert_life_cycle(spark.read.parquet(windows), ["service"]).collect()
+    changes = spark.read.parquet(out).collect()
+    assert {(r.service, r.opened_at) for r in changes if r.change == "opened"} == {(r.service, r.opened_at) for r in batch}
+    assert {(r.service, r.opened_at, r.resolved_at) for r in changes if r.change == "resolved"} == {
+        (r.service, r.opened_at, r.resolved_at) for r in batch if r.resolved_at is not None}
+    assert len(batch) > 2
