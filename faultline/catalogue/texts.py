@@ -42,7 +42,7 @@ def _redacted_sql(column: str) -> str:
 
 @query(f"WITH {_MARKED_SQL} SELECT doc_id, {_redacted_sql('t')} AS redacted FROM marked")
 def redact_documents(t: Tables) -> DataFrame:
-    return t.spread("documents").select("doc_id", redact.redact(F.col("text")).alias("redacted"))
+    return redact.with_redacted(t.spread("documents"), "text", "redacted").select("doc_id", "redacted")
 
 
 @query(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,13 +11,17 @@ _ANY_LEVEL = r"(?iU)\b(" + "|".join(LEVEL_WORDS) + r")\b"
 
 
 def level_by_priority(text: Column) -> Column:
-    """The most important level word anywhere in the text; null without one."""
-    chain = reduce(
-        lambda found, word: found.when(text.rlike(rf"(?iU)\b{word}\b"), word),
-        LEVEL_WORDS[1:],
-        F.when(text.rlike(rf"(?iU)\b{LEVEL_WORDS[0]}\b"), LEVEL_WORDS[0]),
-    )
-    return F.when(text.rlike(_ANY_LEVEL), chain)
+    """The most important level word anywhere in the text; null without one.
+
+    A plain search in the upper-cased text rules most words out before their
+    regular expression is tried.
+    """
+    upper = F.upper(text)
+
+    def holds(word: str) -> Column:
+        return upper.contains(word) & text.rlike(rf"(?iU)\b{word}\b")
+
+    return F.coalesce(*[F.when(holds(word), F.lit(word)) for word in LEVEL_WORDS])
 
 
 def level_by_position(text: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns and placeholders, in the order in which they apply.
@@ -19,48 +22,78 @@ SECRET_STRICT = (
 )
 EPOCH = r"(?U)\b1[0-9]{9}(?:[0-9]{3})?\b"
 
-# What a text must hold before a pattern can match at all.
-_HAS_DIGITS = r"(?U)\d(?:[^\d]{0,2}\d){9}"
-_HAS_SECRET = r"(?iU)api|secret|token|password|bearer"
+# Cheap tests that hold wherever a pattern can match: digits grouped as in a phone
+# number; a digit and twelve more digits or separators.
+_PHONE_LIKE = r"(?U)\d{3}\D{0,2}\d{3}\D?\d{4}"
+_CARD_LIKE = r"[0-9][0-9 \-]{12}"
+_SECRET_WORDS = ["API", "SECRET", "TOKEN", "PASSWORD", "BEARER"]
 
 
-def redact(text: Column, strict: bool = False) -> Column:
-    """Replace personal data by placeholders.
+def _has_card(text: Column) -> Column:
+    # Digits beyond ASCII count as digits too; texts that may hold some all pass.
+    return text.rlike(_CARD_LIKE) | (F.octet_length(text) != F.length(text))
 
-    The costly patterns run only where a cheap test on the original text says
-    they can match; a replacement never creates new material for a later one.
-    """
-    mail = F.when(text.contains("@"), F.regexp_replace(text, EMAIL, "[EMAIL]")).otherwise(text)
-    if strict:
-        return _strict(text, mail)
-    digits = F.when(
-        text.rlike(_HAS_DIGITS),
-        F.regexp_replace(F.regexp_replace(mail, PHONE, "[PHONE]"), CARD, "[CARD]"),
-    ).otherwise(mail)
-    return F.when(
-        text.rlike(_HAS_SECRET),
-        F.regexp_replace(
-            F.regexp_replace(digits, SECRET, "[REDACTED]"), BEARER, "[REDACTED]"
-        ),
-    ).otherwise(digits)
-
-
-def _strict(text: Column, mail: Column) -> Column:
-    secrets = F.when(
-        text.rlike(_HAS_SECRET),
-        F.regexp_replace(
-            F.regexp_replace(mail, SECRET_STRICT, "[REDACTED]"), BEARER, "[REDACTED]"
-        ),
-    ).otherwise(mail)
+
+def _has_secret_word(text: Column) -> Column:
+    # The Kelvin sign and the long s are a k and an s to a pattern without case.
+    upper = F.upper(text)
+    words = reduce(lambda a, b: a | b, [upper.contains(word) for word in _SECRET_WORDS])
+    return words | text.contains("\u212a") | text.contains("\u017f")
+
+
+def _swap(*pairs: tuple[str, str]) -> Callable[[Column], Column]:
+    def replace(value: Column) -> Column:
+        for pattern, mark in pairs:
+            value = F.regexp_replace(value, pattern, mark)
+        return value
+
+    return replace
+
+
+def _steps(text: Column, strict: bool) -> list[tuple[Column, Callable[[Column], Column]]]:
+    """Guard on the original text, and the replacements it guards, in order."""
+    mail = (text.contains("@"), _swap((EMAIL, "[EMAIL]")))
+    secret = SECRET_STRICT if strict else SECRET
+    secrets = (_has_secret_word(text), _swap((secret, "[REDACTED]"), (BEARER, "[REDACTED]")))
+    if not strict:
+        return [
+            mail,
+            (text.rlike(_PHONE_LIKE), _swap((PHONE, "[PHONE]"))),
+            (_has_card(text), _swap((CARD, "[CARD]"))),
+            secrets,
+        ]
     # Ten and thirteen digit epochs are fenced off, then given back.
-    fenced = F.regexp_replace(secrets, EPOCH, "\u0001$0\u0002")
-    numbers = F.regexp_replace(
-        F.regexp_replace(fenced, "(?<!\u0001)" + PHONE + "(?!\u0002)", "[PHONE]"),
-        "(?<!\u0001)" + CARD + "(?!\u0002)",
-        "[CARD]",
+    numbers = _swap(
+        (EPOCH, "\u0001$0\u0002"),
+        ("(?<!\u0001)" + PHONE + "(?!\u0002)", "[PHONE]"),
+        ("(?<!\u0001)" + CARD + "(?!\u0002)", "[CARD]"),
+        ("[\u0001\u0002]", ""),
     )
-    unfenced = F.translate(numbers, "\u0001\u0002", "")
-    return F.when(text.rlike(_HAS_DIGITS), unfenced).otherwise(secrets)
+    return [mail, secrets, (text.rlike(_PHONE_LIKE) | _has_card(text), numbers)]
+
+
+def redact(text: Column, strict: bool = False) -> Column:
+    """Replace personal data by placeholders, as one expression."""
+    made = text
+    for _, replace in _steps(text, strict):
+        made = replace(made)
+    return made
+
+
+def with_redacted(df: DataFrame, source: str, target: str, strict: bool = False) -> DataFrame:
+    """Add the redacted text of a column.
+
+    Each pattern is a step of its own and runs only on rows where its guard says
+    that it can match; the replacements make no new material for later patterns.
+    """
+    if source == target:
+        raise ValueError("the guards need the original text next to the redacted one")
+    staged = df.withColumn(target, F.col(source))
+    for guard, replace in _steps(F.col(source), strict):
+        staged = staged.withColumn(
+            target, F.when(guard, replace(F.col(target))).otherwise(F.col(target))
+        )
+    return staged
 
 
 def redact_metadata(metadata: Column, strict: bool = False) -> Column:
@@ -72,8 +105,8 @@ def found_kinds(text: Column) -> dict[str, Column]:
     """One flag per kind of personal data, each on the unredacted text."""
     return {
         "email": text.contains("@") & text.rlike(EMAIL),
-        "phone": text.rlike(_HAS_DIGITS) & text.rlike(PHONE),
-        "card": text.rlike(_HAS_DIGITS) & text.rlike(CARD),
-        "secret": text.rlike(_HAS_SECRET) & text.rlike(SECRET),
-        "bearer": text.rlike(_HAS_SECRET) & text.rlike(BEARER),
+        "phone": text.rlike(_PHONE_LIKE) & text.rlike(PHONE),
+        "card": _has_card(text) & text.rlike(CARD),
+        "secret": _has_secret_word(text) & text.rlike(SECRET),
+        "bearer": _has_secret_word(text) & text.rlike(BEARER),
     }

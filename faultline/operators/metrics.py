@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline.functions.levels import level_rank
 from faultline.plans.joins import lookup_join
@@ -15,6 +16,24 @@ INCIDENT = ("incident_id",)
 ORDER = ("timestamp", "seq")
 
 
+def earliest(df: DataFrame, order: Sequence[str], where: Column | None = None) -> Column:
+    """Aggregate: the first place in the order, to be compared with others only.
+
+    A timestamp with an integer is packed into one number, (time, place) with the
+    place made non-negative, which a hash aggregate can hold. Other orders are the
+    minimum of a struct, for which Spark sorts.
+    """
+    types = [df.schema[c].dataType for c in order]
+    if len(types) == 2 and isinstance(types[0], T.TimestampType) and isinstance(types[1], T.IntegralType):
+        wide = "decimal(20,0)"
+        micros = F.unix_micros(F.col(order[0])).cast(wide)
+        place = F.col(order[1]).cast(wide) + F.lit("9223372036854775808").cast(wide)
+        at = micros * F.lit("20000000000000000000").cast(wide) + place
+    else:
+        at = F.struct(*order)
+    return F.min(at if where is None else F.when(where, at))
+
+
 def is_error(level: Column | None = None) -> Column:
     return F.upper(level if level is not None else F.col("level")) == "ERROR"
 
@@ -40,7 +59,7 @@ def errors_per_service(events: DataFrame, order: Sequence[str] = ORDER) -> DataF
     counted = (
         events.filter(is_failure())
         .groupBy("incident_id", "service")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("_first"))
+        .agg(F.count(F.lit(1)).alias("n"), earliest(events, order).alias("_first"))
     )
     by_count = Window.partitionBy("incident_id").orderBy(F.desc("n"), "_first")
     return counted.withColumn("rank", F.row_number().over(by_count).cast("long")).drop("_first")
@@ -58,7 +77,7 @@ def services_by_appearance(
     """
     wanted = events.filter(F.col("service").isNotNull())
     wanted = wanted.filter(is_error() if errors_only else F.col("service") != "")
-    seen = wanted.groupBy(*keys, "service").agg(F.min(F.struct(*order)).alias("_first"))
+    seen = wanted.groupBy(*keys, "service").agg(earliest(events, order).alias("_first"))
     by_first = Window.partitionBy(*keys).orderBy("_first")
     return seen.withColumn("place", F.row_number().over(by_first).cast("long")).drop("_first")
 

@@ -16,7 +16,7 @@ from faultline.functions.normalize import (
     event_service,
     event_time,
 )
-from faultline.functions.redact import redact, redact_metadata
+from faultline.functions.redact import redact_metadata, with_redacted
 from faultline.functions.timestamps import find_timestamp
 from faultline.plans.ranking import exact_row_number
 from faultline.sources.files import raw_rows
@@ -56,12 +56,12 @@ def to_events(
         "line_number",
         metadata.alias("metadata"),
     )
-    return read.select(
+    return with_redacted(read, "_message", "message", strict_redaction).select(
         "incident_id",
         F.coalesce("_time", as_of).alias("timestamp"),
         "level",
         "service",
-        redact(F.col("_message"), strict_redaction).alias("message"),
+        "message",
         "source_file",
         "line_number",
         "metadata",

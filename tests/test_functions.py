@@ -28,11 +28,17 @@ CASES = {
 }
 
 
-def test_redaction_by_hand(column):
+def staged(spark, values, strict=False):
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    return [r.r for r in redact.with_redacted(frame, "v", "r", strict).orderBy("i").collect()]
+
+
+def test_redaction_by_hand(spark, column):
     assert column(redact.redact, list(CASES)) == list(CASES.values())
+    assert staged(spark, list(CASES)) == list(CASES.values())
 
 
-def test_redaction_equals_the_patterns_applied_in_turn(column):
+def test_redaction_equals_the_patterns_applied_in_turn(spark, column):
     """The guards that skip a pattern never change the outcome."""
     patterns = [
         (redact.EMAIL, "[EMAIL]", 0),
@@ -43,23 +49,25 @@ def test_redaction_equals_the_patterns_applied_in_turn(column):
     ]
     rng = random.Random(7)
     pieces = ["a@b.co", "555", "-", " ", "1234", "123", "4111111111111", "token", "=", ":", "Bearer", "é", "x",
-              "(", ")", ".", "+1", "api_key", "PASSWORD", "\n", "_", "0", "12"]
-    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 25))) for _ in range(600)]
+              "(", ")", ".", "+1", "api_key", "PASSWORD", "\n", "_", "0", "12", "\u017fecret", "to\u212aen", "\u0663"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 25))) for _ in range(3000)]
+    texts += ["".join(rng.choice("0123 -(.)") for _ in range(rng.randint(10, 30))) for _ in range(3000)]
 
     def plain(value):
         for pattern, mark, flags in patterns:
             value = re.sub(pattern, mark, value, flags=flags)
         return value
 
-    assert column(redact.redact, texts) == [plain(t) for t in texts]
+    expected = [plain(t) for t in texts]
+    assert column(redact.redact, texts) == expected
+    assert staged(spark, texts) == expected
 
 
-def test_strict_redaction_closes_the_gaps(column):
-    strict = lambda c: redact.redact(c, strict=True)
-    assert column(
-        strict,
-        ["token: Bearer abcdef123", "client_secret=abc", "epoch 1705312200 x", "tel 555-123-4567 a@b.co"],
-    ) == ["[REDACTED]", "[REDACTED]", "epoch 1705312200 x", "tel [PHONE] [EMAIL]"]
+def test_strict_redaction_closes_the_gaps(spark, column):
+    values = ["token: Bearer abcdef123", "client_secret=abc", "epoch 1705312200 x", "tel 555-123-4567 a@b.co"]
+    expected = ["[REDACTED]", "[REDACTED]", "epoch 1705312200 x", "tel [PHONE] [EMAIL]"]
+    assert column(lambda c: redact.redact(c, strict=True), values) == expected
+    assert staged(spark, values, strict=True) == expected
 
 
 def test_metadata_redaction(spark):
@@ -109,8 +117,9 @@ def test_epoch_seconds(column):
 def test_timestamp_in_text(column):
     assert column(
         timestamps.find_timestamp,
-        ["2024-01-15 10:30:00 ERROR x", "[2024-01-15T10:30:00.9Z] boom", "at 99/99/2024 10:30:00", "none"],
-    ) == [AT, AT, None, None]
+        ["2024-01-15 10:30:00 ERROR x", "[2024-01-15T10:30:00.9Z] boom", "at 99/99/2024 10:30:00", "none",
+         "0000-01-01 10:00:00", "2024-02-30 10:00:00 or 2024-01-15T10:30:00", "01/15/2024 10:30:00"],
+    ) == [AT, AT, None, None, None, AT, AT]
 
 
 def test_levels(column):
