@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.timestamps import from_seconds, parse_timestamp
@@ -21,18 +21,19 @@ def first_present(fields: Column, keys: Sequence[str]) -> Column:
     return chain.otherwise(F.lit(None).cast("string"))
 
 
-def event_time(fields: Column, seconds: Column | None = None) -> Column:
-    """The first timestamp alias that can be read.
+def with_event_time(df: DataFrame, name: str, fields: str = "fields", seconds: str = "seconds") -> DataFrame:
+    """Add the first timestamp alias that can be read, of a field map.
 
-    ``seconds`` maps keys to values that were numbers in the source; those are
-    epochs, while the same digits inside quotes are not a timestamp.
+    The map ``seconds`` holds values that were numbers in the source; those are
+    epochs, while the same digits inside quotes are not a timestamp. The aliases
+    are looked up once, ahead of the tries.
     """
+    texts = {f"_time_{i}": F.try_element_at(fields, F.lit(k)) for i, k in enumerate(TIMESTAMP_KEYS)}
     tried = []
-    for key in TIMESTAMP_KEYS:
-        if seconds is not None:
-            tried.append(from_seconds(F.try_element_at(seconds, F.lit(key))))
-        tried.append(parse_timestamp(F.try_element_at(fields, F.lit(key))))
-    return F.coalesce(*tried)
+    for column, key in zip(texts, TIMESTAMP_KEYS):
+        tried.append(from_seconds(F.try_element_at(seconds, F.lit(key))))
+        tried.append(parse_timestamp(F.col(column)))
+    return df.withColumns(texts).withColumn(name, F.coalesce(*tried)).drop(*texts)
 
 
 def event_level(fields: Column) -> Column:

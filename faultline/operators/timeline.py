@@ -14,7 +14,7 @@ from faultline.functions.normalize import (
     event_message,
     event_metadata,
     event_service,
-    event_time,
+    with_event_time,
 )
 from faultline.functions.redact import redact_metadata, with_redacted
 from faultline.functions.timestamps import find_timestamp
@@ -42,10 +42,11 @@ def to_events(
     metadata = F.coalesce(event_metadata(fields), F.create_map().cast("map<string,string>"))
     if redact_extras:
         metadata = redact_metadata(metadata, strict_redaction)
-    read = raw.filter(F.col("reason").isNull()).select(
+    timed = with_event_time(raw.filter(F.col("reason").isNull()), "_field_time")
+    read = timed.select(
         (incident_id if incident_id is not None else F.col("source_file")).alias("incident_id"),
         F.when(is_text, find_timestamp(line))
-        .otherwise(event_time(fields, F.col("seconds")))
+        .otherwise(F.col("_field_time"))
         .alias("_time"),
         F.when(is_text, F.coalesce(level_by_priority(line), F.lit("INFO")))
         .otherwise(event_level(fields))
