@@ -20,7 +20,7 @@ def _write_text(t: Tables) -> str:
     """Text logs with a blank line between any two lines."""
     folder = new_folder(t.spark, "text")
     line = F.concat(second("timestamp"), F.lit(" "), "level", F.lit(" "), "service", F.lit(": #"), F.col("seq").cast("string"))
-    t.log_events.select(F.concat(line, F.lit("\n  "))).write.option("lineSep", "\n").text(folder)
+    t.spread_log.select(F.concat(line, F.lit("\n  "))).write.option("lineSep", "\n").text(folder)
     return folder
 
 
@@ -75,7 +75,7 @@ _PLAIN_SQL = with_log(f"SELECT seq, {sql_second('timestamp')} AS timestamp, leve
 
 
 def _flat(t: Tables) -> DataFrame:
-    return t.log_events.select(second("timestamp").alias("time"), "level", "service", "message", "seq")
+    return t.spread_log.select(second("timestamp").alias("time"), "level", "service", "message", "seq")
 
 
 @query(_PLAIN_SQL)

@@ -37,8 +37,13 @@ class Tables:
     def log_events(self) -> DataFrame:
         return log_view(self.events)
 
+    @property
+    def spread_log(self) -> DataFrame:
+        """The event view for costly row work, with the type of each event."""
+        return log_view(self.spread("events"), "event_type")
+
 
-def log_view(events: DataFrame) -> DataFrame:
+def log_view(events: DataFrame, *more: str) -> DataFrame:
     """The ``events`` table as log events; one incident per day."""
     kind, value = F.col("event_type"), F.col("value")
     level = (
@@ -55,6 +60,7 @@ def log_view(events: DataFrame) -> DataFrame:
         F.concat(F.lit("svc-"), (F.col("user_id") % 7).cast("string")).alias("service"),
         F.concat(kind, F.lit(" by user "), F.col("user_id").cast("string")).alias("message"),
         F.col("event_id").alias("seq"),
+        *more,
     )
 
 

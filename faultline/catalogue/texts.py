@@ -96,7 +96,7 @@ def _synthetic(t: Tables) -> DataFrame:
     line = F.concat(
         second("timestamp"), F.lit(" "), "level", F.lit(" "), "service", F.lit(": "), "message", tail
     )
-    return t.log_events.select("seq", line.alias("line"))
+    return t.spread_log.select("seq", line.alias("line"))
 
 
 @query(
@@ -198,10 +198,9 @@ def _field_json(t: Tables) -> DataFrame:
     def body(*pairs) -> Column:
         return F.to_json(F.struct(*[value.alias(name) for name, value in pairs]))
 
-    base = t.log_events.join(t.events.select(F.col("event_id").alias("seq"), "event_type"), "seq")
     epoch = F.unix_timestamp("timestamp")
     kind = F.col("event_type")
-    return base.select(
+    return t.spread_log.select(
         "seq",
         F.when(kind == "error", body(("timestamp", when), ("level", level), ("service", service), ("message", message), ("n", number)))
         .when(kind == "view", body(("@timestamp", when), ("severity", level), ("component", service), ("msg", message)))

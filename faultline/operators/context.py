@@ -179,8 +179,10 @@ def conversation_export(
         ).alias("history")
     )
     stats = conversation_stats(turns, conversation, turn, role)
-    return stats.join(gathered, conversation, "left").withColumn(
-        "part", F.coalesce("part", F.lit(1).cast("long"))
+    exported = lookup_join(gathered, stats, [conversation], spread=F.col("part"))
+    silent = stats.join(gathered.filter("part = 1").select(conversation), conversation, "left_anti")
+    return exported.unionByName(
+        silent.withColumn("part", F.lit(1).cast("long")), allowMissingColumns=True
     )
 
 
@@ -200,13 +202,13 @@ def root_cause_prompts(
     numbered = exact_row_number(events, ["incident_id"], list(order), "rn")
     chunked = in_parts(numbered, lines_per_chunk, name="chunk")
     texts = as_text(chunked, event_line(), "log", ["incident_id", "chunk"])
-    chunks = texts.groupBy("incident_id").agg(F.max("chunk").alias("n_chunks"))
+    chunks = chunked.groupBy("incident_id").agg(F.max("chunk").alias("n_chunks"))
     ask = (
         "Find the root cause of the incident in the log below. Reply with one JSON object and "
         "nothing else. Its fields: summary (one sentence), root_cause_description (two or three "
         "sentences), affected_components (list of service names), confidence_score (0 to 1)."
     )
-    return texts.join(chunks, "incident_id").select(
+    return lookup_join(texts, chunks, ["incident_id"], spread=F.col("chunk")).select(
         "incident_id",
         "chunk",
         "n_chunks",

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.plans.joins import fits_broadcast, lookup_join
+from faultline.plans.joins import held_lookup, lookup_join
 from faultline.plans.ranking import first_n
 
 # Query vectors that every task holds at once; more are searched block by block.
@@ -55,10 +55,11 @@ def nearest_vectors(
     rows per query, never all pairs. Few queries travel to every task; many are
     cut into blocks, and each block meets each block of vectors in a task of its own.
     """
-    if fits_broadcast(queries, block):
-        found = _against_few(vectors, queries, k)
+    held, few = held_lookup(queries.select("query_id", "embedding"), max_rows=block)
+    if few:
+        found = _against_few(vectors, held, k)
     else:
-        found = _block_by_block(vectors, queries, k, block)
+        found = _block_by_block(vectors, held, k, block)
     return first_n(found, ["query_id"], [F.desc("similarity"), "vec_id"], k, "rank")
 
 

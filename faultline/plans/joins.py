@@ -7,13 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.plans.cut import cut
+
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 64
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; stops counting beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def held_lookup(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> tuple[DataFrame, bool]:
+    """A lookup table computed once and held, and whether it may be broadcast.
+
+    Rows and bytes are counted on the held table, so that neither the count nor
+    the join computes it again.
+    """
+    held = cut(df)
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in held.columns]))
+    size = held.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")
+    ).first()
+    return held, size["rows"] <= max_rows and size["bytes"] <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A held lookup table, marked for broadcast when its counted size allows it."""
+    held, small = held_lookup(df)
+    return F.broadcast(held) if small else held
 
 
 def lookup_join(
@@ -26,18 +46,17 @@ def lookup_join(
 ) -> DataFrame:
     """Join a fact side to a lookup side that has few rows per key.
 
-    The lookup is broadcast when a count shows that it is small. Otherwise both
-    sides are salted: each lookup row is copied to every salt, each fact row goes
-    to one, so a hot key is spread over ``SALTS`` tasks. ``how`` may be any type
+    The lookup is broadcast when its counted size allows it. Otherwise both sides
+    are salted: each lookup row is copied to every salt, each fact row goes to
+    one, so a hot key is spread over ``SALTS`` tasks. ``how`` may be any type
     that keeps rows of the large side (inner, left, left_semi, left_anti).
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join type {how} would repeat rows of the copied side")
-    if fits_broadcast(small, max_rows):
-        return large.join(F.broadcast(small), list(keys), how)
+    held, fits = held_lookup(small, max_rows)
+    if fits:
+        return large.join(F.broadcast(held), list(keys), how)
     spread = spread if spread is not None else F.xxhash64(*[F.col(c) for c in large.columns])
     salted = large.withColumn("_salt", F.pmod(spread, F.lit(SALTS)).cast("int"))
-    copies = small.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
+    copies = held.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

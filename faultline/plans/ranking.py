@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.plans.cut import cut
-from faultline.plans.joins import BROADCAST_ROWS, fits_broadcast
+from faultline.plans.joins import broadcast_if_small
 
 # A monotonically increasing id holds the partition above bit 33.
 _ROW_BITS = 33
@@ -58,13 +58,12 @@ def exact_row_number(
         .orderBy("_part")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = runs.select(
+    shifts = runs.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("_part").alias("_k_part"),
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_start") + 1).alias("_shift"),
     )
-    if fits_broadcast(offsets, BROADCAST_ROWS):
-        offsets = F.broadcast(offsets)
+    offsets = broadcast_if_small(shifts)
     same = F.col("_part") == F.col("_k_part")
     for key in keys:
         same = same & F.col(key).eqNullSafe(F.col(f"_k_{key}"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from faultline.plans.joins import BROADCAST_ROWS, fits_broadcast
+from faultline.plans.joins import broadcast_if_small
 
 
 def pin_splits(spark: SparkSession) -> None:
@@ -43,9 +43,9 @@ def number_records(scan: DataFrame, name: str = "line_number") -> DataFrame:
         .orderBy("_block")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    if fits_broadcast(offsets, BROADCAST_ROWS):
-        offsets = F.broadcast(offsets)
+    offsets = broadcast_if_small(
+        blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    )
     place = F.col("_id") - F.col("_first")
     # A place outside its block means that the two scans were cut differently.
     checked = F.when(place.between(0, F.col("_n") - 1), place).otherwise(
