@@ -126,10 +126,11 @@ _ACTIONS_JSON = ",".join(f'"{a}"' for a in alerts.RECOMMENDED)
 SELECT incident_id, 'chat_alert' AS kind, 'dry_run' AS mode, true AS ok,
     concat('{{"channel":"#incidents","attachments":[{{"color":"',
         CASE severity WHEN 'critical' THEN '#dc143c' ELSE '#ff6347' END,
-        '","blocks":[{{"type":"header","text":"Alert: increasing_errors"}},{{"type":"section","text":"*Severity:*\\n',
-        upper(severity), '"}},{{"type":"section","text":"*Services:*\\n', services,
-        '"}},{{"type":"section","text":"', description,
-        '"}},{{"type":"section","text":"*Recommended Actions:*\\n{_ACTIONS_TEXT}"}}]}}]}}') AS payload
+        '","blocks":[{{"type":"header","text":{{"type":"plain_text","text":"Alert: increasing_errors"}}}},',
+        '{{"type":"section","fields":[{{"type":"mrkdwn","text":"*Severity:*\\n', upper(severity),
+        '"}},{{"type":"mrkdwn","text":"*Services:*\\n', services,
+        '"}}]}},{{"type":"section","text":{{"type":"mrkdwn","text":"', description,
+        '"}}}},{{"type":"section","text":{{"type":"mrkdwn","text":"*Recommended Actions:*\\n{_ACTIONS_TEXT}"}}}}]}}]}}') AS payload
 FROM alerts""",
         _HOUR_ALERTS,
     )
@@ -156,8 +157,8 @@ def chat_report_payloads(t: Tables) -> DataFrame:
     return sent.select(
         "incident_id",
         F.lit("$.blocks").alias("part"),
-        F.get_json_object("payload", "$.blocks[0].text").alias("header"),
-        F.length(F.get_json_object("payload", "$.blocks[1].text")).cast("long").alias("section_chars"),
+        F.get_json_object("payload", "$.blocks[0].text.text").alias("header"),
+        F.length(F.get_json_object("payload", "$.blocks[1].text.text")).cast("long").alias("section_chars"),
         "mode",
     )
 

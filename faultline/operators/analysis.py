@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 
 from faultline.functions.json_text import holds_valid_json
 from faultline.functions.tiers import valid_confidence
+from faultline.schema import ANALYSIS_SUMMARY
 
 # Fixed values of the rule-based analysis.
 FALLBACK_COMPONENTS = ["auth-service", "database"]
@@ -28,9 +31,7 @@ TRANSIENT = ("ThrottlingException", "ServiceUnavailableException", "TimeoutError
 
 def rule_based_analyses(stats: DataFrame) -> DataFrame:
     """An analysis text per incident from its counts (``n_events``, ``n_errors``)."""
-    summary = F.format_string(
-        "Analysis: Found %d errors in %d events.", F.col("n_errors"), F.col("n_events")
-    )
+    summary = F.format_string(ANALYSIS_SUMMARY, "n_errors", "n_events")
     body = F.struct(
         summary.alias("summary"),
         F.lit(FALLBACK_CAUSE).alias("root_cause_description"),
@@ -47,17 +48,19 @@ def complete(
     attempts: int = 3,
     transient: tuple[str, ...] = TRANSIENT,
     pause: float = 1.0,
+    time_limit: float = 30.0,
     parallel: int | None = None,
 ) -> DataFrame:
     """Add ``reply``: ``function`` applied to every prompt, on the executors.
 
-    A transient failure is tried again after pauses that double; a lasting one
-    becomes a reply that starts with ``Error:``. ``parallel`` spreads few prompts
-    over that many tasks.
+    A transient failure is tried again after pauses that double; a lasting one,
+    or no reply within the time limit, becomes a reply that starts with
+    ``Error:``. ``parallel`` spreads few prompts over that many tasks. A task that
+    Spark repeats asks again.
     """
     schema = T.StructType([*prompts.schema.fields, T.StructField("reply", T.StringType())])
 
-    def ask(text: str) -> str:
+    def attempt_all(text: str) -> str:
         for attempt in range(attempts):
             try:
                 return function(text)
@@ -68,6 +71,16 @@ def complete(
                 time.sleep(pause * 2**attempt)
         return "Error: no attempt was made"
 
+    def ask(text: str) -> str:
+        # A call that hangs is left behind in its thread.
+        worker = ThreadPoolExecutor(1)
+        try:
+            return worker.submit(attempt_all, text).result(time_limit)
+        except FutureTimeout:
+            return "Error: timeout"
+        finally:
+            worker.shutdown(wait=False, cancel_futures=True)
+
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield frame.assign(reply=[ask(text) for text in frame[prompt]])

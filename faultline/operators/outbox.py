@@ -14,7 +14,14 @@ from faultline.functions.text import bullet_list, cut_text
 from faultline.functions.timestamps import iso_text
 from faultline.functions.tiers import colour_of_severity, priority_of_severity
 from faultline.operators.reports import issue_description
-from faultline.schema import CHAT_REPORT_CHARS, CLIENT_QUOTA
+from faultline.sources.scenarios import with_scenario
+from faultline.schema import (
+    CHAT_REPORT_CHARS,
+    CLIENT_QUOTA,
+    LABEL_ACTIONS,
+    LABEL_SERVICES,
+    LABEL_SEVERITY,
+)
 
 DEFAULT_LABELS = ["auto-generated", "incident"]
 
@@ -29,24 +36,46 @@ def _outbox(df: DataFrame, key: str, kind: str, payload: Column) -> DataFrame:
     )
 
 
-def _block(kind: str, text: Column) -> Column:
+_TEXT = "struct<type:string,text:string>"
+
+
+def _text(text: Column, kind: str = "mrkdwn") -> Column:
     return F.struct(F.lit(kind).alias("type"), text.alias("text"))
 
 
+def _block(
+    kind: str,
+    text: Column | None = None,
+    fields: list[Column] | None = None,
+    elements: list[Column] | None = None,
+) -> Column:
+    """One block of a chat message; members that are null do not appear in the JSON."""
+
+    def several(items: list[Column] | None) -> Column:
+        return F.array(*items) if items else F.lit(None).cast(f"array<{_TEXT}>")
+
+    return F.struct(
+        F.lit(kind).alias("type"),
+        (text if text is not None else F.lit(None).cast(_TEXT)).alias("text"),
+        several(fields).alias("fields"),
+        several(elements).alias("elements"),
+    )
+
+
 def chat_alerts(alerts: DataFrame, key: str = "alert_id", channel: str = "#incidents") -> DataFrame:
     """One message per alert, coloured by severity."""
     services = F.coalesce(F.nullif(F.array_join("affected_services", ", "), F.lit("")), F.lit("N/A"))
     actions = F.coalesce("recommended_actions", F.array().cast("array<string>"))
+    severity = F.concat(F.lit(LABEL_SEVERITY), F.upper("severity"))
+    todo = F.concat(F.lit(LABEL_ACTIONS), bullet_list(actions, "• "))
     blocks = F.filter(
         F.array(
-            _block("header", F.concat(F.lit("Alert: "), F.col("trend_type"))),
-            _block("section", F.concat(F.lit("*Severity:*\n"), F.upper("severity"))),
-            _block("section", F.concat(F.lit("*Services:*\n"), services)),
-            _block("section", F.col("description")),
-            F.when(
-                F.size(actions) > 0,
-                _block("section", F.concat(F.lit("*Recommended Actions:*\n"), bullet_list(actions, "• "))),
+            _block("header", _text(F.concat(F.lit("Alert: "), F.col("trend_type")), "plain_text")),
+            _block(
+                "section", fields=[_text(severity), _text(F.concat(F.lit(LABEL_SERVICES), services))]
             ),
+            _block("section", _text(F.col("description"))),
+            F.when(F.size(actions) > 0, _block("section", _text(todo))),
         ),
         lambda block: block.isNotNull(),
     )
@@ -63,12 +92,14 @@ def chat_reports(
     reports: DataFrame, generated_at: Column, channel: str = "#incidents"
 ) -> DataFrame:
     """One message per report, its body cut to what a message can hold."""
+    title = F.concat(F.lit("Incident report "), F.col("incident_id"))
+    made = F.concat(F.lit("Generated at "), iso_text(generated_at))
     payload = F.struct(
         F.lit(channel).alias("channel"),
         F.array(
-            _block("header", F.concat(F.lit("Incident report "), F.col("incident_id"))),
-            _block("section", cut_text(F.col("report"), CHAT_REPORT_CHARS)),
-            _block("context", F.concat(F.lit("Generated at "), iso_text(generated_at))),
+            _block("header", _text(title, "plain_text")),
+            _block("section", _text(cut_text(F.col("report"), CHAT_REPORT_CHARS))),
+            _block("context", elements=[_text(made)]),
         ).alias("blocks"),
     )
     return _outbox(reports, "incident_id", "chat_report", payload)
@@ -137,6 +168,28 @@ def analysis_responses(analyses: DataFrame, usage: DataFrame | None = None) -> D
     return base.select("incident_id", F.to_json(response).alias("response"))
 
 
+def scenario_responses(analyses: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """The response to a scenario: its description, the parsed analysis and the command.
+
+    ``analyses`` has one row per ``scenario``; unknown scenarios are dropped.
+    """
+    described = with_scenario(
+        with_analysis(analyses).select(
+            "scenario", F.col("_a").alias("_analysis"), F.col("command").alias("_command")
+        ),
+        catalogue,
+    )
+    metadata = F.struct(*[c for c in catalogue.columns if c != "scenario"])
+    response = F.struct(
+        F.lit(True).alias("demo"),
+        F.col("scenario"),
+        metadata.alias("metadata"),
+        F.col("_analysis").alias("analysis"),
+        F.col("_command").alias("remediation_command"),
+    )
+    return described.select("scenario", F.to_json(response).alias("response"))
+
+
 def flat_alerts(alerts: DataFrame, keys: list[str]) -> DataFrame:
     """Alerts with the five fields that a status page shows."""
     return alerts.select(

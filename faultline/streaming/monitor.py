@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from faultline.operators.alerts import alert_severity
+from faultline.operators.alerts import alert_severity, error_rate_alerts
 from faultline.operators.metrics import error_stats
 from faultline.operators.timeline import quarantined
 from faultline.operators.trends import windowed_rates
@@ -83,26 +83,35 @@ def monitor(
     once: bool = False,
     interval: str = SCAN_INTERVAL,
 ) -> StreamingQuery:
-    """Scan what arrived since the last cycle: scans, events and unreadable rows.
+    """Scan what arrived since the last cycle: scans, alerts, events and bad rows.
 
     ``prepare`` makes events of raw rows. Bad rows go to quarantine and do not
     stop the loop; a failing machine does, and Spark repeats the batch.
     """
     now = scan_time if scan_time is not None else F.current_timestamp()
+    # Lines of a stream have no number; equal times are put in order by their text.
+    order = ["timestamp", "source_file", "message"]
 
     def scan(batch: DataFrame, batch_id: int) -> None:
-        number = batch_id + 1
+        def save(rows: DataFrame, name: str) -> None:
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/scan_number={batch_id + 1}")
+
         batch = batch.persist()
-        bad = quarantined(batch)
         events = prepare(batch)
-        summary = events.agg(F.count(F.lit(1)).alias("events_processed")).select(
-            now.alias("scan_time"),
-            "events_processed",
-            F.when(F.col("events_processed") == 0, "no_data").otherwise("success").alias("status"),
+        save(quarantined(batch), "quarantine")
+        save(events, "events")
+        alerts = error_rate_alerts(events, now, order=order).persist()
+        save(alerts, "alerts")
+        counts = events.agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("events")).unionByName(
+            alerts.agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("alerts"))
+        )
+        summary = counts.agg(
+            F.sum(F.when(F.col("kind") == "events", F.col("n"))).alias("events_processed"),
+            F.sum(F.when(F.col("kind") == "alerts", F.col("n"))).alias("n_trends"),
         )
-        summary.write.mode("overwrite").parquet(f"{path}/scans/scan_number={number}")
-        bad.write.mode("overwrite").parquet(f"{path}/quarantine/scan_number={number}")
-        events.write.mode("overwrite").parquet(f"{path}/events/scan_number={number}")
+        status = F.when(F.col("events_processed") == 0, "no_data").otherwise("success")
+        save(summary.withColumns({"scan_time": now, "status": status}), "scans")
+        alerts.unpersist()
         batch.unpersist()
 
     return (

@@ -141,19 +141,24 @@ def test_completion_retries_and_falls_back(spark):
         pass
 
     def reply(prompt):
+        if prompt == "slow":
+            import time
+
+            time.sleep(5)
         if prompt == "busy":
             raise ThrottlingException("slow down")
         if prompt == "broken":
             raise ValueError("no")
         return {"good": 'x {"summary": "s"}', "odd": "Error: {}", "prose": "just words"}[prompt]
 
-    prompts = spark.createDataFrame([(p, p) for p in ("good", "odd", "prose", "busy", "broken")], "incident_id string, prompt string")
-    replies = analysis.complete(prompts, reply, pause=0.01)
+    prompts = spark.createDataFrame([(p, p) for p in ("good", "odd", "prose", "busy", "broken", "slow")], "incident_id string, prompt string")
+    replies = analysis.complete(prompts, reply, pause=0.01, time_limit=1.0)
     by_id = {r.incident_id: r.reply for r in replies.collect()}
     assert by_id["busy"].startswith("Error:") and by_id["broken"] == "Error: no"
+    assert by_id["slow"] == "Error: timeout"
     fallback = prompts.select("incident_id", F.lit('{"summary":"rule"}').alias("analysis"))
     chosen = {r.incident_id: r.from_reply for r in analysis.choose_analysis(replies, fallback).collect()}
-    assert chosen == {"good": True, "odd": False, "prose": False, "busy": False, "broken": False}
+    assert chosen == {"good": True, "odd": False, "prose": False, "busy": False, "broken": False, "slow": False}
 
 
 def test_remediation(spark):
@@ -229,10 +234,12 @@ def test_payloads(spark, make_events, analysed):
     found = alerts.error_rate_alerts(rates(make_events, 10, 20), now())
     sent = json.loads(outbox.chat_alerts(found).first().payload)
     assert sent["channel"] == "#incidents" and sent["attachments"][0]["color"] == "#dc143c"
-    assert len(sent["attachments"][0]["blocks"]) == 5
+    blocks = sent["attachments"][0]["blocks"]
+    assert [b["type"] for b in blocks] == ["header", "section", "section", "section"]
+    assert blocks[0]["text"]["type"] == "plain_text" and blocks[1]["fields"][0]["text"] == "*Severity:*\nCRITICAL"
     body = spark.createDataFrame([("i", "x" * 5000)], "incident_id string, report string")
     chat = json.loads(outbox.chat_reports(body, now()).first().payload)
-    assert len(chat["blocks"][1]["text"]) == 3000
+    assert len(chat["blocks"][1]["text"]["text"]) == 3000
     issue = found.select("incident_id", F.lit("s").alias("summary"), "description", "severity",
                          F.lit(None).cast("array<string>").alias("services"), F.array(F.lit("fix")).alias("steps"))
     row = outbox.issues(issue, now()).first()
@@ -246,6 +253,15 @@ def test_payloads(spark, make_events, analysed):
     assert status["status"] == "success" and status["abnormal_trends"][0]["type"] == "increasing_errors"
 
 
+def test_scenario_responses(spark, analysed):
+    catalogue = spark.createDataFrame([("i", "Pool", "high")], "scenario string, name string, severity string")
+    asked = analysed.withColumnRenamed("incident_id", "scenario")
+    (row,) = outbox.scenario_responses(asked, catalogue).collect()
+    body = json.loads(row.response)
+    assert body["demo"] and body["metadata"] == {"name": "Pool", "severity": "high"}
+    assert body["analysis"]["confidence_score"] == 0.87 and body["remediation_command"] == "do it"
+
+
 # --- questions ------------------------------------------------------------------
 
 

@@ -51,8 +51,9 @@ def test_text_scan_cycles(spark, tmp_path):
     scan()
     (logs / "b.log").write_text("   \n")
     scan()
-    scans = {r.scan_number: (r.status, r.events_processed) for r in spark.read.parquet(str(out / "scans")).collect()}
-    assert scans == {1: ("success", 2), 2: ("no_data", 0)}
+    scans = {r.scan_number: (r.status, r.events_processed, r.n_trends) for r in spark.read.parquet(str(out / "scans")).collect()}
+    assert scans == {1: ("success", 2, 1), 2: ("no_data", 0, 0)}
+    assert [r.severity for r in spark.read.parquet(str(out / "alerts")).collect()] == ["critical"]
     assert {r.message for r in spark.read.parquet(str(out / "events")).collect()} == {"2024-01-15 10:30:00 ERROR x [EMAIL]", "plain"}
 
 
