@@ -19,6 +19,7 @@ from faultline.functions.normalize import (
 from faultline.functions.redact import redact_metadata, with_redacted
 from faultline.functions.timestamps import find_timestamp
 from faultline.plans.ranking import exact_row_number
+from faultline.session import require_utc
 from faultline.sources.files import raw_rows
 
 # The total order of a timeline within one incident.
@@ -37,6 +38,7 @@ def to_events(
     ``as_of`` stands in for a missing or unreadable time; such rows are flagged.
     By default every source file is an incident of its own.
     """
+    require_utc(raw.sparkSession)
     fields, line = F.col("fields"), F.col("line")
     is_text = line.isNotNull()
     metadata = F.coalesce(event_metadata(fields), F.create_map().cast("map<string,string>"))

@@ -56,7 +56,10 @@ def lookup_join(
     held, fits = held_lookup(small, max_rows)
     if fits:
         return large.join(F.broadcast(held), list(keys), how)
-    spread = spread if spread is not None else F.xxhash64(*[F.col(c) for c in large.columns])
+    if spread is None:
+        # Maps have no hash.
+        hashed = [f.name for f in large.schema if "map<" not in f.dataType.simpleString()]
+        spread = F.xxhash64(*[F.col(f"`{c}`") for c in hashed])
     salted = large.withColumn("_salt", F.pmod(spread, F.lit(SALTS)).cast("int"))
     copies = held.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -28,6 +28,13 @@ def local_session(cores: int | str = 8, app: str = "faultline", **conf: str) ->
     return spark
 
 
+def require_utc(spark: SparkSession) -> None:
+    """Times without a zone are read in the session's; only UTC gives the same everywhere."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone.upper() not in ("UTC", "ETC/UTC", "GMT", "Z", "+00:00"):
+        raise RuntimeError(f"set spark.sql.session.timeZone to UTC, it is {zone}")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach, as the cluster names it.
 

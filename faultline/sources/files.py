@@ -250,8 +250,14 @@ def _elements(arrays: DataFrame) -> DataFrame:
 
 def csv_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
     """Files by header line. Holds one short line per file, as a file listing does."""
-    lines = text_lines(spark, paths, CSV_EXTENSIONS)
-    heads = lines.groupBy("source_file").agg(F.min_by("value", "line_number").alias("header"))
+    scan = _by_extension(spark, CSV_EXTENSIONS).text(list(paths))
+    leading = scan.select(
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        strip(F.col("value")).alias("value"),
+    ).filter((F.col("block") == 0) & (F.col("value") != ""))
+    heads = leading.groupBy("source_file").agg(F.min_by("value", "at").alias("header"))
     groups: dict[str, list[str]] = {}
     for row in heads.toLocalIterator():
         groups.setdefault(row.header, []).append(row.source_file)

@@ -3,8 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import search
-from faultline.plans.joins import lookup_join
-from faultline.plans.ranking import first_n
+from faultline.operators import timeline
+from faultline.plans.joins import held_lookup, lookup_join
+from faultline.plans.ranking import exact_row_number, first_n
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -59,3 +60,42 @@ def test_keyword_search_finds_the_named_unit(spark):
     words = spark.createDataFrame([("unique_handler",), ("HANDLER",), ("absent",)], "keyword string")
     found = {(r.keyword, r.rank): (r.doc_id, r.score) for r in search.keyword_search(units, words, 5).collect()}
     assert found == {("unique_handler", 1): (1, 1), ("handler", 1): (2, 2)}
+
+
+def test_a_hot_key_is_cut_into_many_partitions(spark):
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        df = spark.range(20_000).withColumn("k", F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")))
+        numbered = exact_row_number(df, ["k"], ["id"])
+        hot = numbered.filter("k = 0").select(F.spark_partition_id().alias("p"), "rn")
+        sizes = [r["count"] for r in hot.groupBy("p").count().collect()]
+        assert len(sizes) >= 2 and max(sizes) < 13_334 * 0.7
+        assert hot.agg(F.max("rn"), F.count_distinct("rn")).first()[:] == (13_334, 13_334)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+
+
+def test_null_keys_are_numbered_too(spark):
+    df = spark.createDataFrame([(None, 2), (None, 1), ("a", 1)], "k string, at long")
+    found = {(r.k, r.at): r.rn for r in exact_row_number(df, ["k"], ["at"]).collect()}
+    assert found == {(None, 1): 1, (None, 2): 2, ("a", 1): 1}
+
+
+def test_lookup_size_counts_bytes(spark):
+    wide = spark.range(3).select(F.repeat(F.lit("x"), 1000).alias("v"))
+    assert held_lookup(wide)[1] and not held_lookup(wide, max_bytes=2000)[1] and not held_lookup(wide, max_rows=2)[1]
+
+
+def test_salting_takes_rows_with_maps(spark):
+    large = spark.range(50).select((F.col("id") % 5).alias("k"), F.create_map(F.lit("a"), F.col("id")).alias("m"))
+    assert lookup_join(large, spark.range(3).withColumnRenamed("id", "k"), ["k"], max_rows=1).count() == 30
+
+
+def test_times_need_utc(spark):
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Paris")
+        with pytest.raises(RuntimeError):
+            timeline.to_events(spark.range(1), F.current_timestamp())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
