@@ -18,10 +18,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a few large splits out to all cores, before costly row work.
+    """Deal the rows of a small table out to all cores, before costly row work.
 
-    A scan that already has a partition per core, which is every scan of a large
-    table, is left as it is.
+    A file with one row group is one task's work however it is split, so a table of
+    fewer files than cores and of few splits is repartitioned. Tables with several
+    splits per core, which is every large one, are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if df.rdd.getNumPartitions() >= 4 * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
