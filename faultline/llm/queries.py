@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bestfit, exact_dedup, sharding, vocab
+from faultline.llm import bestfit, exact_dedup, quality, secrets, sharding, toxicity, vocab
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,18 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(read(spark, folder, "documents"), shards=8)
 
 
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan_secrets(read(spark, folder, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge_documents(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, folder, "documents"))
 
@@ -48,6 +60,9 @@ def queries():
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
         "op6_sharding": op6_sharding,
+        "op7_secret_scan": op7_secret_scan,
+        "op8_quality_rules": op8_quality_rules,
+        "op9_toxicity": op9_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
