@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bestfit, exact_dedup, quality, secrets, sharding, toxicity, vocab
+from faultline.llm import bestfit, exact_dedup, jaccard, quality, secrets, sharding, toxicity, vocab
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return bestfit.pack_documents(read(spark, folder, "documents"), byte_bpe_encoder())
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_groups(read(spark, folder, "documents"), n=4, percent=85)
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(read(spark, folder, "documents"), shards=8)
 
@@ -59,6 +63,7 @@ FROM texts JOIN heads USING (text_sha256)
 def queries():
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op6_sharding": op6_sharding,
         "op7_secret_scan": op7_secret_scan,
         "op8_quality_rules": op8_quality_rules,
