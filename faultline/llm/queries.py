@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bestfit, exact_dedup, jaccard, quality, secrets, sharding, toxicity, vocab
+from faultline.llm import bestfit, bpe, exact_dedup, jaccard, quality, secrets, sharding, toxicity, vocab
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,12 @@ def byte_bpe_encoder():
     )
 
 
+def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.check_round_trip(
+        read(spark, folder, "documents"), vocab.public_path(vocab.MULTI), vocab.public_pattern()
+    )
+
+
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return bestfit.pack_documents(read(spark, folder, "documents"), byte_bpe_encoder())
 
@@ -62,6 +68,7 @@ FROM texts JOIN heads USING (text_sha256)
 
 def queries():
     return {
+        "op1_byte_bpe": op1_byte_bpe,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op6_sharding": op6_sharding,
