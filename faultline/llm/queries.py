@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bestfit, bpe, exact_dedup, jaccard, quality, secrets, sharding, toxicity, vocab
+from faultline.llm import bestfit, bpe, exact_dedup, jaccard, quality, repeats, secrets, sharding, toxicity, vocab
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_groups(read(spark, folder, "documents"), n=4, percent=85)
 
 
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, folder, "documents"), length=200)
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(read(spark, folder, "documents"), shards=8)
 
@@ -71,6 +75,7 @@ def queries():
         "op1_byte_bpe": op1_byte_bpe,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_sharding": op6_sharding,
         "op7_secret_scan": op7_secret_scan,
         "op8_quality_rules": op8_quality_rules,
