@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bestfit, bpe, exact_dedup, jaccard, quality, repeats, secrets, sharding, toxicity, vocab
+from faultline.llm import bestfit, bpe, exact_dedup, jaccard, quality, repeats, secrets, sharding, toxicity, vocab, warc
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return bestfit.pack_documents(read(spark, folder, "documents"), byte_bpe_encoder())
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_pages(read(spark, folder, "pages"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_groups(read(spark, folder, "documents"), n=4, percent=85)
 
@@ -55,6 +59,22 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, folder, "documents"))
 
 
+OP3_SQL = """
+WITH records AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+    FROM pages
+),
+placed AS (
+    SELECT *, CASE WHEN payload_bytes >= 100
+                   THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id
+    FROM records
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM placed
+"""
+
 OP10_SQL = r"""
 WITH texts AS (
     SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -74,6 +94,7 @@ def queries():
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_warc": op3_warc,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_sharding": op6_sharding,
@@ -85,4 +106,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op10_exact_dedup": OP10_SQL}
