@@ -66,7 +66,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when identical without white space (space and U+0009 to U+000D). Of
     equal texts the one with the most code points stays, then the smallest id. Null and
     empty texts, and texts of white space alone, are one group. Rows that repeat a
-    document, id included, count as copies, give a row each and share its fate. Further columns are not
+    document, id included, count as copies, give a row each and share its fate; a null id is an id, the smallest. Further columns are not
     looked at; an empty table gives no rows.
     """
     cut = recipes(docs, id_col, text_col)
@@ -86,11 +86,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = narrow.select("doc_id", "text_sha256", flat.alias("key"))
     heads = groups.select(flat.alias("key"), "group_size", "keep_id")
     return attach(rows, heads, "key", "doc_id", ["keep_id", "group_size"]).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, whole rows, in the columns of ``docs``."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")

@@ -351,7 +351,7 @@ def similar_groups(
     of ``n`` words, or the whole text as one if it is shorter. Sets link when 100 times their intersection is
     at least ``percent`` times their union; a component is named after its smallest id.
     Null and empty texts, and texts of white space, have no set and stand alone. Rows
-    that repeat an id get a row each. Tokens are 64-bit hashes; equal sets are told by 128 bits.
+    that repeat an id get a row each; a row without an id takes the component of an equal set, or none. Tokens are 64-bit hashes; equal sets are told by 128 bits.
     """
     rule = Rule(percent)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -365,7 +365,7 @@ def similar_groups(
         "equal-sets",
     )
     # Families are found among all documents, and compared by one document for each set.
-    family = families(texts, n, rule)
+    family = families(texts.filter(F.col("doc_id").isNotNull()), n, rule)
     singles = equal.select(F.col("twin").alias("doc_id"), "size")
     members = held(
         family.join(singles, F.col("node") == F.col("doc_id")).select("doc_id", F.col("root").alias("family"), "size"),
@@ -412,6 +412,7 @@ def similar_groups(
 
 
 def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Of each component the document with the smallest id, whole rows, in the columns of ``docs``."""
-    kept = similar_groups(docs, n, percent).filter(F.col("doc_id") == F.col("component_id"))
-    return docs.join(kept.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
+    """Of each component the document with the smallest id, whole rows, in the columns of ``docs``; null ids stay."""
+    found = similar_groups(docs, n, percent)
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

@@ -501,11 +501,11 @@ def remove_repeats(
 
     Removed is every byte covered by a string of ``length`` bytes that also starts elsewhere, in the
     same document or another, overlaps included. Null counts as empty; ids should be
-    unique (rows that repeat one are judged as copies of each other). Strings are compared by
+    unique (rows that repeat one are judged as copies of each other, rows without one are left as they are). Strings are compared by
     64-bit hashes and by bytes in the indexes. An empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    touched, starts = repeated_starts(texts, length, gram)
+    touched, starts = repeated_starts(texts.filter(F.col("doc_id").isNotNull()), length, gram)
     per_doc = starts.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
     cut = (
         touched.join(per_doc, F.col("doc_id") == F.col("_id"))

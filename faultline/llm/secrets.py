@@ -211,7 +211,7 @@ def scan_secrets(
         F.count(F.when(F.col("live"), 1)).alias("n_live"),
         F.count(F.when(~F.col("live"), 1)).alias("n_examples"),
     )
-    return found.join(per_doc, F.col("doc_id") == F.col("_id"), "left").select(
+    return found.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
         "doc_id",
         "n_assign",
         "n_access",
@@ -249,13 +249,17 @@ def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` (columns of documents) with every found span masked; other texts are left as they are."""
-    spans = scan_secrets(docs).filter(F.col("spans") != "").select(
-        F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")
-    ).distinct()
-    text = F.when(F.col("_spans").isNotNull(), masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    columns = {"text": text.alias("text"), "n_chars": F.when(
-        F.col("_spans").isNotNull(), F.char_length(text).cast(dict(docs.dtypes).get("n_chars", "long"))
-    ).otherwise(F.col("n_chars")).alias("n_chars") if "n_chars" in docs.columns else None}
-    return docs.join(spans, F.col("doc_id") == F.col("_id"), "left").select(
-        *[columns.get(c) if columns.get(c) is not None else F.col(f"`{c}`") for c in docs.columns]
-    )
+    found = scan_secrets(docs).filter(F.col("spans") != "")
+    spans = found.select(F.col("doc_id").alias("found_id"), F.col("spans").alias("found_spans")).distinct()
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["found_id"]), "left")
+    hit = spans["found_spans"].isNotNull()
+    text = F.when(hit, masked(docs["text"], spans["found_spans"])).otherwise(docs["text"])
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return text.alias(name)
+        if name == "n_chars":
+            return F.when(hit, F.char_length(text).cast(dict(docs.dtypes)[name])).otherwise(docs[name]).alias(name)
+        return docs[f"`{name}`"]
+
+    return joined.select(*[column(c) for c in docs.columns])

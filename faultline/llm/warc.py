@@ -31,6 +31,8 @@ LEAST_BYTES = 100
 ARCHIVE_BYTES = 256 << 20
 # Lines of a block, and how many blocks the directory may name before blocks get longer.
 BLOCK_LINES, MOST_BLOCKS = 3000, 100_000
+# Stands for a null page_id in keys and record ids.
+NO_ID = -(1 << 63)
 DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -156,7 +158,7 @@ def entry_batch(rows: list[tuple]) -> pa.RecordBatch:
 def payloads(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     payload = F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b""))
     return pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")
     ).withColumn("digest", F.sha2("payload", 256))
 
 
@@ -349,6 +351,12 @@ def archive_pages(pages: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame
     folder = new_folder(pages.sparkSession, "warc")
     entries = write_archives(pages, folder)
     index = CaptureIndex(entries, block_lines)
-    queries = pages.select("url", "page_id").mapInArrow(keyed, "urlkey string, page_id long")
+    queries = pages.select("url", F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id")).mapInArrow(keyed, "urlkey string, page_id long")
     found = read_records(index.lookup(queries), folder)
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select(
+        F.nullif("page_id", F.lit(NO_ID)).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.nullif("refers_to", F.lit(NO_ID)).alias("refers_to"),
+    )
