@@ -32,6 +32,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 DENSITY = 80
 VOTERS_PER_KIND = 3
 THRESHOLD = 0.3
+# So many of the smallest word hashes make the mark of a family of near copies.
+FAMILY_WORDS = 4
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&+=~`-_/\\"
 
 
@@ -132,10 +134,11 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def family(text: str) -> int:
-    """The smallest hash of a text's words: near copies mostly share it."""
+    """A hash of the smallest hashes of a text's words: near copies mostly share it."""
     import xxhash
 
-    return min((xxhash.xxh64_intdigest(w) for w in set(text.lower().split())), default=0) - (1 << 63)
+    least = sorted(xxhash.xxh64_intdigest(w) for w in set(text.lower().split()))[:FAMILY_WORDS]
+    return xxhash.xxh64_intdigest(repr(least)) - (1 << 63)
 
 
 def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
