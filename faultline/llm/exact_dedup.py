@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.skew import attach, held
+from faultline.llm.skew import attach, by_size, held
 
 # What is deleted before texts are compared.
 WHITE = " \t\n\x0b\x0c\r"
@@ -91,6 +91,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, whole rows, in the columns of ``docs``."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """The documents that stay, whole rows, in the columns of ``docs``; rows without an id stay."""
+    found = exact_groups(docs).groupBy(F.col("doc_id").alias("gone_id")).agg(F.bool_or("kept").alias("kept"))
+    gone = by_size(found.filter(~F.col("kept")).select("gone_id"), "copies")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.graph import components
-from faultline.llm.skew import attach, held
+from faultline.llm.skew import attach, by_size, held
 from faultline.llm.words import Sums, TextSlice, find_words, grams, mix, text_slices
 
 GROUP = 64  # members of a group: bits of a matrix row
@@ -385,6 +385,7 @@ def similar_groups(
             F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"),
         )
     )
+    dealt = by_size(dealt, "family-members")
     sets = (
         texts.join(dealt, F.col("doc_id") == F.col("_id"))
         .select("doc_id", "family", "chunk", "chunks", "text")
@@ -414,5 +415,6 @@ def similar_groups(
 def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Of each component the document with the smallest id, whole rows, in the columns of ``docs``; null ids stay."""
     found = similar_groups(docs, n, percent)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
+    named = found.groupBy(F.col("doc_id").alias("gone_id")).agg(F.min("component_id").alias("kept_id"))
+    gone = by_size(named.filter(F.col("gone_id") != F.col("kept_id")).select("gone_id"), "near-copies")
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.skew import attach, held
+from faultline.llm.skew import attach, by_size, held
 
 # Fixed patterns: kind, pattern, group that holds the value, least length of that group.
 BASE = (
@@ -250,7 +250,9 @@ def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def without_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` (columns of documents) with every found span masked; other texts are left as they are."""
     found = scan_secrets(docs).filter(F.col("spans") != "")
-    spans = found.select(F.col("doc_id").alias("found_id"), F.col("spans").alias("found_spans")).distinct()
+    spans = by_size(
+        found.select(F.col("doc_id").alias("found_id"), F.col("spans").alias("found_spans")).distinct(), "secret-spans"
+    )
     joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["found_id"]), "left")
     hit = spans["found_spans"].isNotNull()
     text = F.when(hit, masked(docs["text"], spans["found_spans"])).otherwise(docs["text"])

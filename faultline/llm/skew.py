@@ -12,6 +12,8 @@ from faultline.session import new_folder
 
 # A key with more than 1/HEAVY of all rows is heavy; there are fewer than HEAVY such keys at any size.
 HEAVY = 2000
+# A held table of at most so many rows and bytes may be sent to every executor.
+SENT_ROWS, SENT_BYTES = 500_000, 16 << 20
 
 
 def held(df: DataFrame, label: str) -> DataFrame:
@@ -25,6 +27,18 @@ def held(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def by_size(df: DataFrame, label: str) -> DataFrame:
+    """A held table of narrow rows, marked for broadcast if its counted rows and bytes allow it.
+
+    Beyond the bounds it is returned as it is, and a join with it shuffles both sides.
+    """
+    kept = held(df, label)
+    wide = [F.octet_length(f"`{c}`") for c, kind in kept.dtypes if kind in ("string", "binary")]
+    width = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(8 * len(kept.columns)))
+    size = kept.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(kept) if size.rows <= SENT_ROWS and size.bytes <= SENT_BYTES else kept
+
+
 def attach(
     rows: DataFrame, groups: DataFrame, key: str, row_id: str, columns: Sequence[str], size: str = "group_size"
 ) -> DataFrame:
