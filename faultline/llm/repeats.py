@@ -26,7 +26,9 @@ from faultline.llm.words import Sums, TextSlice, text_slices
 LENGTH, GRAM = 200, 32
 SLICE = 2 << 20
 # An anchor with more strings is split by windows; a gathering holds about so many bytes.
-MOST_STRINGS, GATHERED = 1000, 1 << 19
+MOST_STRINGS, GATHERED = 256, 1 << 19
+# Windows of a bucket, about.
+BUCKET = 200_000
 CARRIED = 50_000
 
 COVERED, EDGE, REFERENCE = 0, 1, 2
@@ -210,7 +212,7 @@ def suffix_order(data: np.ndarray, string: np.ndarray, end: np.ndarray) -> np.nd
         there = at + k < end
         symbol = np.where(there, data[np.minimum(at + k, n - 1)].astype(np.int64) + 1, 0)
         key = (key << 9) | symbol
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = np.zeros(n, dtype=np.int64)
     rank[order[1:]] = np.cumsum(key[order][1:] != key[order][:-1])
     depth = 7
@@ -218,7 +220,7 @@ def suffix_order(data: np.ndarray, string: np.ndarray, end: np.ndarray) -> np.nd
         beyond = at + depth
         second = np.where(beyond < end, rank[np.minimum(beyond, n - 1)] + len(end) + 1, string)
         key = rank * (2 * n + 2) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = np.zeros(n, dtype=np.int64)
         rank[order[1:]] = np.cumsum(key[order][1:] != key[order][:-1])
         depth *= 2
@@ -328,11 +330,18 @@ def cut_strings(length: int):
     return run
 
 
-WINDOWS = "window long, doc_id long, lo int, hi int, twice boolean, edge boolean"
+PACKED = "bucket long, entries binary"
+_ENTRY = np.dtype([("window", "<i8"), ("doc_id", "<i8"), ("lo", "<i4"), ("state", "<i4")])
+# States of an entry: a window to judge, one that only counts, one that is there twice, one already judged.
+ASKED, SEEN, TWICE, FOUND = 0, 1, 2, 3
 
 
-def send_windows(length: int):
-    """mapInArrow: strings to the hashes of their windows; those found twice in the batch are sent once."""
+def send_windows(length: int, buckets: int):
+    """mapInArrow: strings to the hashes of their windows, packed by bucket of the hash.
+
+    A window found twice in the batch is judged at once, and sent on once for the other
+    batches; what is judged already goes to a bucket of its document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,62 +354,49 @@ def send_windows(length: int):
             owner = np.repeat(np.arange(len(sizes)), counts)
             inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
             start = np.repeat(np.cumsum(sizes) - sizes, counts) + inside
-            window = Sums(data).hashes(start, start + length).view(np.int64)
+            window = Sums(data).hashes(start, start + length)
             times, first = counts_of(window)
             edge = (batch.column(2).to_numpy() == EDGE)[owner]
-            doc = batch.column(0).to_numpy()[owner]
-            lo = (batch.column(1).to_numpy()[owner] + inside).astype(np.int32)
-            settled = edge & (times > 1)
-            # Settled windows are reported at once; one of each is sent on for the other batches.
-            at = np.concatenate([np.flatnonzero(settled), np.flatnonzero(first)])
-            sent = np.arange(len(at)) >= settled.sum()
+            found = np.flatnonzero(edge & (times > 1))
+            at = np.concatenate([found, np.flatnonzero(first)])
+            entries = np.zeros(len(at), dtype=_ENTRY)
+            entries["window"] = window[at].view(np.int64)
+            entries["doc_id"] = batch.column(0).to_numpy()[owner[at]]
+            entries["lo"] = batch.column(1).to_numpy()[owner[at]] + inside[at]
+            state = np.where(times > 1, TWICE, np.where(edge, ASKED, SEEN))[at]
+            state[: len(found)] = FOUND
+            entries["state"] = state
+            bucket = (window[at] % np.uint64(buckets)).astype(np.int64)
+            bucket[: len(found)] = entries["doc_id"][: len(found)] % buckets
+            order = np.argsort(bucket)
+            bucket, entries = bucket[order], entries[order]
+            own, cut = np.unique(bucket, return_index=True)
+            parts = [p.tobytes() for p in np.split(entries, cut[1:])]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(window[at], mask=~sent),
-                    pa.array(doc[at]),
-                    pa.array(lo[at]),
-                    pa.array(lo[at]),
-                    pa.array((times > 1)[at]),
-                    pa.array((edge & (times == 1))[at] & sent),
-                ],
-                names=["window", "doc_id", "lo", "hi", "twice", "edge"],
+                [pa.array(own, pa.int64()), pa.array(parts, pa.binary())], names=["bucket", "entries"]
             )
 
     return run
 
 
-def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over WINDOWS sorted by window: (doc_id, lo, hi) of edges whose window is there twice."""
-    before = None  # the last row so far: window, twice seen, and itself if it still waits
-    for batch in batches:
-        known = batch.filter(batch.column(0).is_null())
-        rows = batch.filter(batch.column(0).is_valid())
-        window = rows.column(0).to_numpy(zero_copy_only=False)
-        doc, lo = rows.column(1).to_numpy(), rows.column(2).to_numpy()
-        twice, edge = (rows.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
-        if before is not None:
-            window, doc, lo = (np.append(v, c) for v, c in zip(before[:3], (window, doc, lo), strict=True))
-            twice, edge = np.append(before[3], twice), np.append(before[4], edge)
-        if len(window):
-            new = np.ones(len(window), dtype=bool)
-            new[1:] = window[1:] != window[:-1]
-            at = np.cumsum(new) - 1
-            seen = (np.bincount(at) > 1) | (np.bincount(at, twice.astype(float)) > 0)
-            hit = edge & seen[at]
-            # What follows may show the last window again.
-            edge_left = edge[-1] and not hit[-1]
-            before = (window[-1:], doc[-1:], lo[-1:], np.array([seen[-1] or twice[-1]]), np.array([edge_left]))
-            found = doc[hit], lo[hit]
-        else:
-            found = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([pa.array(found[0], pa.int64()), known.column(1).cast(pa.int64())]),
-                pa.concat_arrays([pa.array(found[1], pa.int32()), known.column(2).cast(pa.int32())]),
-                pa.concat_arrays([pa.array(found[1], pa.int32()), known.column(2).cast(pa.int32())]),
-            ],
-            names=["doc_id", "lo", "hi"],
-        )
+def repeated_windows(table: pa.Table) -> pa.Table:
+    """applyInArrow over PACKED of a bucket: (doc_id, lo, hi) of windows that are there twice."""
+    entries = np.frombuffer(b"".join(table.column("entries").to_pylist()), dtype=_ENTRY)
+    open_ones = entries[entries["state"] != FOUND]
+    _, at, counts = np.unique(open_ones["window"], return_inverse=True, return_counts=True)
+    twice = (counts > 1) | (np.bincount(at, open_ones["state"] == TWICE, len(counts)) > 0)
+    hit = open_ones[(open_ones["state"] == ASKED) & twice[at]] if len(open_ones) else open_ones
+    found = np.concatenate([entries[entries["state"] == FOUND], hit])
+    # Neighbouring starts of a document become one interval.
+    found = np.unique(found[["doc_id", "lo"]])
+    new = np.ones(len(found), dtype=bool)
+    new[1:] = (found["doc_id"][1:] != found["doc_id"][:-1]) | (found["lo"][1:] != found["lo"][:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(found)) - 1 if len(found) else first
+    return pa.table(
+        [pa.array(found["doc_id"][first]), pa.array(found["lo"][first]), pa.array(found["lo"][last])],
+        names=["doc_id", "lo", "hi"],
+    )
 
 
 def cut_texts(length: int):
@@ -473,22 +469,25 @@ def repeated_starts(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame
     touched = held(
         texts.join(per_doc, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "marks"), "touched"
     )
-    bytes_cold = (
-        marks.filter((F.col("kind") != COVERED) & ~F.col("hot"))
-        .agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + length), F.lit(0)))
-        .first()[0]
-    )
+    windows_of = F.col("hi") - F.col("lo") + 1
+    open_marks = marks.filter(F.col("kind") != COVERED)
+    size = open_marks.agg(
+        F.coalesce(F.sum(F.when(~F.col("hot"), windows_of + length)), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum(F.when(F.col("hot"), windows_of)), F.lit(0)).alias("windows"),
+    ).first()
     strings = touched.mapInArrow(cut_strings(length), STRINGS)
-    gatherings = int(bytes_cold // GATHERED + 1)
+    gatherings, buckets = int(size.bytes // GATHERED + 1), int(size.windows // BUCKET + 1)
+    result = "doc_id long, lo int, hi int"
     cold = (
         strings.filter(~F.col("hot"))
         .groupBy(F.pmod("anchor", F.lit(gatherings)).alias("gathering"))
-        .applyInArrow(marked_starts(length), "doc_id long, lo int, hi int")
+        .applyInArrow(marked_starts(length), result)
     )
-    windows = strings.filter("hot").mapInArrow(send_windows(length), WINDOWS)
-    home = F.coalesce("window", F.xxhash64("doc_id", "lo"))
     split = (
-        windows.repartition(home).sortWithinPartitions("window").mapInArrow(repeated_windows, "doc_id long, lo int, hi int")
+        strings.filter("hot")
+        .mapInArrow(send_windows(length, buckets), PACKED)
+        .groupBy("bucket")
+        .applyInArrow(repeated_windows, result)
     )
     covered = marks.filter(F.col("kind") == COVERED).select("doc_id", "lo", "hi")
     return touched, covered.unionByName(cold).unionByName(split)
