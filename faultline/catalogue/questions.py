@@ -123,7 +123,8 @@ SELECT q.event_id, q.incident_id, q.question, {_INTENT_SQL.format(q="lower(q.que
                 CASE WHEN e.n > 5 THEN concat(chr(10), chr(10), '... and ', e.n - 5, ' more') ELSE '' END),
                 'No ERROR level events found.')
             WHEN 'cause' THEN concat('Based on the analysis: ', a.analysis)
-            WHEN 'prevention' THEN '{answers.PREVENTION}'
+            WHEN 'prevention' THEN concat(a.n_errors, ' of ', a.n_events, ' events were errors. An alert on that share,',
+                ' per hour, would show the next such incident earlier.')
             ELSE concat('Your question was: "', q.question,
                         '". Ask about the timeline, the errors, the root cause or prevention.') END AS answer
 FROM questions q
@@ -137,8 +138,10 @@ LEFT JOIN (SELECT incident_id, any_value(n) AS n,
                         count(*) OVER (PARTITION BY incident_id) AS n FROM log_events WHERE level = 'ERROR')
            WHERE rn <= 5 GROUP BY 1) e USING (incident_id)
 LEFT JOIN (SELECT incident_id, concat('{{"summary":"Analysis: Found ', count(*) FILTER (WHERE level = 'ERROR'),
-                  ' errors in ', count(*), ' events.","root_cause_description":"', '{analysis.FALLBACK_CAUSE.replace("'", "''")}',
-                  '","affected_components":["auth-service","database"],"confidence_score":0.85}}') AS analysis
+                  ' errors in ', count(*), ' events.","root_cause_description":"', count(*) FILTER (WHERE level = 'ERROR'),
+                  ' of ', count(*), ' events are errors; no single cause is named by rule.',
+                  '","affected_components":["auth-service","database"],"confidence_score":0.85}}') AS analysis,
+                  count(*) FILTER (WHERE level = 'ERROR') AS n_errors, count(*) AS n_events
            FROM log_events GROUP BY 1) a USING (incident_id)""",
         _QUESTIONS_SQL,
     )

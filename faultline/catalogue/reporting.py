@@ -11,7 +11,8 @@ from faultline.catalogue.registry import Tables, query, sql_second, with_log
 from faultline.operators import alerts, analysis, context, metrics, outbox, remediation, reports
 from faultline.functions.json_text import with_prediction
 
-_CAUSE = analysis.FALLBACK_CAUSE.replace("'", "''")
+# Within a quoted text of a concat().
+_CAUSE = "', n_errors, ' of ', n_events, ' events are errors; no single cause is named by rule."
 
 _STATS_SQL = """stats AS (
     SELECT incident_id, count(*) AS n_events, count(*) FILTER (WHERE level = 'ERROR') AS n_errors,
@@ -47,7 +48,7 @@ def rule_based_analyses(t: Tables) -> DataFrame:
         f"""
 SELECT s.incident_id, concat_ws(chr(10), '# Incident report', '',
     concat('**Incident ID:** ', s.incident_id), '**Generated:** 2024-02-01 00:00:00 UTC', '**Confidence:** 85.0%',
-    '', '## Summary', '', summary, '', '## Root cause', '', '{_CAUSE}', '', '## Affected components', '',
+    '', '## Summary', '', summary, '', '## Root cause', '', concat('{_CAUSE}'), '', '## Affected components', '',
     '- auth-service', '- database', '', '## Timeline', '', '| Time | Level | Service | Message |', '|---|---|---|---|',
     t.rows, '', '## Remediation', '', '**Command:**', '```bash', '{_COMMAND}', '```') AS report
 FROM stats s JOIN (
@@ -85,7 +86,7 @@ def report_json(t: Tables) -> DataFrame:
     with_log(
         f"""
 SELECT incident_id, concat_ws(chr(10), '### Incident ticket', '', concat('**Summary:** ', summary), '',
-    '**Root cause:**', '{_CAUSE}', '', '**Affected components:**', '• auth-service', '• database', '',
+    '**Root cause:**', concat('{_CAUSE}'), '', '**Affected components:**', '• auth-service', '• database', '',
     '**Confidence:** 85.0%', '', '**Remediation:**', '```bash', '{_COMMAND}', '```', '',
     '**Generated:** 2024-02-01 00:00:00 UTC') AS ticket
 FROM stats""",
@@ -107,7 +108,7 @@ erring AS (
 alerts AS (
     SELECT strftime(hour, '%Y%m%d%H') AS incident_id, services, quoted,
            CASE WHEN e / n > 0.25 THEN 'critical' ELSE 'high' END AS severity,
-           concat('High error rate detected: ', printf('%.0f%%', e / n * 100)) AS description, n
+           concat('High error rate detected: ', printf('%.0f%%', e / n * 100)) AS description, n, e
     FROM hourly JOIN erring USING (hour) WHERE e / n > 0.15)"""
 
 
@@ -116,8 +117,11 @@ def _hour_alerts(t: Tables) -> DataFrame:
     return alerts.error_rate_alerts(hourly, as_of())
 
 
-_ACTIONS_TEXT = "\\n".join(f"• {a}" for a in alerts.RECOMMENDED)
-_ACTIONS_JSON = ",".join(f'"{a}"' for a in alerts.RECOMMENDED)
+# Within a quoted text of a concat().
+_FIRST = "Begin with ', split_part(services, ', ', 1), ', the first to fail"
+_COUNT = "Find what changed before these ', e, ' errors"
+_ACTIONS_TEXT = f"• {_FIRST}\\n• {_COUNT}"
+_ACTIONS_JSON = f'"{_FIRST}","{_COUNT}"'
 
 
 @query(

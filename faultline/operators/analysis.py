@@ -20,10 +20,7 @@ from faultline.schema import ANALYSIS_SUMMARY
 FALLBACK_COMPONENTS = ["auth-service", "database"]
 FALLBACK_CONFIDENCE = 0.85
 
-FALLBACK_CAUSE = (
-    "'auth-service' failed because the database connection pool was used up: its limit had been "
-    "lowered by a configuration change, and then traffic rose."
-)
+FALLBACK_CAUSE = "%d of %d events are errors; no single cause is named by rule."
 
 # Error codes worth another attempt.
 TRANSIENT = ("ThrottlingException", "ServiceUnavailableException", "TimeoutError")
@@ -34,7 +31,7 @@ def rule_based_analyses(stats: DataFrame) -> DataFrame:
     summary = F.format_string(ANALYSIS_SUMMARY, "n_errors", "n_events")
     body = F.struct(
         summary.alias("summary"),
-        F.lit(FALLBACK_CAUSE).alias("root_cause_description"),
+        F.format_string(FALLBACK_CAUSE, "n_errors", "n_events").alias("root_cause_description"),
         F.array(*[F.lit(c) for c in FALLBACK_COMPONENTS]).alias("affected_components"),
         F.lit(FALLBACK_CONFIDENCE).alias("confidence_score"),
     )

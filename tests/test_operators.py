@@ -33,7 +33,7 @@ def test_alert_content(make_events):
     assert alert.affected_services == ["c", "b"]
     assert alert.description == "High error rate detected: 80%"
     assert alert.trend.current_value == 0.8 and alert.trend.time_window_minutes == 5
-    assert len(alert.recommended_actions) == 3
+    assert alert.recommended_actions == ["Begin with c, the first to fail", "Find what changed before these 4 errors"]
 
 
 def test_fatal_counts_in_the_context_but_not_in_the_rate(make_events):
