@@ -8,6 +8,7 @@ the others and, for a record that cannot be read, its text ``raw`` with a ``reas
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Sequence
 from functools import reduce
 from urllib.parse import unquote
@@ -24,16 +25,14 @@ from faultline.plans.joins import lookup_join
 from faultline.schema import CSV_EXTENSIONS, JSON_EXTENSIONS, TEXT_EXTENSIONS, TIMESTAMP_KEYS
 from faultline.sources.numbering import number_records
 
-# A JSON document becomes one row before it is split, and a row holds 2 GB.
-MAX_DOCUMENT_BYTES = 1 << 30
+# A file is tried as one JSON document up to this size, since it becomes one row and a row
+# holds 2 GB; a larger file is read line by line, and nothing of it is passed over.
+DOCUMENT_BYTES = 1 << 30
 
 _FIELDS = "map<string,string>"
 _SECONDS = "map<string,double>"
 _NUMBER = r"^-?[0-9][0-9.eE+\-]*$"
 
-# Lines that are tested as a file's first; beyond, the file is tried as a whole.
-_LEADING_LINES = 1000
-
 
 def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
@@ -59,6 +58,26 @@ def list_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
+def hidden_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Files below ``paths`` that Spark's readers pass over for a leading dot or underscore.
+
+    The listing is walked on the driver; only such names are held.
+    """
+    jvm, found = spark._jvm, []
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        root = jvm.org.apache.hadoop.fs.Path(path)
+        system = root.getFileSystem(conf)
+        for top in system.globStatus(root) or []:
+            entries = system.listFiles(top.getPath(), True)
+            while entries.hasNext():
+                file = entries.next().getPath().toString()
+                below = file[len(top.getPath().getParent().toString()) :] if top.getPath().getParent() else file
+                if any(part[:1] in ("_", ".") for part in below.split("/") if part):
+                    found.append(file)
+    return found
+
+
 def present_paths(
     spark: SparkSession, paths: Sequence[str], strict: bool = False
 ) -> tuple[list[str], list[str]]:
@@ -167,73 +186,62 @@ def raw_json(
     spark: SparkSession,
     paths: Sequence[str],
     extensions: Sequence[str] = JSON_EXTENSIONS,
-    max_document_bytes: int = MAX_DOCUMENT_BYTES,
+    document_bytes: int = DOCUMENT_BYTES,
 ) -> DataFrame:
     """Objects of JSON documents and of JSON-lines files.
 
-    A file whose first line is a complete JSON value and that has further lines
-    cannot be one document, so it is read by lines and stays splittable. A file
-    of one line is a document in itself. Only the other files are read whole.
+    ``.jsonl`` files are read by lines, always. Of the others, a file whose first
+    line is a complete JSON value and that has further lines cannot be one document, so it
+    is read by lines too and stays splittable. A file of one line is a document in itself.
+    What is left is read whole if that is one valid document of at most ``document_bytes``,
+    and by lines if it is not; a line that is no object is then a bad record of its own.
     """
     lines = text_lines(spark, paths, extensions)
     number = F.col("line_number")
-    leads = F.when(number <= _LEADING_LINES, is_json(F.col("value"))).otherwise(False)
     files = cut(
-        lines.groupBy("source_file").agg(
-            F.min(number * 2 + leads.cast("long")).alias("_first"),
-            F.count(F.lit(1)).alias("_lines"),
-        )
-    ).select("source_file", "_lines", (F.col("_first") % 2 == 1).alias("_first_valid"))
+        lines.groupBy("source_file").agg(F.min(number).alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    )
+    by_nature = F.lower(F.col("source_file")).endswith(".jsonl")
+    # One line of every file is parsed to choose, wherever it stands.
+    firsts = lookup_join(
+        lines,
+        files.filter(~by_nature).select("source_file", F.col("_first").alias("line_number"), "_lines"),
+        ["source_file", "line_number"],
+    )
+    chosen = cut(firsts.select("source_file", "_lines", is_json(F.col("value")).alias("_first_valid")))
 
-    single = files.filter(F.col("_first_valid") & (F.col("_lines") == 1)).select(
+    single = chosen.filter(F.col("_first_valid") & (F.col("_lines") == 1)).select(
         "source_file", F.lit(True).alias("_single")
     )
-    tagged = lookup_join(lines, single, ["source_file"], "left", spread=number)
+    tagged = lookup_join(lines, single, ["source_file"], "left")
     is_array = F.coalesce(F.col("_single"), F.lit(False)) & F.col("value").startswith("[")
     by_line = tagged.filter(~is_array).select(
         "source_file", "line_number", F.col("value").alias("element")
     )
     arrays = tagged.filter(is_array).select("source_file", F.col("value").alias("document"))
 
-    unclear = files.filter(~F.col("_first_valid")).select("source_file")
+    unclear = chosen.filter(~F.col("_first_valid")).select("source_file")
     if unclear.isEmpty():
         return _json_rows(by_line.unionByName(_elements(arrays)))
 
-    small = F.col("_metadata.file_size") <= max_document_bytes
+    small = F.col("_metadata.file_size") <= document_bytes
     documents = lookup_join(
         _by_extension(spark, extensions)
         .text(list(paths), wholetext=True)
-        .select(
-            F.col("_metadata.file_path").alias("source_file"),
-            F.when(small, strip(F.col("value"))).alias("document"),
-            small.alias("_small"),
-        ),
+        .filter(small)
+        .select(F.col("_metadata.file_path").alias("source_file"), strip(F.col("value")).alias("document")),
         unclear,
         ["source_file"],
         "left_semi",
     )
-    verdict = cut(
-        documents.select("source_file", "_small", is_json(F.col("document")).alias("_is_one"))
-    )
-    # A file too large for one row is reported, not guessed at line by line.
-    settled = verdict.filter(F.col("_is_one") | ~F.col("_small")).select("source_file")
-    by_line = lookup_join(by_line, settled, ["source_file"], "left_anti", spread=number)
-    whole = lookup_join(
-        documents, verdict.filter("_is_one").select("source_file"), ["source_file"], "left_semi"
-    )
+    settled = cut(documents.filter(is_json(F.col("document"))).select("source_file"))
+    by_line = lookup_join(by_line, settled, ["source_file"], "left_anti")
+    whole = lookup_join(documents, settled, ["source_file"], "left_semi")
     objects = whole.filter(~F.col("document").startswith("[")).select(
         "source_file", F.lit(1).cast("long").alias("line_number"), F.col("document").alias("element")
     )
     nested = whole.filter(F.col("document").startswith("[")).select("source_file", "document")
-    readable = _json_rows(
-        by_line.unionByName(_elements(arrays.unionByName(nested))).unionByName(objects)
-    )
-    return readable.unionByName(
-        _reported(
-            verdict.filter(~F.col("_small")).select("source_file"),
-            "JSON document too large for one row",
-        )
-    )
+    return _json_rows(by_line.unionByName(_elements(arrays.unionByName(nested))).unionByName(objects))
 
 
 def _elements(arrays: DataFrame) -> DataFrame:
@@ -248,54 +256,87 @@ def _elements(arrays: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def csv_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
-    """Files by header line. Holds one short line per file, as a file listing does."""
+def csv_headers(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, bool], list[str]]:
+    """Files by header line and by whether a quoted cell goes on over a line break.
+
+    Holds one short line per file, as a file listing does. A line with an odd number
+    of quotes begins or ends such a cell.
+    """
     scan = _by_extension(spark, CSV_EXTENSIONS).text(list(paths))
-    leading = scan.select(
+    text = strip(F.col("value"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    leads = (F.col("_metadata.file_block_start") == 0) & (text != "")
+    heads = scan.select(
         F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
-        strip(F.col("value")).alias("value"),
-    ).filter((F.col("block") == 0) & (F.col("value") != ""))
-    heads = leading.groupBy("source_file").agg(F.min_by("value", "at").alias("header"))
-    groups: dict[str, list[str]] = {}
-    for row in heads.toLocalIterator():
-        groups.setdefault(row.header, []).append(row.source_file)
+        F.when(leads, text).alias("value"),
+        (quotes % 2 == 1).alias("odd"),
+    )
+    found = heads.groupBy("source_file").agg(
+        F.min(F.when(F.col("value").isNotNull(), F.struct("at", "value"))).getField("value").alias("header"),
+        F.bool_or("odd").alias("broken"),
+    )
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for row in found.filter("header is not null").toLocalIterator():
+        groups.setdefault((row.header, bool(row.broken)), []).append(row.source_file)
     return groups
 
 
-def raw_csv(spark: SparkSession, paths: Sequence[str], multi_line: bool = False) -> DataFrame | None:
+def raw_csv(spark: SparkSession, paths: Sequence[str], multi_line: bool | None = None) -> DataFrame | None:
     """Records of CSV files, one scan per distinct header.
 
-    ``multi_line`` allows line breaks inside quotes; such files are not split.
+    Files in which a quoted cell holds a line break are read whole, the others are split;
+    ``multi_line`` decides for all files.
     """
     scans = [
-        _csv_group(spark, header, files, multi_line)
-        for header, files in sorted(csv_headers(spark, paths).items())
+        _csv_group(spark, header, files, broken if multi_line is None else multi_line)
+        for (header, broken), files in sorted(csv_headers(spark, paths).items())
     ]
     return reduce(DataFrame.unionByName, scans) if scans else None
 
 
+def column_names(header: str) -> list[str]:
+    """Names of a header line; empty ones by place, repeated ones with a number behind them."""
+    names: list[str] = []
+    for place, name in enumerate(next(csv.reader([header]))):
+        own = name or f"_c{place}"
+        times = 0
+        while own in names:
+            times += 1
+            own = f"{name or f'_c{place}'}.{times}"
+        names.append(own)
+    return names
+
+
 def _csv_group(
     spark: SparkSession, header: str, files: Sequence[str], multi_line: bool
 ) -> DataFrame:
-    names = [name or f"_c{i}" for i, name in enumerate(next(csv.reader([header])))]
+    names = column_names(header)
     columns = [f"c{i}" for i in range(len(names))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_surplus"]])
+    cells = [T.StructField(c, T.StringType()) for c in columns]
+    # Spark keeps the text of a record with more or fewer cells than the header.
+    schema = T.StructType([*cells, T.StructField("_text", T.StringType())])
     # File names from the metadata column are URIs; a path needs them decoded.
-    scan = spark.read.csv(
-        [_uri_path(f) for f in files],
-        schema=schema,
+    reader = spark.read.schema(schema).options(
         header=True,
         escape='"',
         multiLine=multi_line,
         enforceSchema=True,
+        mode="PERMISSIVE",
+        columnNameOfCorruptRecord="_text",
+        # Else cells that no one asks for are not counted.
+        columnPruning=False,
     )
+    scan = reader.csv([_plain_path(f) for f in files])
+    wide = T.StructType([*cells, T.StructField("_surplus", T.StringType())])
     numbered = number_records(scan)
     fields = F.map_from_arrays(
         F.array(*[F.lit(n) for n in names]), F.array(*[F.col(c) for c in columns])
     )
-    good = F.col("_surplus").isNull()
+    read = F.from_csv("_text", wide.simpleString()[7:-1].replace(":", " "), {"escape": '"', "multiLine": "true"})
+    # Spark refuses a scan of the record text alone; no length is negative.
+    never = F.length("c0") < 0
+    good = F.col("_text").isNull() | read["_surplus"].isNull() | F.coalesce(never, F.lit(False))
     seconds = F.create_map(
         *[
             part
@@ -315,16 +356,14 @@ def _csv_group(
         _null("string").alias("line"),
         F.when(good, F.col("fields")).alias("fields"),
         F.when(good, seconds).alias("seconds"),
-        F.when(
-            ~good, F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in [*columns, "_surplus"]])
-        ).alias("raw"),
+        F.when(~good, F.col("_text")).alias("raw"),
         F.when(~good, "more fields than the header").alias("reason"),
     )
 
 
-def _uri_path(uri: str) -> str:
-    """The path of a file URI, with its percent escapes undone."""
-    return unquote(uri)
+def _plain_path(uri: str) -> str:
+    """The path of a file URI: percent escapes undone, and glob characters taken as they are."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(uri))
 
 
 # ---------------------------------------------------------------------------
@@ -336,7 +375,7 @@ def raw_rows(
     spark: SparkSession,
     paths: Sequence[str],
     strict: bool = False,
-    multi_line_csv: bool = False,
+    multi_line_csv: bool | None = None,
 ) -> DataFrame:
     """Raw rows of all files below ``paths``, each read by its extension.
 
@@ -360,6 +399,11 @@ def raw_rows(
             tables = raw_csv(spark, found, multi_line_csv)
             if tables is not None:
                 parts.append(tables)
+        if hidden := [f for f in hidden_files(spark, found) if not f.endswith((".crc", "/_SUCCESS"))]:
+            if strict:
+                raise ValueError(f"hidden files are not read: {hidden}")
+            names = spark.createDataFrame([(h,) for h in hidden], "source_file string")
+            parts.append(_reported(names, "hidden file name"))
         if unknown:
             parts.append(
                 _reported(

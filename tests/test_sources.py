@@ -32,10 +32,42 @@ def test_json_document_and_lines(spark, tmp_path):
         (1, "invalid JSON"), (3, "invalid JSON"), (3, "not a JSON object")]
 
 
-def test_large_documents_are_reported(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps([EVENT], indent=1))
-    raw = files.raw_json(spark, [str(tmp_path)], max_document_bytes=10)
-    assert [r.reason for r in raw.collect()] == ["JSON document too large for one row"]
+def test_nothing_of_a_large_file_is_lost(spark, tmp_path):
+    good = json.dumps(EVENT) + "\n"
+    (tmp_path / "a.jsonl").write_text("no json\n" + good * 50)
+    (tmp_path / "b.json").write_text("\n" * 1500 + "broken {\n" + good * 30)
+    (tmp_path / "c.json").write_text(json.dumps([EVENT, EVENT], indent=1))
+    raw = files.raw_json(spark, [str(tmp_path)])
+    found = {}
+    for r in raw.collect():
+        key = (r.source_file.rsplit("/", 1)[1], r.reason)
+        found[key] = found.get(key, 0) + 1
+    assert found == {("a.jsonl", "invalid JSON"): 1, ("a.jsonl", None): 50, ("b.json", "invalid JSON"): 1,
+                     ("b.json", None): 30, ("c.json", None): 2}
+    # Beyond the size of a row a document goes line by line, and every line is accounted for.
+    by_line = files.raw_json(spark, [str(tmp_path / "c.json")], document_bytes=10).collect()
+    assert len(by_line) == len((tmp_path / "c.json").read_text().split("\n"))
+
+
+def test_csv_of_all_kinds(spark, tmp_path):
+    (tmp_path / "app[1].csv").write_text('level,message\nERROR,"line one\nline ""two"""\nWARN,plain\n')
+    (tmp_path / "twice.csv").write_text("level,message,message\nERROR,a,b\n")
+    (tmp_path / "more.csv").write_text("level,message\nERROR,a,b,c,d\nINFO\nWARN,x\n")
+    events, bad = read(spark, tmp_path)
+    rows = {(r.source_file.rsplit("/", 1)[1], r.level, r.message) for r in events.collect()}
+    assert ("app%5B1%5D.csv", "ERROR", 'line one\nline "two"') in rows or ("app[1].csv", "ERROR", 'line one\nline "two"') in rows
+    assert ("twice.csv", "ERROR", "a") in rows and ("more.csv", "WARN", "x") in rows
+    assert len(rows) == 5
+    assert [(r.raw, r.reason) for r in bad.collect()] == [("ERROR,a,b,c,d", "more fields than the header")]
+
+
+def test_hidden_files_are_reported(spark, tmp_path):
+    (tmp_path / "_app.log").write_text("ERROR x")
+    (tmp_path / ".h.log").write_text("ERROR y")
+    (tmp_path / "a.log").write_text("ERROR z")
+    events, bad = read(spark, tmp_path)
+    assert events.count() == 1
+    assert sorted(r.source_file.rsplit("/", 1)[1] for r in bad.filter("reason = 'hidden file name'").collect()) == [".h.log", "_app.log"]
 
 
 def test_csv_headers_and_cells(spark, tmp_path):
