@@ -179,7 +179,7 @@ def conversation_export(
         ).alias("history")
     )
     stats = conversation_stats(turns, conversation, turn, role)
-    exported = lookup_join(gathered, stats, [conversation], spread=F.col("part"))
+    exported = lookup_join(gathered, stats, [conversation])
     silent = stats.join(gathered.filter("part = 1").select(conversation), conversation, "left_anti")
     return exported.unionByName(
         silent.withColumn("part", F.lit(1).cast("long")), allowMissingColumns=True
@@ -208,7 +208,7 @@ def root_cause_prompts(
         "nothing else. Its fields: summary (one sentence), root_cause_description (two or three "
         "sentences), affected_components (list of service names), confidence_score (0 to 1)."
     )
-    return lookup_join(texts, chunks, ["incident_id"], spread=F.col("chunk")).select(
+    return lookup_join(texts, chunks, ["incident_id"]).select(
         "incident_id",
         "chunk",
         "n_chunks",

@@ -54,7 +54,10 @@ def nearest_vectors(
     ``embedding``. Each task scores a batch against the queries and passes on k
     rows per query, never all pairs. Few queries travel to every task; many are
     cut into blocks, and each block meets each block of vectors in a task of its own.
+    Null vectors, and vectors with a null in them, match nothing.
     """
+    vectors = vectors.filter(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
+    queries = queries.filter(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
     held, few = held_lookup(queries.select("query_id", "embedding"), max_rows=block)
     if few:
         found = _against_few(vectors, held, k)
@@ -142,7 +145,7 @@ def keyword_search(
     words = documents.select(key, F.explode(words_of(F.col(text))).alias("keyword"))
     wanted = keywords.select(F.lower("keyword").alias("keyword")).distinct()
     counted = (
-        lookup_join(words, wanted, ["keyword"], "left_semi", spread=F.xxhash64(key))
+        lookup_join(words, wanted, ["keyword"], "left_semi")
         .groupBy("keyword", key)
         .agg(F.count(F.lit(1)).alias("score"))
     )

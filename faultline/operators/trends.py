@@ -111,8 +111,12 @@ def metric_windows(points: DataFrame, width: str, keys: Sequence[str]) -> DataFr
             F.count(F.lit(1)).alias("n_points"),
             F.max("value").alias("max_value"),
             F.max("ratio").alias("max_ratio"),
+            F.percentile_approx("value", 0.5).alias("median_value"),
+        )
+        .select(
+            F.col("_window.start").alias("window_start"), *keys, "metric", "n_points", "max_value", "max_ratio",
+            "median_value",
         )
-        .select(F.col("_window.start").alias("window_start"), *keys, "metric", "n_points", "max_value", "max_ratio")
     )
 
 

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.plans.cut import cut
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
-SALTS = 64
 
 
 def held_lookup(
@@ -42,24 +41,14 @@ def lookup_join(
     keys: Sequence[str],
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
-    spread: Column | None = None,
 ) -> DataFrame:
     """Join a fact side to a lookup side that has few rows per key.
 
-    The lookup is broadcast when its counted size allows it. Otherwise both sides
-    are salted: each lookup row is copied to every salt, each fact row goes to
-    one, so a hot key is spread over ``SALTS`` tasks. ``how`` may be any type
-    that keeps rows of the large side (inner, left, left_semi, left_anti).
+    The lookup is broadcast when its counted size allows it. Otherwise it is a plain
+    join of both sides, whose skewed partitions Spark splits at run time. ``how`` may be any
+    type that keeps rows of the large side (inner, left, left_semi, left_anti).
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"join type {how} would repeat rows of the copied side")
+        raise ValueError(f"join type {how} would repeat rows of the lookup side")
     held, fits = held_lookup(small, max_rows)
-    if fits:
-        return large.join(F.broadcast(held), list(keys), how)
-    if spread is None:
-        # Maps have no hash.
-        hashed = [f.name for f in large.schema if "map<" not in f.dataType.simpleString()]
-        spread = F.xxhash64(*[F.col(f"`{c}`") for c in hashed])
-    salted = large.withColumn("_salt", F.pmod(spread, F.lit(SALTS)).cast("int"))
-    copies = held.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return large.join(F.broadcast(held) if fits else held, list(keys), how)

@@ -9,13 +9,13 @@ from faultline.plans.ranking import exact_row_number, first_n
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_lookup_equals_the_plain_join(spark, how):
+def test_large_lookup_equals_the_plain_join(spark, how):
     large = spark.range(2000).withColumn("k", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 17))
     small = spark.range(0, 12, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     plain = {tuple(r) for r in large.join(small, "k", how).select("*").collect()}
-    salted = lookup_join(large, small, ["k"], how, max_rows=2)
-    assert {tuple(r) for r in salted.collect()} == plain
-    assert salted.count() == large.join(small, "k", how).count()
+    looked_up = lookup_join(large, small, ["k"], how, max_rows=2)
+    assert {tuple(r) for r in looked_up.collect()} == plain
+    assert looked_up.count() == large.join(small, "k", how).count()
 
 
 def test_lookup_join_refuses_types_that_repeat_rows(spark):
@@ -87,7 +87,7 @@ def test_lookup_size_counts_bytes(spark):
     assert held_lookup(wide)[1] and not held_lookup(wide, max_bytes=2000)[1] and not held_lookup(wide, max_rows=2)[1]
 
 
-def test_salting_takes_rows_with_maps(spark):
+def test_large_lookup_takes_rows_with_maps(spark):
     large = spark.range(50).select((F.col("id") % 5).alias("k"), F.create_map(F.lit("a"), F.col("id")).alias("m"))
     assert lookup_join(large, spark.range(3).withColumnRenamed("id", "k"), ["k"], max_rows=1).count() == 30
 
