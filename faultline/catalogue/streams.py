@@ -9,7 +9,7 @@ from faultline.catalogue.incidents import as_of
 from faultline.catalogue.registry import Tables, log_view, query, second, sql_second, with_log
 from faultline.operators import timeline
 from faultline.session import new_folder
-from faultline.sources.streams import stream_table, stream_text
+from faultline.sources.streams import stream_csv, stream_json_documents, stream_table, stream_text
 from faultline.streaming import monitor
 from faultline.streaming.lifecycle import alert_changes
 
@@ -115,3 +115,32 @@ def stream_text_scan(t: Tables) -> DataFrame:
     return events.agg(n).unionByName(bad.agg(n)).unionByName(
         scanned.agg(F.sum("events_processed").alias("n"))
     )
+
+
+@query(
+    with_log(
+        """
+SELECT kind, level, count(*) AS n FROM log_events, (VALUES ('json'), ('csv')) k(kind)
+WHERE strftime(timestamp, '%d') = '01' GROUP BY 1, 2"""
+    )
+)
+def stream_json_and_csv(t: Tables) -> DataFrame:
+    """The events of first days arrive as JSON documents and as CSV files, and are scanned by two streams."""
+    logs, out = new_folder(t.spark, "logs"), new_folder(t.spark, "scans")
+    rows = t.log_events.filter(F.date_format("timestamp", "dd") == "01").select(
+        second("timestamp").alias("timestamp"), "level", "service", "message"
+    )
+    rows.write.json(f"{logs}/json")
+    rows.write.option("header", True).csv(f"{logs}/csv")
+    streams = {
+        "json": stream_json_documents(t.spark, f"{logs}/json"),
+        "csv": stream_csv(t.spark, f"{logs}/csv", "timestamp,level,service,message"),
+    }
+    found = []
+    for kind, raw in streams.items():
+        monitor.monitor(
+            raw, lambda r: timeline.to_events(r, as_of()), f"{out}/{kind}", new_folder(t.spark, "state"), once=True
+        ).awaitTermination()
+        events = t.spark.read.parquet(f"{out}/{kind}/events")
+        found.append(events.groupBy(F.lit(kind).alias("kind"), "level").agg(F.count(F.lit(1)).alias("n")))
+    return found[0].unionByName(found[1])

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 
 def save_reports(reports: DataFrame, path: str, kind: str = "markdown") -> str:
-    """Write reports below ``path``, a folder per incident; returns the path used.
+    """Write reports below ``path``, a folder per incident and part; returns the path used.
 
-    JSON reports always end up below a path that ends in ``.json``.
+    A rerun replaces the incidents it writes and leaves the others. JSON reports always end
+    up below a path that ends in ``.json``.
     """
     if kind.lower() == "json" and not path.endswith(".json"):
         path = path.rsplit(".", 1)[0] + ".json"
-    rows = reports.select("incident_id", "report")
-    rows.write.mode("append").partitionBy("incident_id").text(path)
+    places = [c for c in ("incident_id", "part") if c in reports.columns]
+    rows = reports.select(*places, "report")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*places).text(path)
     return path
 
 

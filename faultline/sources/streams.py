@@ -8,7 +8,16 @@ from pyspark.sql import types as T
 
 from faultline.functions.text import strip
 from faultline.schema import TEXT_EXTENSIONS
-from faultline.sources.files import _null, extension_glob, json_object, json_seconds
+from faultline.schema import CSV_EXTENSIONS
+from faultline.sources.files import (
+    _json_rows,
+    _null,
+    column_names,
+    extension_glob,
+    json_array,
+    json_object,
+    json_seconds,
+)
 
 
 def stream_text(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
@@ -59,6 +68,56 @@ def stream_json_lines(spark: SparkSession, folder: str, max_files: int | None =
     )
 
 
+def stream_json_documents(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """Raw rows of ``.json`` files as they arrive: an object, an array of objects, or a line each.
+
+    A file is one row until it is split, so it must stay below 2 GB.
+    """
+    reader = spark.readStream.option("pathGlobFilter", extension_glob(["json"]))
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    text = strip(F.col("value"))
+    documents = reader.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), text.alias("value"))
+    one = F.array(F.col("value"))
+    lines = F.filter(F.transform(F.split("value", "\r\n|\r|\n"), strip), lambda line: line != "")
+    parts = (
+        F.when(F.col("value").startswith("["), F.coalesce(json_array(F.col("value")), lines))
+        .when(json_object(F.col("value")).isNotNull(), one)
+        .otherwise(lines)
+    )
+    found = documents.filter(F.col("value") != "").select("source_file", F.posexplode(parts).alias("_at", "element"))
+    return _json_rows(
+        found.select("source_file", (F.col("_at") + 1).cast("long").alias("line_number"), "element")
+    )
+
+
+def stream_csv(spark: SparkSession, folder: str, header: str, max_files: int | None = None) -> DataFrame:
+    """Raw rows of CSV files as they arrive; all have the columns of the ``header`` line.
+
+    A stream needs its columns before it starts. Files whose own header differs give
+    rows under the names stated here.
+    """
+    names = column_names(header)
+    columns = [f"c{i}" for i in range(len(names))]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_surplus"]])
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", extension_glob(CSV_EXTENSIONS))
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    rows = reader.options(header=True, escape='"', multiLine=True, enforceSchema=True).csv(folder)
+    fields = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(c) for c in columns]))
+    good = F.col("_surplus").isNull()
+    text = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in [*columns, "_surplus"]])
+    return rows.select(
+        F.col("_metadata.file_path").alias("source_file"),
+        _null("long").alias("line_number"),
+        _null("string").alias("line"),
+        F.when(good, fields).alias("fields"),
+        _null("map<string,double>").alias("seconds"),
+        F.when(~good, text).alias("raw"),
+        F.when(~good, "more fields than the header").alias("reason"),
+    )
+
+
 def stream_table(
     spark: SparkSession,
     folder: str,

@@ -86,7 +86,8 @@ def monitor(
     """Scan what arrived since the last cycle: scans, alerts, events and bad rows.
 
     ``prepare`` makes events of raw rows. Bad rows go to quarantine and do not
-    stop the loop; a failing machine does, and Spark repeats the batch.
+    stop the loop; a failing batch does, after its scan row says ``error: …``, and a repeat of
+    the batch replaces that row. Without new files there is no batch: see :func:`idle_scan`.
     """
     now = scan_time if scan_time is not None else F.current_timestamp()
     # Lines of a stream have no number; equal times are put in order by their text.
@@ -97,6 +98,15 @@ def monitor(
             rows.write.mode("overwrite").parquet(f"{path}/{name}/scan_number={batch_id + 1}")
 
         batch = batch.persist()
+        try:
+            process(batch, save)
+        except Exception as error:
+            save(scan_row(batch.sparkSession, f"error: {type(error).__name__}").withColumn("scan_time", now), "scans")
+            raise
+        finally:
+            batch.unpersist()
+
+    def process(batch: DataFrame, save: Callable[[DataFrame, str], None]) -> None:
         events = prepare(batch)
         save(quarantined(batch), "quarantine")
         save(events, "events")
@@ -112,7 +122,6 @@ def monitor(
         status = F.when(F.col("events_processed") == 0, "no_data").otherwise("success")
         save(summary.withColumns({"scan_time": now, "status": status}), "scans")
         alerts.unpersist()
-        batch.unpersist()
 
     return (
         raw.writeStream.foreachBatch(scan)
@@ -122,6 +131,22 @@ def monitor(
     )
 
 
+def scan_row(spark: SparkSession, status: str) -> DataFrame:
+    """The scan row of a cycle that processed nothing."""
+    return spark.createDataFrame([(0, 0, status)], "events_processed long, n_trends long, status string")
+
+
+def idle_scan(spark: SparkSession, path: str, label: str, scan_time: Column | None = None) -> None:
+    """The scan row of a cycle that found no new files, below the scans of :func:`monitor`.
+
+    A stream runs no batch then; whoever starts the cycles calls this, with a ``label`` of its
+    own for each, and a repeated call replaces its row.
+    """
+    now = scan_time if scan_time is not None else F.current_timestamp()
+    row = scan_row(spark, "no_data").withColumn("scan_time", now)
+    row.write.mode("overwrite").parquet(f"{path}/scans/idle={label}")
+
+
 def write_windows(
     events: DataFrame,
     width: str,

@@ -2,7 +2,13 @@ from pyspark.sql import functions as F
 
 from faultline.operators import metrics, timeline, trends
 from faultline.sinks import tables as sinks
-from faultline.sources.streams import stream_json_lines, stream_table, stream_text
+from faultline.sources.streams import (
+    stream_csv,
+    stream_json_documents,
+    stream_json_lines,
+    stream_table,
+    stream_text,
+)
 from faultline.streaming import monitor
 
 
@@ -104,3 +110,46 @@ def test_alert_changes_equal_the_batch_life_cycle(spark, make_events, tmp_path):
     assert {(r.service, r.opened_at, r.resolved_at) for r in changes if r.change == "resolved"} == {
         (r.service, r.opened_at, r.resolved_at) for r in batch if r.resolved_at is not None}
     assert len(batch) > 2
+
+
+def _scan(spark, raw, out, state):
+    monitor.monitor(raw, lambda rows: timeline.to_events(rows, as_of()), str(out), str(state), once=True).awaitTermination()
+
+
+def test_json_documents_and_csv_arrive(spark, tmp_path):
+    logs, out = tmp_path / "logs", tmp_path / "out"
+    logs.mkdir()
+    (logs / "a.json").write_text('[{"level": "ERROR",\n "message": "a"}, 5]')
+    (logs / "b.json").write_text('{"level": "WARN",\n "message": "b"}')
+    (logs / "c.json").write_text('{"level": "INFO", "message": "c"}\nbroken\n')
+    (logs / "d.csv").write_text('level,message\nFATAL,"two\nlines"\nINFO,x,y\n')
+    _scan(spark, stream_json_documents(spark, str(logs)), out / "json", tmp_path / "s1")
+    _scan(spark, stream_csv(spark, str(logs), "level,message"), out / "csv", tmp_path / "s2")
+    events = spark.read.parquet(str(out / "json" / "events")).unionByName(spark.read.parquet(str(out / "csv" / "events")))
+    assert {(r.level, r.message) for r in events.collect()} == {
+        ("ERROR", "a"), ("WARN", "b"), ("INFO", "c"), ("FATAL", "two\nlines")}
+    bad = spark.read.parquet(str(out / "json" / "quarantine")).collect() + spark.read.parquet(str(out / "csv" / "quarantine")).collect()
+    assert sorted((r.raw, r.reason) for r in bad) == [
+        ("5", "not a JSON object"), ("INFO,x,y", "more fields than the header"), ("broken", "invalid JSON")]
+
+
+def test_idle_and_failed_cycles_leave_a_scan_row(spark, tmp_path):
+    logs, out = tmp_path / "logs", tmp_path / "out"
+    logs.mkdir()
+    (logs / "a.log").write_text("ERROR x")
+
+    def broken(rows):
+        raise RuntimeError("no events today")
+
+    query = monitor.monitor(stream_text(spark, str(logs)), broken, str(out), str(tmp_path / "s"), once=True)
+    try:
+        query.awaitTermination()
+        failed = False
+    except Exception:
+        failed = True
+    assert failed
+    scans = spark.read.parquet(str(out / "scans"))
+    assert [r.status for r in scans.collect()] == ["error: RuntimeError"]
+    monitor.idle_scan(spark, str(out), "2024-01-15T10-30")
+    monitor.idle_scan(spark, str(out), "2024-01-15T10-30")
+    assert [r.status for r in spark.read.parquet(str(out / "scans" / "idle=2024-01-15T10-30")).collect()] == ["no_data"]
