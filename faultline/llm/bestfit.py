@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.skew import held, placed
+from faultline.llm.words import few_rows
 
 SIZE = 1024
 END_ID = 2
@@ -109,7 +110,7 @@ def token_pieces(encoder, size: int = SIZE):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
-        for batch in batches:
+        for batch in few_rows(batches):
             ids, columns = batch.column(0), ([], [], [], [], [])
             for at, text in enumerate(batch.column(1)):
                 tokens = encode(text.as_py() or "") + END_ID.to_bytes(4, "little")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.skew import attach, by_size, held
+from faultline.llm.words import few_rows
 
 # Fixed patterns: kind, pattern, group that holds the value, least length of that group.
 BASE = (
@@ -115,7 +116,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spans = pa.list_(
         pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value_hash", pa.binary())])
     )
-    for batch in batches:
+    for batch in few_rows(batches):
         counts, digests, candidates = [], [], []
         for text in batch.column(3):
             text = text.as_py() or ""

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.skew import held
+from faultline.llm.skew import by_size, held
+from faultline.llm.words import few_rows
 
 # The classifier is fitted on at most so many labelled rows, those of the smallest id hashes.
 SAMPLE_ROWS = 16_000
@@ -274,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model |
     lexicon = mine_lexicon(sample)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -306,7 +307,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     model = fit(docs, labels, rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found = model.scores(texts) if model is not None and texts else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays(
@@ -323,15 +324,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, in their own columns; scored where they stand, without a join."""
-    model = fit(docs, labels)
-    if model is None:
-        return docs
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            if texts:
-                yield batch.filter(pa.array(model.scores(texts) < THRESHOLD))
-
-    return docs.mapInArrow(keep, docs.schema)
+    """The documents that are not predicted toxic, whole rows, in the columns of ``docs``; rows without an id stay.
+
+    Texts go to Python to be scored, and only ids and scores come back.
+    """
+    found = score_documents(docs, labels).groupBy(F.col("doc_id").alias("gone_id")).agg(F.min("predicted").alias("toxic"))
+    gone = by_size(found.filter("toxic = 1").select("gone_id"), "toxic-ids")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.skew import attach, by_size, held
+from faultline.llm.words import few_rows
 from faultline.session import new_folder
 
 # Payloads of at least so many bytes are written once; later ones revisit them.
@@ -120,13 +121,6 @@ def file_system(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Few rows at a time: pages may be long."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def write_records(folder: str, archive_bytes: int):
     """mapInArrow: (page_id, url, payload, digest, refers_to) to ENTRIES; writes archives below ``folder``."""
 
@@ -135,7 +129,7 @@ def write_records(folder: str, archive_bytes: int):
         attempt = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         stream, name, offset, number = None, "", 0, 0
         try:
-            for batch in slices(batches):
+            for batch in few_rows(batches):
                 rows = []
                 for page, url, payload, digest, refers in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                     if stream is None or offset >= archive_bytes:
@@ -308,7 +302,7 @@ def read_ranges(folder: str, with_payload: bool):
         system, path = file_system(folder)
         name, stream = None, None
         try:
-            for batch in slices(batches):
+            for batch in few_rows(batches):
                 rows = []
                 for archive, offset, length in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                     if archive != name:

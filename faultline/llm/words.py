@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes worked on at once; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
@@ -107,6 +107,13 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[TextSlic
         at = stop
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, where each is turned into Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def find_words(part: TextSlice) -> Words:
     inside = np.zeros(len(part.data) + 1, dtype=bool)
     np.logical_not(_SPACE[part.data], out=inside[:-1])
