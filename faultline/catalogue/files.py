@@ -233,3 +233,81 @@ def landed_events(t: Tables) -> DataFrame:
     sinks.land_events(t.log_events, path)
     landed = t.spark.read.parquet(path)
     return landed.groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _daily_lines(t: Tables, *extra) -> str:
+    """Text files by day: the events as JSON, one per line, and further lines by (place, text)."""
+    folder = new_folder(t.spark, "daily")
+    body = F.to_json(F.struct(second("timestamp").alias("timestamp"), "level", "service", "message"))
+    rows = t.log_events.select(F.col("incident_id").alias("day"), F.lit(1).alias("place"), body.alias("line"))
+    days = t.log_events.select(F.col("incident_id").alias("day")).distinct()
+    for place, text in extra:
+        rows = rows.unionByName(days.select("day", F.lit(place).alias("place"), F.lit(text).alias("line")))
+    if extra[0][1] == "[":
+        rows = rows.withColumn("line", F.when(F.col("place") == 1, F.concat("line", F.lit(","))).otherwise(F.col("line")))
+    rows = rows.repartition("day").sortWithinPartitions("day", "place").select("day", "line")
+    rows.write.partitionBy("day").text(folder)
+    return folder
+
+
+def _levels(raw) -> DataFrame:
+    """Records by level, and bad ones by reason, with the characters of their messages."""
+    events = timeline.to_events(raw, as_of()).select(
+        F.concat(F.lit("level "), "level").alias("what"), F.length("message").alias("chars")
+    )
+    bad = timeline.quarantined(raw).select(F.concat(F.lit("bad "), "reason").alias("what"), F.length("raw").alias("chars"))
+    return events.unionByName(bad).groupBy("what").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("chars").cast("long").alias("chars")
+    )
+
+
+@query(
+    with_log(
+        """
+SELECT concat('level ', level) AS what, count(*) AS n, CAST(sum(length(message)) AS BIGINT) AS chars
+FROM log_events GROUP BY 1
+UNION ALL
+SELECT 'bad invalid JSON', count(DISTINCT incident_id), CAST(8 * count(DISTINCT incident_id) AS BIGINT) FROM log_events"""
+    )
+)
+def scan_json_bad_first_line(t: Tables) -> DataFrame:
+    """JSON-lines files whose first line is broken lose that line alone."""
+    return _levels(files.raw_json(t.spark, [_daily_lines(t, (0, '{"broken'))], extensions=["txt"]))
+
+
+@query(
+    with_log(
+        """
+SELECT concat('level ', level) AS what, count(*) AS n, CAST(sum(length(message)) AS BIGINT) AS chars
+FROM log_events GROUP BY 1
+UNION ALL
+SELECT 'level FATAL end', count(DISTINCT incident_id), CAST(3 * count(DISTINCT incident_id) AS BIGINT) FROM log_events"""
+    )
+)
+def scan_json_arrays(t: Tables) -> DataFrame:
+    """JSON documents that are one array over many lines."""
+    end = '{"timestamp":"2024-01-01 00:00:00","level":"FATAL","service":"x","message":"end"}]'
+    raw = files.raw_json(t.spark, [_daily_lines(t, (0, "["), (2, end))], extensions=["txt"])
+    found = timeline.to_events(raw, as_of())
+    last = F.when(F.col("message") == "end", " end").otherwise("")
+    return found.groupBy(F.concat(F.lit("level "), "level", last).alias("what")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("message")).cast("long").alias("chars")
+    )
+
+
+@query(
+    with_log(
+        """
+SELECT concat('level ', level) AS what, count(*) AS n,
+       CAST(sum(length(message) + length(service) + 5) AS BIGINT) AS chars
+FROM log_events GROUP BY 1"""
+    )
+)
+def scan_csv_line_breaks(t: Tables) -> DataFrame:
+    """CSV files whose quoted cells hold line breaks, commas and quotes."""
+    folder = new_folder(t.spark, "broken")
+    message = F.concat("message", F.lit('\n"a",'), "service")
+    t.log_events.select(second("timestamp").alias("timestamp"), "level", "service", message.alias("message")).write.csv(
+        folder, header=True, escape='"'
+    )
+    return _levels(files.raw_csv(t.spark, [folder]))

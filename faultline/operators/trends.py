@@ -61,9 +61,16 @@ def trend_slopes(
     )
 
 
-def data_points(rates: DataFrame, keys: Sequence[str], value: str = "error_rate") -> DataFrame:
-    """The points of a trend, in time order; one per window."""
-    return rates.groupBy(*keys).agg(
+def data_points(
+    rates: DataFrame, keys: Sequence[str], value: str = "error_rate", part: str | None = None
+) -> DataFrame:
+    """The points of a trend, in time order; one per window.
+
+    With ``part`` (a unit such as ``day``) a trend goes on in rows of one unit each, so no
+    list grows with the time span.
+    """
+    extra = [F.date_trunc(part, F.col("window_start")).alias("part")] if part else []
+    return rates.groupBy(*keys, *extra).agg(
         F.sort_array(
             F.collect_list(F.struct(F.col("window_start").alias("ts"), F.col(value).alias("value")))
         ).alias("data_points")
