@@ -37,6 +37,38 @@ def stream_error_rate(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    with_log(
+        """
+SELECT incident_id, n_events, n_errors, CASE WHEN n_errors / n_events > 0.25 THEN 'critical' ELSE 'high' END AS severity,
+       services, concat('High error rate detected: ', printf('%.0f%%', n_errors / n_events * 100)) AS description,
+       concat('Begin with ', split_part(services, ', ', 1), ', the first to fail') AS action
+FROM (SELECT incident_id, CAST(sum(n) AS BIGINT) AS n_events, CAST(sum(e) AS BIGINT) AS n_errors,
+             string_agg(service, ', ' ORDER BY f) FILTER (WHERE e > 0) AS services
+      FROM (SELECT strftime(timestamp, '%Y%m%d%H') AS incident_id, service, count(*) AS n,
+                   count(*) FILTER (WHERE level = 'ERROR') AS e,
+                   min((timestamp, seq)) FILTER (WHERE level = 'ERROR') AS f
+            FROM log_events GROUP BY 1, 2)
+      GROUP BY 1)
+WHERE n_errors / n_events > 0.15"""
+    )
+)
+def stream_running_alerts(t: Tables) -> DataFrame:
+    """Whole alerts over all history of a stream, an incident per hour."""
+    path = new_folder(t.spark, "breakdown")
+    hourly = _event_stream(t).withColumn("incident_id", F.date_format("timestamp", "yyyyMMddHH"))
+    monitor.write_breakdown(hourly, path, new_folder(t.spark, "state"), once=True).awaitTermination()
+    return monitor.running_alerts(t.spark.read.parquet(path), as_of()).select(
+        F.col("incident_id").cast("string").alias("incident_id"),
+        "n_events",
+        "n_errors",
+        "severity",
+        F.array_join("affected_services", ", ").alias("services"),
+        "description",
+        F.get("recommended_actions", F.lit(0)).alias("action"),
+    )
+
+
 @query(
     with_log(
         f"""

@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from faultline.operators.alerts import alert_severity, error_rate_alerts
+from faultline.operators.alerts import (
+    alert_severity,
+    alerts_of_breakdown,
+    error_rate_alerts,
+    service_breakdown,
+)
 from faultline.operators.metrics import error_stats
 from faultline.operators.timeline import quarantined
 from faultline.operators.trends import windowed_rates
@@ -67,6 +72,39 @@ def write_running(
     )
 
 
+def write_breakdown(
+    events: DataFrame,
+    path: str,
+    checkpoint: str,
+    keys: Sequence[str] = ("incident_id",),
+    order: Sequence[str] = ("timestamp", "seq"),
+    once: bool = False,
+    interval: str = SCAN_INTERVAL,
+) -> StreamingQuery:
+    """Write the changed counts per key and service of every scan: the state behind full alerts."""
+    keep_state_on_disk(events.sparkSession)
+
+    def scan(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/scan_number={batch_id + 1}")
+
+    return (
+        service_breakdown(events, keys, order)
+        .writeStream.outputMode("update")
+        .foreachBatch(scan)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**_trigger(once, interval))
+        .start()
+    )
+
+
+def running_alerts(
+    written: DataFrame, detected_at: Column, keys: Sequence[str] = ("incident_id",)
+) -> DataFrame:
+    """Full alert rows over all history so far, from what :func:`write_breakdown` wrote."""
+    # A missing service is a service of its own here, as in the batch.
+    return alerts_of_breakdown(newest_state(written, [*keys, "service"]), detected_at, keys)
+
+
 def newest_state(written: DataFrame, keys: Sequence[str] = ("incident_id",)) -> DataFrame:
     """The present row of every key from what :func:`write_running` wrote."""
     values = [c for c in written.columns if c not in keys]
