@@ -24,6 +24,8 @@ from faultline.llm.skew import attach, by_size, held
 from faultline.llm.words import Sums, TextSlice, find_words, grams, mix, text_slices
 
 GROUP = 64  # members of a group: bits of a matrix row
+FREQUENT = 1 << 16  # shingles that are told to every task as frequent: 512 kB
+CHUNKS, LARGEST_CHUNK = 16, 4096  # a larger family has so many chunks, until they reach the largest size
 CHUNK = 128  # documents of a family that meet in one task with as many others
 
 
@@ -116,15 +118,53 @@ def keyed(n: int):
     return run
 
 
-def band_signatures(token, bounds, rows, band, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+def count_frequent(n: int):
+    """mapInArrow: (doc_id, text) to (token, texts): shingles that two or more texts of a slice have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch.column(1)):
+                token, counts = np.unique(shingle_sets(part, n)[0], return_counts=True)
+                often = counts > 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(token[often].view(np.int64)), pa.array(counts[often])], names=["token", "texts"]
+                )
+
+    return run
+
+
+def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
+    """The shingles that most texts share, ascending; at most FREQUENT of them.
+
+    They only guide which classes a document leaves out, so no link depends on the list.
+    """
+    found = (
+        docs.mapInArrow(count_frequent(n), "token long, texts long")
+        .groupBy("token")
+        .agg(F.sum("texts").alias("texts"))
+        .orderBy(F.desc("texts"), "token")
+        .limit(FREQUENT)
+    )
+    return np.sort(np.array([r.token for r in found.select("token").collect()], dtype=np.int64).view(np.uint64))
+
+
+def among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Whether each value is in a sorted list."""
+    if not len(ascending):
+        return np.zeros(len(values), dtype=bool)
+    at = np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)
+    return ascending[at] == values
+
+
+def band_signatures(token, bounds, rows, band, rule: Rule, frequent) -> tuple[np.ndarray, np.ndarray]:
     """Class signatures of the given rows in one instance each (``band`` per row): (signature, row).
 
-    With D differing tokens there are D + 1 + 2h classes, and every document leaves out its
-    h smallest ones; of the 2h + 1 classes in which a similar pair agrees at least one is kept by both.
+    With D differing tokens there are D + 1 + 2h classes, and every document leaves out the
+    h ones with the fewest tokens that are not frequent; of the 2h + 1 classes in which a similar pair agrees at least one is kept by both.
     An empty class that can't be left out stands for the document's prefix tokens: similar sets share one.
     """
     differing = np.array([rule.differing(b) for b in range(int(band.max()) + 1)])[band]
-    spare = (differing + 1) // 8
+    spare = (differing + 1) // 6
     classes = differing + 1 + 2 * spare
     base = np.concatenate([[0], np.cumsum(classes)])
     sizes = bounds[rows + 1] - bounds[rows]
@@ -137,7 +177,8 @@ def band_signatures(token, bounds, rows, band, rule: Rule) -> tuple[np.ndarray,
     content = row_sums(mix(values), np.concatenate([[0], np.cumsum(count)]))
     owner = np.repeat(np.arange(len(rows)), classes)
     number = np.arange(base[-1]) - base[owner]
-    order = np.lexsort((count, owner))
+    telling = np.bincount(slot[~frequent[flat]], minlength=base[-1])
+    order = np.lexsort((count, telling, owner))
     place = np.arange(base[-1]) - base[owner]  # owners are in blocks, before and after sorting
     kept = order[place >= spare[owner]]
     full = kept[count[kept] > 0]
@@ -161,24 +202,27 @@ def band_signatures(token, bounds, rows, band, rule: Rule) -> tuple[np.ndarray,
     return signature, rows[owner[full]]
 
 
-def signatures(token: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """All class signatures of a slice: (signature, row)."""
+def signatures(
+    token: np.ndarray, bounds: np.ndarray, rule: Rule, frequent: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """All class signatures of a slice: (signature, row); ``frequent`` is an ascending list of tokens."""
     sizes = np.diff(bounds)
     rows = np.flatnonzero(sizes >= rule.least)
     if not len(rows):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     own = rule.bands(sizes[rows])
-    parts = [band_signatures(token, bounds, rows, own, rule)]
+    known = among(token, frequent)
+    parts = [band_signatures(token, bounds, rows, own, rule, known)]
     upper = own > 0
     if upper.any():
-        parts.append(band_signatures(token, bounds, rows[upper], own[upper] - 1, rule))
+        parts.append(band_signatures(token, bounds, rows[upper], own[upper] - 1, rule, known))
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 SIGNED = "signature long, doc_id long, head long"
 
 
-def signed(n: int, rule: Rule):
+def signed(n: int, rule: Rule, frequent: np.ndarray):
     """mapInArrow: (doc_id, text) to (signature, doc_id, head).
 
     Within a slice a signature is sent once, by its first document; others that have it
@@ -191,7 +235,7 @@ def signed(n: int, rule: Rule):
             ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
             for part in text_slices(batch.column(1)):
                 token, bounds = shingle_sets(part, n)
-                signature, row = signatures(token, bounds, rule)
+                signature, row = signatures(token, bounds, rule, frequent)
                 doc = ids[part.first + row]
                 order = np.lexsort((doc, signature))
                 signature, doc = signature[order], doc[order]
@@ -333,7 +377,7 @@ def links_of_unit(rule: Rule):
 
 def families(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
     """(node, root): documents that share a class signature, directly or over others."""
-    marks = docs.mapInArrow(signed(n, rule), SIGNED)
+    marks = docs.mapInArrow(signed(n, rule, frequent_shingles(docs, n)), SIGNED)
     # Rows that have their head already only pass through, spread by document.
     home = F.coalesce("signature", F.xxhash64("doc_id"))
     links = (
@@ -374,7 +418,9 @@ def similar_groups(
     counted = held(
         members.groupBy("family").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "families"
     )
-    chunks = F.ceil(F.col("group_size") / F.lit(CHUNK)).cast("int")
+    # Each set is copied to as many units as its family has chunks.
+    size = F.greatest(F.lit(CHUNK), F.least(F.ceil(F.col("group_size") / F.lit(CHUNKS)), F.lit(LARGEST_CHUNK)))
+    chunks = F.ceil(F.col("group_size") / size).cast("int")
     dealt = (
         attach(members, counted.withColumn("chunks", chunks), "family", "doc_id", ["chunks"])
         .filter("chunks is not null")

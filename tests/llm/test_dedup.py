@@ -124,7 +124,8 @@ def test_similar_pairs_share_a_signature():
     texts = variants(7, families=40, copies=6)
     part = next(text_slices(pa.array(texts)))
     token, bounds = jaccard.shingle_sets(part, 4)
-    signature, row = jaccard.signatures(token, bounds, rule)
+    frequent = np.unique(token)[::3]  # whatever is taken for frequent
+    signature, row = jaccard.signatures(token, bounds, rule, frequent)
     own = defaultdict(set)
     for s, r in zip(signature.tolist(), row.tolist(), strict=True):
         own[r].add(s)
