@@ -14,7 +14,7 @@ import gzip
 import hashlib
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -164,7 +164,7 @@ def payloads(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
 
 
 def first_pages(rows: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, refers_to) of the pages that revisit another; payloads of at least ``least_bytes``."""
+    """(page_id, digest, refers_to) of the pages that revisit another; payloads of at least ``least_bytes``."""
     narrow = held(
         rows.select("page_id", F.when(F.octet_length("payload") >= least_bytes, F.col("digest")).alias("digest")), "digests"
     )
@@ -178,7 +178,7 @@ def first_pages(rows: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     return (
         attach(narrow, groups, "digest", "page_id", ["first"])
         .filter(F.col("first").isNotNull() & (F.col("first") != F.col("page_id")))
-        .select(F.col("page_id").alias("_id"), F.col("first").alias("refers_to"))
+        .select(F.col("page_id").alias("_id"), F.unhex("digest").alias("_sha"), F.col("first").alias("refers_to"))
         .distinct()
     )
 
@@ -189,9 +189,9 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     file_system_here.create_dir(path, recursive=True)
     rows = payloads(pages, **columns)
     revisits = by_size(first_pages(rows), "revisits")
-    joined = rows.join(revisits, F.col("page_id") == F.col("_id"), "left").select(
-        "page_id", "url", "payload", "digest", "refers_to"
-    )
+    # By payload as well: rows that repeat a page_id may differ in it.
+    same = (F.col("page_id") == F.col("_id")) & (F.unhex("digest") == F.col("_sha"))
+    joined = rows.join(revisits, same, "left").select("page_id", "url", "payload", "digest", "refers_to")
     return held(joined.mapInArrow(write_records(folder, archive_bytes), ENTRIES), "captures")
 
 
@@ -253,8 +253,8 @@ class CaptureIndex:
         # Longer blocks, not more of them, keep the directory small enough to be sent to every task.
         size = max(block_lines, -(-total // MOST_BLOCKS))
         self.blocks = held(
-            entries.repartitionByRange("urlkey", "page_id")
-            .sortWithinPartitions("urlkey", "page_id")
+            entries.repartitionByRange("urlkey", "page_id", "archive", "offset")
+            .sortWithinPartitions("urlkey", "page_id", "archive", "offset")
             .mapInArrow(pack_blocks(size), BLOCKS),
             "capture-blocks",
         )
@@ -271,10 +271,11 @@ class CaptureIndex:
             table = directory.value
             for batch in batches:
                 hits = set()
-                for key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    at = bisect_right(table, (key.encode(), page, 1 << 62)) - 1
-                    if at >= 0:
-                        hits.add(table[at][2])
+                # Captures of one key may run over many blocks, and begin at the end of the one before.
+                for key, page in set(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                    first = bisect_left(table, (key.encode(), page)) - 1
+                    last = bisect_right(table, (key.encode(), page, 1 << 62)) - 1
+                    hits.update(table[at][2] for at in range(max(first, 0), last + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(hits), pa.int64())], names=["_block"])
 
         asked = queries.select("urlkey", "page_id")

@@ -43,6 +43,28 @@ def test_repeated_rows_and_none(spark):
     assert warc.archive_pages(pages(spark, [])).count() == 0
 
 
+def test_captures_of_one_key_over_many_blocks(spark):
+    rows = [(5, "http://example.com/a", f"page {i} " * 30) for i in range(10)]
+    rows += [(None, None, f"none {i} " * 30) for i in range(9)] + PAGES
+    found = warc.archive_pages(pages(spark, rows), block_lines=2).collect()
+    digests = sorted((r.page_id or -1, r.payload_digest) for r in found)
+    assert digests == sorted((p or -1, hashlib.sha256((h or "").encode()).hexdigest()) for p, _, h in rows)
+
+
+def test_part_of_a_run_begins_in_the_block_before(spark):
+    rows = [(1, "http://a.example.com/", "one"), *[(2, "http://b.example.com/", "two")] * 4]
+    entries = warc.write_archives(pages(spark, rows), new_folder(spark, "warc"))
+    asked = spark.createDataFrame([("com,example,b)/", 2)], "urlkey string, page_id long")
+    assert warc.CaptureIndex(entries.coalesce(1), block_lines=2).lookup(asked).count() == 4
+
+
+def test_repeated_ids_with_other_payloads(spark):
+    rows = [(1, "http://a/", "x" * 200), (2, "http://a/", "x" * 200), (2, "http://a/", "y" * 200), (2, "http://a/", "z" * 9)]
+    found = warc.archive_pages(pages(spark, rows)).collect()
+    kinds = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or 0) for r in found)
+    assert kinds == [(1, 200, "response", 0), (2, 9, "response", 0), (2, 200, "response", 0), (2, 200, "revisit", 1)]
+
+
 def test_lookup_opens_only_the_blocks_it_needs(spark):
     rows = [(i, f"http://h{i % 7}.example.com/p{i}", f"page {i} " * 30) for i in range(200)]
     folder = new_folder(spark, "warc")
