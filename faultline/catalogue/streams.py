@@ -13,6 +13,9 @@ from faultline.sources.streams import stream_csv, stream_json_documents, stream_
 from faultline.streaming import monitor
 from faultline.streaming.lifecycle import alert_changes
 
+# Events in a JSON document or CSV file that a stream finds.
+FILE_ROWS = 10_000
+
 
 def _event_stream(t: Tables) -> DataFrame:
     return log_view(stream_table(t.spark, t.folder, t.events.schema, "events.parquet"))
@@ -149,21 +152,12 @@ def stream_text_scan(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    with_log(
-        """
-SELECT kind, level, count(*) AS n FROM log_events, (VALUES ('json'), ('csv')) k(kind)
-WHERE strftime(timestamp, '%d') = '01' GROUP BY 1, 2"""
-    )
-)
-def stream_json_and_csv(t: Tables) -> DataFrame:
-    """The events of first days arrive as JSON documents and as CSV files, and are scanned by two streams."""
+def _landed_json_and_csv(t: Tables) -> DataFrame:
+    """(kind, timestamp, level) of the events that the two streams land."""
     logs, out = new_folder(t.spark, "logs"), new_folder(t.spark, "scans")
-    rows = t.log_events.filter(F.date_format("timestamp", "dd") == "01").select(
-        second("timestamp").alias("timestamp"), "level", "service", "message"
-    )
-    rows.write.json(f"{logs}/json")
-    rows.write.option("header", True).csv(f"{logs}/csv")
+    rows = t.log_events.select(second("timestamp").alias("timestamp"), "level", "service", "message")
+    rows.write.option("maxRecordsPerFile", FILE_ROWS).json(f"{logs}/json")
+    rows.write.option("maxRecordsPerFile", FILE_ROWS).option("header", True).csv(f"{logs}/csv")
     streams = {
         "json": stream_json_documents(t.spark, f"{logs}/json"),
         "csv": stream_csv(t.spark, f"{logs}/csv", "timestamp,level,service,message"),
@@ -174,5 +168,18 @@ def stream_json_and_csv(t: Tables) -> DataFrame:
             raw, lambda r: timeline.to_events(r, as_of()), f"{out}/{kind}", new_folder(t.spark, "state"), once=True
         ).awaitTermination()
         events = t.spark.read.parquet(f"{out}/{kind}/events")
-        found.append(events.groupBy(F.lit(kind).alias("kind"), "level").agg(F.count(F.lit(1)).alias("n")))
+        found.append(events.select(F.lit(kind).alias("kind"), "timestamp", "level"))
     return found[0].unionByName(found[1])
+
+
+@query(
+    with_log(
+        """
+SELECT kind, level, count(*) AS n FROM log_events, (VALUES ('json'), ('csv')) k(kind)
+WHERE strftime(timestamp, '%d') = '01' GROUP BY 1, 2"""
+    )
+)
+def stream_json_and_csv(t: Tables) -> DataFrame:
+    """All events arrive as JSON documents and as CSV files, and are scanned by two streams; those of first days are counted."""
+    landed = _landed_json_and_csv(t).filter(F.date_format("timestamp", "dd") == "01")
+    return landed.groupBy("kind", "level").agg(F.count(F.lit(1)).alias("n"))

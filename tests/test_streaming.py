@@ -153,3 +153,28 @@ def test_idle_and_failed_cycles_leave_a_scan_row(spark, tmp_path):
     monitor.idle_scan(spark, str(out), "2024-01-15T10-30")
     monitor.idle_scan(spark, str(out), "2024-01-15T10-30")
     assert [r.status for r in spark.read.parquet(str(out / "scans" / "idle=2024-01-15T10-30")).collect()] == ["no_data"]
+
+
+def test_events_of_all_days_pass_the_json_and_csv_streams(spark, monkeypatch):
+    from faultline.catalogue import streams
+    from faultline.catalogue.registry import Tables
+
+    tables, scanned, monitor_raw = Tables(spark, "/root/testdata/sf0.001"), [], streams.monitor.monitor
+
+    def watched(raw, to_events, out, *args, **more):
+        scanned.append(out)
+        return monitor_raw(raw, to_events, out, *args, **more)
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 300, raising=False)
+    monkeypatch.setattr(streams.monitor, "monitor", watched)
+    streams.stream_json_and_csv(tables).collect()
+
+    def days(frame):
+        return {tuple(r) for r in frame.groupBy(F.to_date("timestamp"), "level").count().collect()}
+
+    whole = days(tables.log_events)
+    assert len(scanned) == 2 and len({day for day, _, _ in whole}) > 1
+    for out in scanned:
+        landed = spark.read.parquet(f"{out}/events")
+        assert landed.select("source_file").distinct().count() > 1
+        assert days(landed) == whole
