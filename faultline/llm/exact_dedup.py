@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.skew import attach, by_size, held
+from faultline.llm.skew import attach, held, numbered, without_rows
 
 # What is deleted before texts are compared.
 WHITE = " \t\n\x0b\x0c\r"
@@ -91,7 +91,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, whole rows, in the columns of ``docs``; rows without an id stay."""
-    found = exact_groups(docs).groupBy(F.col("doc_id").alias("gone_id")).agg(F.bool_or("kept").alias("kept"))
-    gone = by_size(found.filter(~F.col("kept")).select("gone_id"), "copies")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """The documents that stay, whole rows, in the columns of ``docs``; one row of each group, ids missing or repeated."""
+    rows = numbered(docs, "exact-input")
+    found = exact_groups(rows.select(F.struct("doc_id", "_row").alias("key"), "text"), id_col="key")
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id._row").alias("_gone"))
+    return without_rows(rows, gone, "copies")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.graph import components
-from faultline.llm.skew import attach, by_size, held
+from faultline.llm.skew import attach, by_size, held, numbered, without_rows
 from faultline.llm.words import Sums, TextSlice, find_words, grams, mix, text_slices
 
 GROUP = 64  # members of a group: bits of a matrix row
@@ -459,8 +459,21 @@ def similar_groups(
 
 
 def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Of each component the document with the smallest id, whole rows, in the columns of ``docs``; null ids stay."""
-    found = similar_groups(docs, n, percent)
-    named = found.groupBy(F.col("doc_id").alias("gone_id")).agg(F.min("component_id").alias("kept_id"))
-    gone = by_size(named.filter(F.col("gone_id") != F.col("kept_id")).select("gone_id"), "near-copies")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """Of each component the document with the smallest id, whole rows, in the columns of ``docs``.
+
+    Compared are rows, whose ids may be missing (the smallest) or repeated.
+    """
+    rows = numbered(docs, "near-input")
+    found = similar_groups(rows, n, percent, id_col="_row").select(F.col("doc_id").alias("_gone"), "component_id")
+    ids = rows.select("_row", "doc_id")
+    members = held(
+        found.join(ids, F.col("_gone") == F.col("_row")).select("_gone", "component_id", "doc_id"), "near-members"
+    )
+    heads = held(
+        members.groupBy("component_id")
+        .agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct("doc_id", "_gone")).getField("_gone").alias("head"))
+        .filter("group_size > 1"),
+        "near-heads",
+    )
+    gone = attach(members, heads, "component_id", "_gone", ["head"]).filter(F.col("head") != F.col("_gone"))
+    return without_rows(rows, gone.select("_gone"), "near-copies")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.skew import attach, by_size, held
+from faultline.llm.skew import attach, by_size, held, numbered
 from faultline.llm.words import few_rows
 
 # Fixed patterns: kind, pattern, group that holds the value, least length of that group.
@@ -186,33 +186,33 @@ def scan_secrets(
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples.
 
     ``spans`` joins kind:start:end of the base spans and of the further tokens that look
-    live, by start, then kind. Null and empty texts have no spans; rows that repeat an id each
-    get a row, and their further spans in common. The default owner is ``source``, the
+    live, by start, then kind. Null and empty texts have no spans; rows that repeat an id or
+    have none each get a row with the spans of their own text. The default owner is ``source``, the
     default repository ``source`` and ``lang``; a missing value of these is an owner like
     any other.
     """
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", "source", "lang") if repository is None else repository
-    found = held(find_candidates(docs, owner, repository, id_col, text_col), "secrets")
+    found = numbered(find_candidates(docs, owner, repository, id_col, text_col), "secrets")
     spread = found.select(
-        "doc_id", "owner", "repository", F.posexplode("candidates").alias("at", "c")
+        "_row", "owner", "repository", F.posexplode("candidates").alias("at", "c")
     )
     flat = spread.select(
-        "doc_id", "at", "owner", "repository", "c.kind", F.col("c.start"), F.col("c.end"), "c.value_hash"
+        "_row", "at", "owner", "repository", "c.kind", F.col("c.start"), F.col("c.end"), "c.value_hash"
     )
     verdicts = held(ownership(flat, most_owners), "ownership")
-    judged = attach(flat, verdicts, "value_hash", "doc_id", ["live", "n_owners", "n_repositories"])
+    judged = attach(flat, verdicts, "value_hash", "_row", ["live", "n_owners", "n_repositories"])
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     piece = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string"))
     wanted = F.col("live") | (F.col("kind") != "token")
-    per_doc = judged.groupBy(F.col("doc_id").alias("_id")).agg(
+    per_doc = judged.groupBy(F.col("_row").alias("_id")).agg(
         F.array_sort(
             F.collect_set(F.when(wanted, F.struct(F.col("start"), order.alias("order"), piece.alias("text"))))
         ).alias("found"),
         F.count(F.when(F.col("live"), 1)).alias("n_live"),
         F.count(F.when(~F.col("live"), 1)).alias("n_examples"),
     )
-    return found.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
+    return found.join(per_doc, F.col("_row") == F.col("_id"), "left").select(
         "doc_id",
         "n_assign",
         "n_access",
@@ -250,19 +250,18 @@ def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` (columns of documents) with every found span masked; other texts are left as they are."""
-    found = scan_secrets(docs).filter(F.col("spans") != "")
-    spans = by_size(
-        found.select(F.col("doc_id").alias("found_id"), F.col("spans").alias("found_spans")).distinct(), "secret-spans"
-    )
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["found_id"]), "left")
+    rows = numbered(docs, "secret-input")
+    found = scan_secrets(rows, id_col="_row").filter(F.col("spans") != "")
+    spans = by_size(found.select(F.col("doc_id").alias("found_id"), F.col("spans").alias("found_spans")), "secret-spans")
+    joined = rows.join(spans, rows["_row"] == spans["found_id"], "left")
     hit = spans["found_spans"].isNotNull()
-    text = F.when(hit, masked(docs["text"], spans["found_spans"])).otherwise(docs["text"])
+    text = F.when(hit, masked(rows["text"], spans["found_spans"])).otherwise(rows["text"])
 
     def column(name: str) -> Column:
         if name == "text":
             return text.alias(name)
         if name == "n_chars":
-            return F.when(hit, F.char_length(text).cast(dict(docs.dtypes)[name])).otherwise(docs[name]).alias(name)
-        return docs[f"`{name}`"]
+            return F.when(hit, F.char_length(text).cast(dict(docs.dtypes)[name])).otherwise(rows[name]).alias(name)
+        return rows[f"`{name}`"]
 
     return joined.select(*[column(c) for c in docs.columns])

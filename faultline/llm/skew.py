@@ -27,6 +27,17 @@ def held(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def numbered(df: DataFrame, label: str, name: str = "_row") -> DataFrame:
+    """``df`` held with a stored number of its own in each row; ids may be missing or repeated."""
+    return held(df.withColumn(name, F.monotonically_increasing_id()), label)
+
+
+def without_rows(rows: DataFrame, gone: DataFrame, label: str, name: str = "_row") -> DataFrame:
+    """The rows of ``numbered`` whose number is not in ``gone`` (_gone), without the number."""
+    gone = by_size(gone, label)
+    return rows.join(gone, F.col(name) == F.col("_gone"), "left_anti").drop(name)
+
+
 def by_size(df: DataFrame, label: str) -> DataFrame:
     """A held table of narrow rows, marked for broadcast if its counted rows and bytes allow it.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.skew import by_size, held
+from faultline.llm.skew import held, numbered, without_rows
 from faultline.llm.words import few_rows
 
 # The classifier is fitted on at most so many labelled rows, those of the smallest id hashes.
@@ -297,14 +297,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model |
     return Model(lexicon, weights, bias)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted; whole texts.
-
-    Labels, language, source and id are no inputs of a score. Null counts as empty, and
-    an empty text has the score of a text without any sign. Where the labels hold one
-    class only, every score is 0. Repeated rows each get theirs; extra columns are not looked at.
-    """
-    model = fit(docs, labels, rows)
+def score_rows(model: Model | None):
+    """mapInArrow: (id, text) to (doc_id, score)."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
@@ -314,7 +308,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
                 [batch.column(0).cast(pa.int64()), pa.array(found, pa.float64())], names=["doc_id", "score"]
             )
 
-    scored = docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
+    return score
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted; whole texts.
+
+    Labels, language, source and id are no inputs of a score. Null counts as empty, and
+    an empty text has the score of a text without any sign. Where the labels hold one
+    class only, every score is 0. Repeated rows each get theirs; extra columns are not looked at.
+    """
+    model = fit(docs, labels, rows)
+    scored = docs.select("doc_id", "text").mapInArrow(score_rows(model), "doc_id long, score double")
     return scored.select(
         "doc_id",
         F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"),
@@ -324,10 +329,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, whole rows, in the columns of ``docs``; rows without an id stay.
+    """The documents that are not predicted toxic, whole rows, in the columns of ``docs``; each row by its own text.
 
-    Texts go to Python to be scored, and only ids and scores come back.
+    Texts go to Python to be scored, and only row numbers and scores come back.
     """
-    found = score_documents(docs, labels).groupBy(F.col("doc_id").alias("gone_id")).agg(F.min("predicted").alias("toxic"))
-    gone = by_size(found.filter("toxic = 1").select("gone_id"), "toxic-ids")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    model = fit(docs, labels)
+    rows = numbered(docs, "toxicity-input")
+    scored = rows.select("_row", "text").mapInArrow(score_rows(model), "doc_id long, score double")
+    gone = scored.filter(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("_gone"))
+    return without_rows(rows, gone, "toxic-rows")
