@@ -29,8 +29,8 @@ LEXICON = 512
 LEAST_SHARE = 0.55
 LEAST_TEXTS = 4
 PREFIXES = (4, 5, 6, 7, 8)
-# A word beginning counts where at least one word in so many has it.
-DENSITY = 80
+# A word beginning counts where two words that have it are less than so many words apart.
+WINDOW = 160
 VOTERS_PER_KIND = 3
 THRESHOLD = 0.3
 # So many of the smallest word hashes make the mark of a family of near copies.
@@ -43,37 +43,50 @@ def held_out(id_col: str) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def counted(text: str) -> tuple[Counter[str], int]:
-    """Words in lower case without punctuation around them, with their counts, and the sum."""
-    words: Counter[str] = Counter()
-    for word, n in Counter(text.lower().split()).items():
-        words[word.strip(PUNCTUATION)] += n
-    words.pop("", None)
-    return words, sum(words.values())
+def plain_words(pieces: list[str]) -> dict[str, str]:
+    """Pieces of a text in lower case, and the words in them without punctuation around."""
+    return {piece: word for piece in set(pieces) if (word := piece.strip(PUNCTUATION))}
 
 
-def dense(n: int, total: int) -> bool:
-    """Whether a word beginning is frequent enough in a text to be no chance."""
-    return n >= 2 and n * DENSITY >= total
+def dense(places: list[tuple[int, str]], n: int) -> set[str]:
+    """Beginnings of ``n`` letters that two words of (place, word) close to each other have, whatever else the text holds."""
+    last: dict[str, int] = {}
+    found = set()
+    for at, word in places:
+        if len(word) > n:
+            start = word[:n]
+            if at - last.get(start, -WINDOW) < WINDOW:
+                found.add(start)
+            last[start] = at
+    return found
 
 
 def terms(text: str) -> set[str]:
     """Words ("w:") of a whole text, and the beginnings ("4:" to "8:") that are dense in it."""
-    words, total = counted(text)
-    found = {f"w:{w}" for w in words}
+    pieces = text.lower().split()
+    words = plain_words(pieces)
+    found = {f"w:{w}" for w in words.values()}
+    places = [(at, words[p]) for at, p in enumerate(pieces) if p in words]
     for n in PREFIXES:
-        sums: Counter[str] = Counter()
-        for word, times in words.items():
-            if len(word) > n:
-                sums[word[:n]] += times
-        found.update(f"{n}:{b}" for b, times in sums.items() if dense(times, total))
+        found.update(f"{n}:{b}" for b in dense(places, n))
     return found
 
 
+UPPER = bytes(range(65, 91))
+LETTERS = UPPER + bytes(range(97, 123))
+
+
+def cased(text: str) -> tuple[int, int]:
+    """Letters and capitals of a whole text."""
+    if not text.isascii():
+        return sum(map(str.isalpha, text)), sum(map(str.isupper, text))
+    data = text.encode()
+    return len(data) - len(data.translate(None, LETTERS)), len(data) - len(data.translate(None, UPPER))
+
+
 def patterns(text: str) -> tuple[bool, ...]:
     """Votes of the text itself: shouting, rows of marks, one word over and over."""
-    letters = sum(map(str.isalpha, text)) if len(text) < 1000 else sum(map(str.isalpha, text[::7])) * 7
-    upper = sum(map(str.isupper, text)) if len(text) < 1000 else sum(map(str.isupper, text[::7])) * 7
+    letters, upper = cased(text)
     words = text.split()
     return (
         letters > 20 and upper > 0.6 * letters,
@@ -101,16 +114,15 @@ class Lexicon:
         self.heads = {e.partition(":")[2][: PREFIXES[0]] for e in self.entries if not e.startswith("w:")}
 
     def hits(self, text: str) -> list[int]:
-        words, total = counted(text)
-        found = [number for word, number in self.by_kind.get("w", {}).items() if word in words]
-        if self.heads:
-            likely = [(w, n) for w, n in words.items() if w[: PREFIXES[0]] in self.heads]
-            for n in PREFIXES if likely else ():
-                table, sums = self.by_kind.get(str(n), {}), Counter()
-                for word, times in likely:
-                    if len(word) > n and word[:n] in table:
-                        sums[word[:n]] += times
-                found += [table[b] for b, times in sums.items() if dense(times, total)]
+        pieces = text.lower().split()
+        words = plain_words(pieces)
+        there = set(words.values())
+        found = [number for word, number in self.by_kind.get("w", {}).items() if word in there]
+        likely = {p: w for p, w in words.items() if w[: PREFIXES[0]] in self.heads}
+        places = [(at, likely[p]) for at, p in enumerate(pieces) if p in likely] if likely else []
+        for n in PREFIXES if places else ():
+            table = self.by_kind.get(str(n), {})
+            found += [table[b] for b in dense(places, n) if b in table]
         return sorted(found)
 
 
