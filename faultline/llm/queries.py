@@ -4,7 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bestfit, bpe, exact_dedup, jaccard, quality, repeats, secrets, sharding, toxicity, vocab, warc
+from faultline.llm import (
+    bestfit,
+    bpe,
+    exact_dedup,
+    jaccard,
+    merkle,
+    quality,
+    repeats,
+    secrets,
+    sharding,
+    toxicity,
+    vocab,
+    warc,
+)
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -59,6 +72,10 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, folder, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(read(spark, folder, "documents"))
+
+
 OP3_SQL = """
 WITH records AS (
     SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
@@ -90,6 +107,70 @@ FROM texts JOIN heads USING (text_sha256)
 """
 
 
+def merkle_sql(source_levels: int, top_levels: int) -> str:
+    """SQL of ``op13_merkle_manifest``, for at most 16^levels leaves of a source and sources."""
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE concat(strlen({0}::VARCHAR), ':', {0}) END"
+    before = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    bit = "CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: {bit})"
+    codes = "list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: {byte}), 4294967295)"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"""leaves AS (
+            SELECT doc_id, coalesce('=' || source, '-') AS tree,
+                   sha256({before} || {field.format("text")}) AS leaf,
+                   CASE WHEN {crc} % 5 = 0 THEN sha256({before} || {field.format(lower)}) END AS touched
+            FROM documents
+        )""",
+        """s0 AS (
+            SELECT doc_id, tree, leaf, coalesce(touched, leaf) AS fold, leaf AS node, '' AS proof,
+                   row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+            FROM leaves
+        )""",
+    ]
+
+    def climb(name: str, levels: int, key: str, kept: str) -> None:
+        # A node and the leaves below it share i; every leaf carries its own node, proof and fold.
+        for k in range(levels):
+            parts.append(
+                f"""{name}n{k} AS (SELECT DISTINCT {key}, i, node FROM {name}{k}),
+        {name}r{k} AS (
+            SELECT {key}, i // 16 AS run, list(node ORDER BY i) AS nodes,
+                   sum(count(*)) OVER (PARTITION BY {key}) > 1 AS more
+            FROM {name}n{k} GROUP BY {key}, i // 16
+        ),
+        {name}w{k} AS (
+            SELECT s.*, r.nodes, r.more,
+                   array_to_string(r.nodes[1 : s.i % 16], '') AS lefts, array_to_string(r.nodes[s.i % 16 + 2 :], '') AS rights
+            FROM {name}{k} s JOIN {name}r{k} r ON s.{key} = r.{key} AND s.i // 16 = r.run
+        ),
+        {name}{k + 1} AS (
+            SELECT {kept}, i // 16 AS i,
+                   CASE WHEN more THEN sha256(array_to_string(nodes, '')) ELSE node END AS node,
+                   CASE WHEN more THEN proof || lefts || rights ELSE proof END AS proof,
+                   CASE WHEN more THEN sha256(lefts || fold || rights) ELSE fold END AS fold
+            FROM {name}w{k}
+        )"""
+            )
+
+    climb("s", source_levels, "tree", "doc_id, tree, leaf")
+    parts.append(
+        f"""t0 AS (
+            SELECT doc_id, leaf, node AS subroot, fold, node, proof, 'root' AS tree,
+                   dense_rank() OVER (ORDER BY tree) - 1 AS i
+            FROM s{source_levels}
+        )"""
+    )
+    climb("t", top_levels, "tree", "doc_id, leaf, subroot, tree")
+    return f"""WITH {", ".join(parts)}
+        SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = node AS verified
+        FROM t{top_levels}"""
+
+
+OP13_SQL = merkle_sql(source_levels=4, top_levels=2)
+
+
 def queries():
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -102,8 +183,9 @@ def queries():
         "op8_quality_rules": op8_quality_rules,
         "op9_toxicity": op9_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op10_exact_dedup": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
