@@ -12,6 +12,7 @@ from faultline.llm import (
     merkle,
     quality,
     repeats,
+    retrieval,
     secrets,
     sharding,
     toxicity,
@@ -72,6 +73,12 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, folder, "documents"))
 
 
+def op12_lexical_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.pack_by_retrieval(
+        read(spark, folder, "documents"), vocab.word_encoder(vocab.public_path(vocab.WORD_BPE))
+    )
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(read(spark, folder, "documents"))
 
@@ -183,6 +190,7 @@ def queries():
         "op8_quality_rules": op8_quality_rules,
         "op9_toxicity": op9_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
+        "op12_lexical_packing": op12_lexical_packing,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 

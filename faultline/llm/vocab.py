@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import json
 from functools import lru_cache
 
 BYTE_BPE = "byte_bpe_50k.json"
+WORD_BPE = "word_bpe_49k.json"
 MULTI = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -62,3 +64,84 @@ def rank_encoder(rank_file: str, tokenizer_file: str, pattern: str):
         return encode
 
     return make
+
+
+# Pieces between spaces that a task remembers, twice over: those of the current and of the last generation.
+REMEMBERED, LONGEST_PIECE = 150_000, 64
+# Printable characters below U+0250 are their own composed form and hold no white space.
+PLAIN = r"[!-~\u00a1-\u00ac\u00ae-\u024f]+"
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
+
+def byte_of_symbol() -> dict[str, int]:
+    """The printable characters that byte-level vocabularies write bytes with."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+@lru_cache(maxsize=2)
+def word_ranks(tokenizer_file: str) -> dict[bytes, int]:
+    """Token bytes and ids of a vocabulary whose words have an end mark; the mark is the byte FF, which no text has."""
+    with open(tokenizer_file, encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    symbols, ranks = byte_of_symbol(), {}
+    for token, rank in vocabulary.items():
+        core = token.removesuffix("</w>")
+        ranks[bytes(symbols[c] for c in core) + (b"\xff" if core != token else b"")] = rank
+    return ranks
+
+
+def word_encoder(tokenizer_file: str):
+    """A maker of text-to-ids functions (little-endian unsigned 16-bit) for a tokenizer that drops white space.
+
+    No token reaches over a space, so pieces between spaces are encoded one by one and
+    remembered. New pieces of plain characters are split into words and merged by ranks, which
+    are the vocabulary's ids; others, and strings of added tokens, go to the tokenizer itself.
+    """
+
+    def make():
+        import regex
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        merges = tiktoken.Encoding(
+            "words", pat_str=WORDS, mergeable_ranks=word_ranks(tokenizer_file), special_tokens={}
+        )
+        merge = merges._core_bpe.encode_single_piece
+        plain, words = regex.compile(PLAIN).fullmatch, regex.compile(WORDS).findall
+
+        def fresh(piece: str) -> bytes:
+            if not piece:
+                return b""
+            if plain(piece) and "<|" not in piece:
+                ids: list[int] = []
+                for word in words(piece.lower()):
+                    ids += merge(word.encode() + b"\xff")
+            else:
+                ids = tokenizer.encode(piece, add_special_tokens=False).ids
+            return b"".join(i.to_bytes(2, "little") for i in ids)
+
+        class Pieces(dict):
+            old: dict[str, bytes] = {}
+
+            def __missing__(self, piece: str) -> bytes:
+                ids = self.old.get(piece)
+                if ids is None:
+                    ids = fresh(piece)
+                if len(piece) <= LONGEST_PIECE:
+                    if len(self) >= REMEMBERED:
+                        self.old = dict(self)
+                        self.clear()
+                    self[piece] = ids
+                return ids
+
+        pieces = Pieces()
+
+        def encode(text: str) -> bytes:
+            return b"".join(map(pieces.__getitem__, text.replace("\n", " ").split(" ")))
+
+        return encode
+
+    return make
