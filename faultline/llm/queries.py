@@ -11,6 +11,7 @@ from faultline.llm import (
     jaccard,
     merkle,
     quality,
+    repair,
     repeats,
     retrieval,
     secrets,
@@ -73,6 +74,10 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, folder, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair_conversations(read(spark, folder, "conversations"))
+
+
 def op12_lexical_packing(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.pack_by_retrieval(
         read(spark, folder, "documents"), vocab.word_encoder(vocab.public_path(vocab.WORD_BPE))
@@ -114,14 +119,105 @@ FROM texts JOIN heads USING (text_sha256)
 """
 
 
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit."""
+    bit = "CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: {bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda s: ascii(s)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: {byte}), 4294967295)"
+
+
+def repair_sql() -> str:
+    """SQL of ``op11_structure_repair``: the cheapest, then least way to each state, row after row."""
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+    def way(state: str, cost: str, letter: str, line: str | None = None, when: str = "TRUE") -> str:
+        lines = f"list_append({state}.t, {line})" if line else f"{state}.t"
+        made = f"struct_pack(c := {state}.c + {cost}, a := {state}.a || '{letter}', t := {lines})"
+        return f"CASE WHEN {state} IS NOT NULL AND {when} THEN {made} END"
+
+    def best(*ways: str) -> str:
+        return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+
+    def inserted(source: str) -> str:
+        """Up to three insertions in a row; more come back to a state that was cheaper before."""
+        u1 = best("u", *[way(x, "2", "I", "'user:'") for x in ("e", "s", "a")])
+        return f"""
+            SELECT * EXCLUDE (u1, u, a1), a1 AS a, {best("u1", way("a1", "2", "I", "'user:'"))} AS u
+            FROM (SELECT * EXCLUDE (a), {best("a", way("u1", "2", "I", "'assistant:'"))} AS a1
+                  FROM (SELECT *, {u1} AS u1 FROM {source}))"""
+
+    def kept(state: str, initial: str) -> str:
+        return way(state, "extra", "K", "role || ':' || text", f"NOT gone AND initial = '{initial}'")
+
+    def reroled(state: str, role: str) -> str:
+        return way(state, "2 + extra", "R", f"'{role}:' || text", "NOT gone")
+
+    users = [f(x, y) for f, y in ((kept, "u"), (reroled, "user")) for x in ("e", "s", "a")]
+    new = {
+        "e": way("e", "3", "D"),
+        "s": best(way("s", "3", "D"), kept("e", "s")),
+        "u": best(way("u", "3", "D"), *users),
+        "a": best(way("a", "3", "D"), kept("u", "a"), reroled("u", "assistant")),
+    }
+    crc = crc32_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")
+    way_type = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR[])"
+    return f"""
+WITH RECURSIVE marked AS (SELECT *, {crc} % 20 AS k FROM conversations),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+           CASE k WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+           unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM marked WHERE k <> 0
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS rn FROM damaged
+),
+looked AS (
+    SELECT *, rtrim(text, {white}) = '' AS blank, right(rtrim(text, {white}), 1) NOT IN ('.', '!', '?') AS cut_off,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 AS seen,
+           lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY rn) || left(role, 1) AS pair
+    FROM placed
+),
+judged AS (
+    SELECT conv_id, turn, role, text, rn, left(role, 1) AS initial, pair, blank, NOT blank AND seen AS duplicate,
+           NOT blank AND NOT seen AND cut_off AS truncated, blank OR seen AS gone,
+           CASE WHEN NOT blank AND NOT seen AND cut_off THEN 1 ELSE 0 END AS extra
+    FROM looked
+),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+           count_if(duplicate) AS duplicate, count_if(truncated) AS truncated,
+           count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal, max(rn) AS n
+    FROM judged GROUP BY conv_id
+),
+ways AS (
+    SELECT conv_id, 0::BIGINT AS at, struct_pack(c := 0::BIGINT, a := '', t := []::VARCHAR[])::{way_type} AS e,
+           NULL::{way_type} AS s, NULL::{way_type} AS u, NULL::{way_type} AS a
+    FROM counts
+    UNION ALL
+    SELECT conv_id, rn AS at, {", ".join(f"({x})::{way_type} AS {name}" for name, x in new.items())}
+    FROM ({inserted("(SELECT w.conv_id, w.e, w.s, w.u, w.a, j.rn, j.role, j.text, j.initial, j.gone, j.extra FROM ways w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.rn = w.at + 1)")})
+),
+ended AS (
+    SELECT conv_id, {best("e", "a")} AS w
+    FROM ({inserted("(SELECT w.* FROM ways w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND w.at = c.n)")})
+)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w.c, 0)::BIGINT AS cost,
+       coalesce(w.a, '') AS audit, sha256(coalesce(array_to_string(w.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN ended d ON d.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
 def merkle_sql(source_levels: int, top_levels: int) -> str:
     """SQL of ``op13_merkle_manifest``, for at most 16^levels leaves of a source and sources."""
     field = "CASE WHEN {0} IS NULL THEN '-' ELSE concat(strlen({0}::VARCHAR), ':', {0}) END"
     before = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
-    bit = "CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
-    byte = f"list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: {bit})"
-    codes = "list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)"
-    crc = f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: {byte}), 4294967295)"
+    crc = crc32_sql("doc_id::VARCHAR")
     lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     parts = [
         f"""leaves AS (
@@ -175,6 +271,7 @@ def merkle_sql(source_levels: int, top_levels: int) -> str:
         FROM t{top_levels}"""
 
 
+OP11_SQL = repair_sql()
 OP13_SQL = merkle_sql(source_levels=4, top_levels=2)
 
 
@@ -190,10 +287,16 @@ def queries():
         "op8_quality_rules": op8_quality_rules,
         "op9_toxicity": op9_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_structure_repair": op11_structure_repair,
         "op12_lexical_packing": op12_lexical_packing,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op10_exact_dedup": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {
+        "op3_warc": OP3_SQL,
+        "op10_exact_dedup": OP10_SQL,
+        "op11_structure_repair": OP11_SQL,
+        "op13_merkle_manifest": OP13_SQL,
+    }
