@@ -38,13 +38,26 @@ PIECES = (
 )
 
 
+def tokens_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype="<u2")
+
+
 def encode_texts(encoder):
-    """mapInArrow from (_row, doc_id, text) to ENCODED; the end id is the last of every document."""
+    """mapInArrow from (_row, doc_id, text) to ENCODED; the end id is the last of every document.
+
+    The last row of a task, numbered -1, holds for each token how many of the task's documents have it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
+        documents, last = np.zeros(VOCABULARY, dtype="<i8"), np.zeros(VOCABULARY, dtype=np.int64)
         for batch in few_rows(batches):
             ids = [encode(t.as_py() or "") + END_ID.to_bytes(2, "little") for t in batch.column(2)]
+            for data in ids:
+                tokens = tokens_of(data)
+                at = np.arange(len(tokens))
+                last[tokens] = at
+                documents[tokens[last[tokens] == at]] += 1
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -54,28 +67,20 @@ def encode_texts(encoder):
                 ],
                 names=["_row", "doc_id", "doc_tokens", "ids"],
             )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([documents.tobytes()])],
+            names=["_row", "doc_id", "doc_tokens", "ids"],
+        )
 
     return run
 
 
-def tokens_of(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype="<u2")
-
-
-def count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over (ids): for each token the number of a task's documents that have it."""
-    found, seen = np.zeros(VOCABULARY, dtype=np.int64), np.zeros(VOCABULARY, dtype=bool)
+def token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over (ids) of rows -1: (token, documents)."""
+    found = np.zeros(VOCABULARY, dtype=np.int64)
     for batch in batches:
         for data in batch.column(0):
-            tokens = tokens_of(data.as_buffer())
-            seen[tokens] = True
-            if len(tokens) * 8 > VOCABULARY:
-                found += seen
-                seen[:] = False
-            else:
-                here = np.unique(tokens)
-                found[here] += 1
-                seen[here] = False
+            found += np.frombuffer(data.as_buffer(), dtype="<i8")
     there = np.flatnonzero(found)
     yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(found[there])], names=["token", "documents"])
 
@@ -91,9 +96,9 @@ class Statistics:
 
 def statistics(encoded: DataFrame) -> Statistics:
     """At most one row per token of the vocabulary comes to the driver."""
-    counted = encoded.select("ids").mapInArrow(count_documents, "token long, documents long")
+    counted = encoded.filter("_row < 0").select("ids").mapInArrow(token_counts, "token long, documents long")
     rows = counted.groupBy("token").agg(F.sum("documents").alias("documents")).collect()
-    total = encoded.agg(F.count(F.lit(1)).alias("n"), F.sum("doc_tokens").alias("tokens")).first()
+    total = encoded.agg(F.count("doc_tokens").alias("n"), F.sum("doc_tokens").alias("tokens")).first()
     documents = np.zeros(VOCABULARY)
     for r in rows:
         documents[r.token] = r.documents
@@ -289,7 +294,7 @@ def pack_by_retrieval(
     )
     encoded = held(numbered.mapInArrow(encode_texts(encoder), ENCODED), "encoded")
     stats = statistics(encoded)
-    keyed = encoded.mapInArrow(order_keys(stats), f"{ENCODED}, _key long")
+    keyed = encoded.filter("_row >= 0").mapInArrow(order_keys(stats), f"{ENCODED}, _key long")
     return (
         keyed.repartitionByRange("_key", "_row")
         .sortWithinPartitions("_key", "_row")

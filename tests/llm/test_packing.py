@@ -25,11 +25,10 @@ def test_two_pieces_replace_the_smallest_one():
 
 
 def test_windows_are_gapless_and_few(make_docs, odd_texts):
-    docs = make_docs(odd_texts + ["short text"] * 200)
+    texts = odd_texts + ["a <|endoftext|> b", "<|endoftext|>" * 1500] + ["short text"] * 200
+    docs = make_docs(texts)
     rows = bestfit.pack_documents(docs, byte_bpe_encoder()).collect()
     tokenizer = Tokenizer.from_file(vocab.public_path(vocab.BYTE_BPE))
-    tokenizer.encode_special_tokens = True
-    texts = odd_texts + ["short text"] * 200
     by_doc, by_window = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -62,9 +61,9 @@ def test_nothing_to_pack(make_docs):
 
 def test_rank_ids_are_those_of_the_tokenizer(odd_texts):
     tokenizer = Tokenizer.from_file(vocab.public_path(vocab.BYTE_BPE))
-    tokenizer.encode_special_tokens = True
     encode = byte_bpe_encoder()()
-    for text in [*odd_texts, "<|endoftext|>", "\x1c\x85  ", " " * 500, "ſK 1²٣"]:
+    assert encode("a <|endoftext|> b") == b"".join(i.to_bytes(4, "little") for i in [64, 220, 50256, 275])
+    for text in [*odd_texts, "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext", "  <|endoftext|>\n\n's ", "\x1c\x85  ", " " * 500, "ſK 1²٣"]:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids
         assert encode(text or "") == b"".join(i.to_bytes(4, "little") for i in ids)
 

@@ -74,9 +74,10 @@ def test_ids_are_those_of_the_tokenizer(odd_texts):
 
 def test_remembered_pieces_are_bounded(monkeypatch):
     monkeypatch.setattr(vocab, "REMEMBERED", 3)
-    encode = ENCODER()
-    text = "one two three four five one two six seven one"
-    assert np.frombuffer(encode(text), dtype="<u2").tolist() == plain_ids([text])[0]
+    pieces = vocab.WordPieces(vocab.public_path(vocab.WORD_BPE))
+    words = "one two three four five one two six seven one".split()
+    assert np.frombuffer(b"".join(pieces[w] for w in words), dtype="<u2").tolist() == plain_ids([" ".join(words)])[0]
+    assert len(pieces) <= 3 and len(pieces.old) <= 3
 
 
 def pieces_of(lists):
