@@ -133,8 +133,9 @@ class WordPieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            if piece.isalpha() and (piece.isascii() or max(piece) < "\u0250"):
-                found = self.merge(piece.lower().encode() + b"\xff")
+            low = piece.lower()
+            if low.isalpha() and (piece.isascii() or max(piece) < "\u0250"):
+                found = self.merge(low.encode() + b"\xff")
             else:
                 found = self.fresh(piece)
             ids = array("H", found).tobytes()
