@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.skew import HEAVY, held
+from faultline.llm.skew import HEAVY, held, numbered
 from faultline.llm.words import Sums, TextSlice, text_slices
 
 LENGTH, GRAM = 200, 32
@@ -32,8 +32,8 @@ BUCKET = 200_000
 CARRIED = 50_000
 
 COVERED, EDGE, REFERENCE = 0, 1, 2
-SENT = "anchor long, run long, doc_id long, lo int, hi int, twice boolean, often int"
-MARKS = "doc_id long, lo int, hi int, anchor long, kind int, hot boolean"
+SENT = "anchor long, run long, row long, lo int, hi int, twice boolean, often int"
+MARKS = "row long, lo int, hi int, anchor long, kind int, hot boolean"
 
 
 def anchored_runs(part: TextSlice, length: int, gram: int, sums: Sums):
@@ -80,7 +80,7 @@ def counts_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def send_runs(length: int, gram: int):
-    """mapInArrow: (doc_id, text) to SENT.
+    """mapInArrow: (row, text) to SENT.
 
     A run that occurs twice within the slice is known to be repeated: it is sent once, with
     ``twice`` set, and its other occurrences are rows without an anchor. ``often`` is the
@@ -89,7 +89,7 @@ def send_runs(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            rows = batch.column(0).to_numpy()
             for part in text_slices(batch.column(1), SLICE):
                 if len(part.data) < length:
                     continue
@@ -108,13 +108,13 @@ def send_runs(length: int, gram: int):
                     [
                         pa.array(anchor, mask=~first),
                         pa.array(whole, mask=~first),
-                        pa.array(ids[part.first + row]),
+                        pa.array(rows[part.first + row]),
                         pa.array((lo - base).astype(np.int32)),
                         pa.array((hi - base).astype(np.int32)),
                         pa.array(times > 1),
                         pa.array(spread),
                     ],
-                    names=["anchor", "run", "doc_id", "lo", "hi", "twice", "often"],
+                    names=["anchor", "run", "row", "lo", "hi", "twice", "often"],
                 )
 
     return run
@@ -145,25 +145,38 @@ def classify(group: dict[str, np.ndarray], big: bool) -> pa.RecordBatch:
     kind = np.repeat(np.array([COVERED, EDGE, REFERENCE], dtype=np.int32), [len(p) for p in picked])
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(group["doc_id"][at]),
+            pa.array(group["row"][at]),
             pa.array(group["lo"][at]),
             pa.array(group["hi"][at]),
             pa.array(group["anchor"][at]),
             pa.array(kind),
             pa.array(hot[at]),
         ],
-        names=["doc_id", "lo", "hi", "anchor", "kind", "hot"],
+        names=["row", "lo", "hi", "anchor", "kind", "hot"],
     )
 
 
-FIELDS = ("key", "anchor", "run", "doc_id", "lo", "hi", "twice", "hot")
+FIELDS = ("key", "anchor", "run", "row", "lo", "hi", "twice", "hot")
+
+
+def collapse(rows: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], pa.RecordBatch]:
+    """One row of each run, known to be there twice if it is, and MARKS of the others, which are covered."""
+    new = np.ones(len(rows["key"]), dtype=bool)
+    new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["run"][1:] != rows["run"][:-1])
+    kept = {f: rows[f][new] for f in FIELDS}
+    times = np.diff(np.append(np.flatnonzero(new), len(new)))
+    kept["twice"] = kept["twice"] | (times > 1)
+    at = np.flatnonzero(~new)
+    columns = [pa.array(rows[f][at]) for f in ("row", "lo", "hi", "anchor")]
+    columns += [pa.array(np.full(len(at), COVERED, dtype=np.int32)), pa.array(rows["hot"][at])]
+    return kept, pa.RecordBatch.from_arrays(columns, names=["row", "lo", "hi", "anchor", "kind", "hot"])
 
 
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow over (FIELDS) sorted by key and run: MARKS.
 
-    The last group of a batch waits for the next. A group that grows beyond CARRIED rows is passed on
-    run by run, to be split by windows.
+    The last group of a batch waits for the next, with one row of each of its runs if there are many. A
+    group with more than CARRIED runs is passed on run by run, to be split by windows.
     """
     carried: dict[str, np.ndarray] | None = None
     big_key = None
@@ -173,29 +186,31 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = {f: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(FIELDS)}
         if carried is not None:
             rows = {f: np.concatenate([carried[f], rows[f]]) for f in FIELDS}
-        key, run = rows["key"], rows["run"]
         if big_key is not None:
-            until = int(np.searchsorted(key != big_key, True)) if (key != big_key).any() else len(key)
-            if until == len(key):
-                until = int(np.flatnonzero(run == run[-1])[0])
+            until = int(np.searchsorted(rows["key"] != big_key, True))
+            if until == len(rows["key"]):
+                until = int(np.flatnonzero(rows["run"] == rows["run"][-1])[0])
+                last_run = {f: rows[f][until:] for f in FIELDS}
                 if until:
                     yield classify({f: rows[f][:until] for f in FIELDS}, True)
-                carried = {f: rows[f][until:] for f in FIELDS}
+                carried, covered = collapse(last_run)
+                yield covered
                 continue
             yield classify({f: rows[f][:until] for f in FIELDS}, True)
             rows = {f: rows[f][until:] for f in FIELDS}
-            key, run, big_key = rows["key"], rows["run"], None
-        last = int(np.flatnonzero(key == key[-1])[0])
+            big_key = None
+        last = int(np.flatnonzero(rows["key"] == rows["key"][-1])[0])
         if last:
             yield classify({f: rows[f][:last] for f in FIELDS}, False)
         carried = {f: rows[f][last:] for f in FIELDS}
-        if len(key) - last > CARRIED:
-            big_key = key[-1]
-            run = carried["run"]
-            until = int(np.flatnonzero(run == run[-1])[0])
-            if until:
-                yield classify({f: carried[f][:until] for f in FIELDS}, True)
-                carried = {f: carried[f][until:] for f in FIELDS}
+        if len(carried["key"]) > CARRIED:
+            carried, covered = collapse(carried)
+            yield covered
+        if len(carried["key"]) > CARRIED:
+            big_key = carried["key"][-1]
+            until = len(carried["key"]) - 1
+            yield classify({f: carried[f][:until] for f in FIELDS}, True)
+            carried = {f: carried[f][until:] for f in FIELDS}
     if carried is not None and len(carried["key"]):
         yield classify(carried, big_key is not None)
 
@@ -203,50 +218,76 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- the index of a gathering ---------------------------------------------------------------
 
 
+FIRST = 7  # bytes that the first sort compares
+
+
 def suffix_order(data: np.ndarray, string: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Suffixes of a set of strings in order, by doubling; a string's end differs from every other's."""
+    """Suffixes of a set of strings in order; a string's end differs from every other's.
+
+    Sorted by their first bytes, then by doubling, where only groups still tied are sorted again.
+    """
     n = len(data)
     at = np.arange(n)
+    padded = np.zeros(n + FIRST, dtype=np.int64)
+    padded[:n] = data
+    room = end - at
     key = np.zeros(n, dtype=np.int64)
-    for k in range(7):
-        there = at + k < end
-        symbol = np.where(there, data[np.minimum(at + k, n - 1)].astype(np.int64) + 1, 0)
-        key = (key << 9) | symbol
+    for k in range(FIRST):
+        key <<= 9
+        key |= np.where(k < room, padded[k : n + k] + 1, 0)
     order = np.argsort(key)
-    rank = np.zeros(n, dtype=np.int64)
-    rank[order[1:]] = np.cumsum(key[order][1:] != key[order][:-1])
-    depth = 7
-    while rank[order[-1]] < n - 1:
-        beyond = at + depth
-        second = np.where(beyond < end, rank[np.minimum(beyond, n - 1)] + len(end) + 1, string)
-        key = rank * (2 * n + 2) + second
-        order = np.argsort(key)
-        rank = np.zeros(n, dtype=np.int64)
-        rank[order[1:]] = np.cumsum(key[order][1:] != key[order][:-1])
+    slots, rank = np.arange(n), np.zeros(n, dtype=np.int64)
+    key, sub, depth = key[order], order, FIRST
+    while True:
+        # A rank is the first slot of a group of suffixes that are equal so far.
+        new = np.ones(len(slots) + 1, dtype=bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:-1])
+        first = np.flatnonzero(new[:-1])
+        rank[sub] = np.repeat(slots[first], np.diff(np.append(first, len(slots))))
+        slots = slots[~(new[:-1] & new[1:])]
+        if not len(slots):
+            return order
+        sub = order[slots]
+        beyond = sub + depth
+        second = np.where(beyond < end[sub], rank[np.minimum(beyond, n - 1)] + n, string[sub])
+        key = rank[sub] * (2 * n) + second
+        by = np.argsort(key)
+        key, sub = key[by], sub[by]
+        order[slots] = sub
         depth *= 2
-        if depth > 2 * int((end - at).max()):
-            break
-    return order
 
 
 def common_prefix(data: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of the suffixes at a and at b, each within its string."""
+    """Length of the common prefix of the suffixes at a and at b, each within its string; eight bytes a step."""
+    n = len(data)
+    padded = np.zeros(n + 8, dtype=np.uint8)
+    padded[:n] = data
+    eight = np.zeros(n, dtype=np.uint64)
+    for k in range(8):
+        eight |= padded[k : n + k].astype(np.uint64) << np.uint64(8 * k)
     limit = np.minimum(end[a] - a, end[b] - b)
     length = np.zeros(len(a), dtype=np.int64)
     active = np.flatnonzero(limit > 0)
+    a, b = a[active], b[active]
+    step = 0
     while len(active):
-        same = data[a[active] + length[active]] == data[b[active] + length[active]]
-        active = active[same]
-        length[active] += 1
-        active = active[length[active] < limit[active]]
-    return length
-
-
-def matching_statistics(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        differ = eight[a] ^ eight[b]
+        other = np.flatnonzero(differ)
+        # The lowest set bit lies in the first byte that differs.
+        lowest = differ[other] & (~differ[other] + np.uint64(1))
+        length[active[other]] = step + (np.log2(lowest.astype(np.float64)).astype(np.int64) >> 3)
+        step += 8
+        same = differ == 0
+        on = same & (limit[active] > step)
+        length[active[same & ~on]] = step
+        active, a, b = active[on], a[on] + 8, b[on] + 8
+    return np.minimum(length, limit)
+
+
+def matching_statistics(strings: list[bytes]) -> np.ndarray:
     """For every byte of the strings, joined: the longest match that starts there and anywhere else.
 
-    Also returns the ends of the runs of the transform, as positions: the only places where
-    bytes are compared.
+    Bytes are compared at the ends of runs of the transform only.
     """
     data = np.frombuffer(b"".join(strings), dtype=np.uint8)
     sizes = np.array([len(s) for s in strings])
@@ -261,37 +302,38 @@ def matching_statistics(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     change = np.ones(len(order) + 1, dtype=bool)
     change[1:-1] = before[1:] != before[:-1]
     run_end = change[:-1] | change[1:]
-    where = np.flatnonzero(run_end)
+    # Neighbours in order of which one is a run's end, each pair compared once.
+    upper = np.flatnonzero(run_end[1:] | run_end[:-1])
+    shared = common_prefix(data, end, order[upper], order[upper + 1])
     found = np.zeros(len(data), dtype=np.int64)
-    up, down = where[where > 0], where[where < len(order) - 1]
-    np.maximum.at(found, order[up], common_prefix(data, end, order[up], order[up - 1]))
-    np.maximum.at(found, order[down], common_prefix(data, end, order[down], order[down + 1]))
+    found[order[upper]] = shared
+    found[order[upper + 1]] = np.maximum(found[order[upper + 1]], shared)
     # Streaming: a match of m at one position is a match of m - 1 at the next, within the string.
     at = np.arange(len(data))
     reach = np.maximum.accumulate(found + at)
-    return np.maximum(np.minimum(reach, end) - at, 0), np.sort(order[where])
+    return np.maximum(np.minimum(reach, end) - at, 0)
 
 
 def marked_starts(length: int):
-    """applyInArrow over the strings of a gathering: (doc_id, lo, hi) of repeated windows of its edges."""
+    """applyInArrow over the strings of a gathering: (row, lo, hi) of repeated windows of its edges."""
 
     def run(table: pa.Table) -> pa.Table:
         strings = table.column("string").to_pylist()
-        doc, lo = table.column("doc_id").to_numpy(), table.column("lo").to_numpy()
+        row, lo = table.column("row").to_numpy(), table.column("lo").to_numpy()
         edge = table.column("kind").to_numpy() == EDGE
-        stats, _ = matching_statistics(strings)
+        stats = matching_statistics(strings)
         cut = np.concatenate([[0], np.cumsum([len(s) for s in strings])])
         out = [], [], []
         for i in np.flatnonzero(edge):
             hits = stats[cut[i] : cut[i + 1]] >= length
             if hits.any():
                 for a, b in intervals(hits):
-                    out[0].append(doc[i])
+                    out[0].append(row[i])
                     out[1].append(lo[i] + a)
                     out[2].append(lo[i] + b)
         return pa.table(
             [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())],
-            names=["doc_id", "lo", "hi"],
+            names=["row", "lo", "hi"],
         )
 
     return run
@@ -305,7 +347,7 @@ def intervals(flags: np.ndarray) -> list[tuple[int, int]]:
 
 # --- strings and windows --------------------------------------------------------------------
 
-STRINGS = "doc_id long, lo int, kind int, hot boolean, anchor long, string binary"
+STRINGS = "row long, lo int, kind int, hot boolean, anchor long, string binary"
 
 
 def cut_strings(length: int):
@@ -314,24 +356,24 @@ def cut_strings(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, text, marks in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            for own, text, marks in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 data = (text or "").encode()
                 for m in marks:
                     if m["kind"] != COVERED:
-                        row = (doc, m["lo"], m["kind"], m["hot"], m["anchor"], data[m["lo"] : m["hi"] + length])
+                        row = (own, m["lo"], m["kind"], m["hot"], m["anchor"], data[m["lo"] : m["hi"] + length])
                         for column, value in zip(columns, row, strict=True):
                             column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["doc_id", "lo", "kind", "hot", "anchor", "string"],
+                names=["row", "lo", "kind", "hot", "anchor", "string"],
             )
 
     return run
 
 
 PACKED = "bucket long, entries binary"
-_ENTRY = np.dtype([("window", "<i8"), ("doc_id", "<i8"), ("lo", "<i4"), ("state", "<i4")])
+_ENTRY = np.dtype([("window", "<i8"), ("row", "<i8"), ("lo", "<i4"), ("state", "<i4")])
 # States of an entry: a window to judge, one that only counts, one that is there twice, one already judged.
 ASKED, SEEN, TWICE, FOUND = 0, 1, 2, 3
 
@@ -340,7 +382,7 @@ def send_windows(length: int, buckets: int):
     """mapInArrow: strings to the hashes of their windows, packed by bucket of the hash.
 
     A window found twice in the batch is judged at once, and sent on once for the other
-    batches; what is judged already goes to a bucket of its document.
+    batches; what is judged already goes to a bucket of its text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,13 +403,13 @@ def send_windows(length: int, buckets: int):
             at = np.concatenate([found, np.flatnonzero(first)])
             entries = np.zeros(len(at), dtype=_ENTRY)
             entries["window"] = window[at].view(np.int64)
-            entries["doc_id"] = batch.column(0).to_numpy()[owner[at]]
+            entries["row"] = batch.column(0).to_numpy()[owner[at]]
             entries["lo"] = batch.column(1).to_numpy()[owner[at]] + inside[at]
             state = np.where(times > 1, TWICE, np.where(edge, ASKED, SEEN))[at]
             state[: len(found)] = FOUND
             entries["state"] = state
             bucket = (window[at] % np.uint64(buckets)).astype(np.int64)
-            bucket[: len(found)] = entries["doc_id"][: len(found)] % buckets
+            bucket[: len(found)] = entries["row"][: len(found)] % buckets
             order = np.argsort(bucket)
             bucket, entries = bucket[order], entries[order]
             own, cut = np.unique(bucket, return_index=True)
@@ -380,27 +422,27 @@ def send_windows(length: int, buckets: int):
 
 
 def repeated_windows(table: pa.Table) -> pa.Table:
-    """applyInArrow over PACKED of a bucket: (doc_id, lo, hi) of windows that are there twice."""
+    """applyInArrow over PACKED of a bucket: (row, lo, hi) of windows that are there twice."""
     entries = np.frombuffer(b"".join(table.column("entries").to_pylist()), dtype=_ENTRY)
     open_ones = entries[entries["state"] != FOUND]
     _, at, counts = np.unique(open_ones["window"], return_inverse=True, return_counts=True)
     twice = (counts > 1) | (np.bincount(at, open_ones["state"] == TWICE, len(counts)) > 0)
     hit = open_ones[(open_ones["state"] == ASKED) & twice[at]] if len(open_ones) else open_ones
     found = np.concatenate([entries[entries["state"] == FOUND], hit])
-    # Neighbouring starts of a document become one interval.
-    found = np.unique(found[["doc_id", "lo"]])
+    # Neighbouring starts of a text become one interval.
+    found = np.unique(found[["row", "lo"]])
     new = np.ones(len(found), dtype=bool)
-    new[1:] = (found["doc_id"][1:] != found["doc_id"][:-1]) | (found["lo"][1:] != found["lo"][:-1] + 1)
+    new[1:] = (found["row"][1:] != found["row"][:-1]) | (found["lo"][1:] != found["lo"][:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(found)) - 1 if len(found) else first
     return pa.table(
-        [pa.array(found["doc_id"][first]), pa.array(found["lo"][first]), pa.array(found["lo"][last])],
-        names=["doc_id", "lo", "hi"],
+        [pa.array(found["row"][first]), pa.array(found["lo"][first]), pa.array(found["lo"][last])],
+        names=["row", "lo", "hi"],
     )
 
 
 def cut_texts(length: int):
-    """mapInArrow: (doc_id, text, starts) to what is removed and the hash of what stays."""
+    """mapInArrow: (row, text, starts) to what is removed and the hash of what stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -423,14 +465,14 @@ def cut_texts(length: int):
                 digests.append(hashlib.sha256(b"".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())],
-                names=["doc_id", "n_removed", "n_spans", "kept_sha256"],
+                names=["row", "n_removed", "n_spans", "kept_sha256"],
             )
 
     return run
 
 
 def repeated_starts(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """(touched documents with their texts, (doc_id, lo, hi) of all starts of repeated windows)."""
+    """(touched texts by row, (row, lo, hi) of all starts of repeated windows)."""
     sent = held(texts.mapInArrow(send_runs(length, gram), SENT), "anchored-runs")
     known = sent.filter(F.col("anchor").isNull())
     asked = sent.filter(F.col("anchor").isNotNull())
@@ -447,7 +489,7 @@ def repeated_starts(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame
         F.when(F.col("_hot").isNotNull(), F.col("run")).otherwise(F.col("anchor")).alias("key"),
         "anchor",
         "run",
-        "doc_id",
+        "row",
         "lo",
         "hi",
         "twice",
@@ -457,17 +499,17 @@ def repeated_starts(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame
     marks = held(
         settled.unionByName(
             known.select(
-                "doc_id", "lo", "hi", F.lit(0).cast("long").alias("anchor"),
+                "row", "lo", "hi", F.lit(0).cast("long").alias("anchor"),
                 F.lit(COVERED).alias("kind"), F.lit(False).alias("hot"),
             )
         ),
         "repeat-marks",
     )
-    per_doc = marks.groupBy(F.col("doc_id").alias("_id")).agg(
+    per_doc = marks.groupBy(F.col("row").alias("_id")).agg(
         F.collect_list(F.struct("lo", "hi", "anchor", "kind", "hot")).alias("marks")
     )
     touched = held(
-        texts.join(per_doc, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "marks"), "touched"
+        texts.join(per_doc, F.col("row") == F.col("_id")).select("row", "text", "marks"), "touched"
     )
     windows_of = F.col("hi") - F.col("lo") + 1
     open_marks = marks.filter(F.col("kind") != COVERED)
@@ -477,7 +519,7 @@ def repeated_starts(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame
     ).first()
     strings = touched.mapInArrow(cut_strings(length), STRINGS)
     gatherings, buckets = int(size.bytes // GATHERED + 1), int(size.windows // BUCKET + 1)
-    result = "doc_id long, lo int, hi int"
+    result = "row long, lo int, hi int"
     cold = (
         strings.filter(~F.col("hot"))
         .groupBy(F.pmod("anchor", F.lit(gatherings)).alias("gathering"))
@@ -489,35 +531,36 @@ def repeated_starts(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame
         .groupBy("bucket")
         .applyInArrow(repeated_windows, result)
     )
-    covered = marks.filter(F.col("kind") == COVERED).select("doc_id", "lo", "hi")
+    covered = marks.filter(F.col("kind") == COVERED).select("row", "lo", "hi")
     return touched, covered.unionByName(cold).unionByName(split)
 
 
 def remove_repeats(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Removed is every byte covered by a string of ``length`` bytes that also starts elsewhere, in the
-    same document or another, overlaps included. Null counts as empty; ids should be
-    unique (rows that repeat one are judged as copies of each other, rows without one are left as they are). Strings are compared by
-    64-bit hashes and by bytes in the indexes. An empty table gives no rows.
+    same text or another, overlaps included. Null counts as empty. Rows are told apart by a stored
+    number of their own, so rows that repeat an id or have none are judged like any other. Strings
+    are compared by 64-bit hashes and by bytes in the indexes. An empty table gives no rows.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    touched, starts = repeated_starts(texts.filter(F.col("doc_id").isNotNull()), length, gram)
-    per_doc = starts.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
+    texts = numbered(
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "repeat-texts", "row"
+    )
+    touched, starts = repeated_starts(texts.select("row", "text"), length, gram)
+    per_doc = starts.groupBy(F.col("row").alias("_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
     cut = (
-        touched.join(per_doc, F.col("doc_id") == F.col("_id"))
-        .select("doc_id", "text", "starts")
-        .mapInArrow(cut_texts(length), "doc_id long, n_removed long, n_spans long, kept_sha256 string")
-        .dropDuplicates(["doc_id"])
-        .withColumnRenamed("doc_id", "_id")
+        touched.join(per_doc, F.col("row") == F.col("_id"))
+        .select("row", "text", "starts")
+        .mapInArrow(cut_texts(length), "row long, n_removed long, n_spans long, kept_sha256 string")
+        .withColumnRenamed("row", "_id")
     )
     whole = F.coalesce("text", F.lit(""))
     base = texts.select(
-        "doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole, 256).alias("whole_sha256")
+        "row", "doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole, 256).alias("whole_sha256")
     )
-    return base.join(cut, F.col("doc_id") == F.col("_id"), "left").select(
+    return base.join(cut, F.col("row") == F.col("_id"), "left").select(
         "doc_id",
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),

@@ -28,14 +28,28 @@ def held(df: DataFrame, label: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, label: str, name: str = "_row") -> DataFrame:
-    """``df`` held with a stored number of its own in each row; ids may be missing or repeated."""
+    """``df`` held with a stored number of its own in each row; ids may be missing or repeated.
+
+    A column of the caller with that name waits as ``name~own``.
+    """
+    if name in df.columns:
+        df = df.withColumnRenamed(name, own_name(name))
     return held(df.withColumn(name, F.monotonically_increasing_id()), label)
 
 
+def own_name(name: str) -> str:
+    return f"{name}~own"
+
+
+def unnumbered(df: DataFrame, name: str = "_row") -> DataFrame:
+    """Without the number, and with the caller's own column of that name."""
+    return df.drop(name).withColumnRenamed(own_name(name), name)
+
+
 def without_rows(rows: DataFrame, gone: DataFrame, label: str, name: str = "_row") -> DataFrame:
     """The rows of ``numbered`` whose number is not in ``gone`` (_gone), without the number."""
     gone = by_size(gone, label)
-    return rows.join(gone, F.col(name) == F.col("_gone"), "left_anti").drop(name)
+    return unnumbered(rows.join(gone, F.col(name) == F.col("_gone"), "left_anti"), name)
 
 
 def by_size(df: DataFrame, label: str) -> DataFrame:

@@ -4,6 +4,8 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from faultline.llm import exact_dedup, graph, jaccard, repeats
 from faultline.llm.words import text_slices
@@ -173,30 +175,76 @@ def repeat_texts(odd_texts):
     return texts
 
 
-def test_repeats(make_docs, odd_texts, monkeypatch):
-    texts = repeat_texts(odd_texts)
-    want = repeated(texts, 50)
-    for most in (1000, 2):
-        monkeypatch.setattr(repeats, "MOST_STRINGS", most)
-        found = repeats.remove_repeats(make_docs(texts), length=50, gram=16).collect()
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found}
-        assert got == dict(enumerate(want))
+def rows_of(found):
+    return sorted(((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found))
 
 
-def test_long_groups_are_settled_run_by_run(spark, make_docs, odd_texts, monkeypatch):
+def test_repeats(make_docs, odd_texts):
     texts = repeat_texts(odd_texts)
-    monkeypatch.setattr(repeats, "SLICE", 400)
-    monkeypatch.setattr(repeats, "CARRIED", 3)
     found = repeats.remove_repeats(make_docs(texts), length=50, gram=16).collect()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found}
     assert got == dict(enumerate(repeated(texts, 50)))
     assert repeats.remove_repeats(make_docs([])).count() == 0
 
 
+@pytest.mark.parametrize(("length", "gram"), [(200, 32), (32, 16)])
+def test_repeats_with_null_and_repeated_ids(make_docs, length, gram):
+    rng = random.Random(2)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    texts = [f"{i} {rng.random()} {passage} {rng.random()}" for i in range(3)] + ["short and its own", passage[:31], None, passage[:240]]
+    for ids in ([None, None, 1, 1, 1, 1, 1], [None] * 7, [5, 5, 5, 6, None, 6, 5]):
+        found = repeats.remove_repeats(make_docs(texts, ids), length, gram).collect()
+        want = [(i or -1, *r) for i, r in zip(ids, repeated(texts, length), strict=True)]
+        assert rows_of(found) == sorted(want)
+
+
+def test_many_strings_around_one_anchor(make_docs):
+    """More strings than an index takes, so windows decide; and one passage in every text."""
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    texts = [f"{rng.random()}{passage[: rng.randint(60, 90)]}{rng.random()}" for _ in range(700)] + [passage] * 50
+    found = repeats.remove_repeats(make_docs(texts), length=50, gram=16).collect()
+    assert rows_of(found) == sorted((i or -1, *r) for i, r in enumerate(repeated(texts, 50)))
+
+
+def settled(rows, size):
+    """What ``settle`` says of sorted rows in batches of a size: covered, and the open ones by anchor."""
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
+    batches = [
+        pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*rows[i : i + size]), kinds, strict=True)], names=list(repeats.FIELDS)
+        )
+        for i in range(0, len(rows), size)
+    ]
+    out = [r for b in repeats.settle(iter(batches)) for r in b.to_pylist()]
+    covered = sorted((r["row"], r["lo"]) for r in out if r["kind"] == repeats.COVERED)
+    edges = sorted((r["row"], r["lo"]) for r in out if r["kind"] == repeats.EDGE)
+    references = sorted(r["anchor"] for r in out if r["kind"] == repeats.REFERENCE)
+    return covered, edges, references
+
+
+@pytest.mark.parametrize("carried", [1, 3, 20])
+def test_long_groups_are_settled_run_by_run(monkeypatch, carried):
+    rng = random.Random(carried)
+    rows = []
+    for n in range(400):
+        key = rng.choice([1, 1, 1, 2, 3, *range(4, 40)])
+        rows.append((key, key, key * 1000 + int(rng.random() ** 3 * 30), n, n % 7, n % 7, rng.random() < 0.05, False))
+    rows.sort()
+    plain = settled(rows, 1000)
+    monkeypatch.setattr(repeats, "CARRIED", carried)
+    for size in (1, 5, 64):
+        covered, edges, references = settled(rows, size)
+        assert covered == plain[0]
+        # A group passed on run by run may hand on a lonely run, which finds no partner there.
+        assert set(plain[1]) <= set(edges) and set(plain[2]) <= set(references)
+        assert not set(covered) & set(edges)
+
+
 def test_matching_statistics_come_from_run_ends():
     rng = random.Random(4)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 40))) for _ in range(30)] + [b"abab" * 10] * 3
-    stats, compared = repeats.matching_statistics(strings)
+    stats = repeats.matching_statistics(strings)
     at = 0
     for n, s in enumerate(strings):
         for i in range(len(s)):
@@ -210,4 +258,4 @@ def test_matching_statistics_come_from_run_ends():
                         best = max(best, k)
             assert stats[at] == best
             at += 1
-    assert len(compared) < at
+    assert at == len(stats)
