@@ -386,19 +386,9 @@ def families(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
     return components(links)
 
 
-def similar_groups(
-    docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
-
-    Words are runs without white space, A-Z in lower case; a set has the distinct shingles
-    of ``n`` words, or the whole text as one if it is shorter. Sets link when 100 times their intersection is
-    at least ``percent`` times their union; a component is named after its smallest id.
-    Null and empty texts, and texts of white space, have no set and stand alone. Rows
-    that repeat an id get a row each; a row without an id takes the component of an equal set, or none. Tokens are 64-bit hashes; equal sets are told by 128 bits.
-    """
+def components_of_texts(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of held (doc_id, text) with ids that are never missing or repeated."""
     rule = Rule(percent)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     narrow = held(
         texts.mapInArrow(keyed(n), "doc_id long, n_shingles long, set_key binary"), "sets"
     )
@@ -409,7 +399,7 @@ def similar_groups(
         "equal-sets",
     )
     # Families are found among all documents, and compared by one document for each set.
-    family = families(texts.filter(F.col("doc_id").isNotNull()), n, rule)
+    family = families(texts, n, rule)
     singles = equal.select(F.col("twin").alias("doc_id"), "size")
     members = held(
         family.join(singles, F.col("node") == F.col("doc_id")).select("doc_id", F.col("root").alias("family"), "size"),
@@ -458,13 +448,49 @@ def similar_groups(
     )
 
 
+
+def similar_groups(
+    docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+
+    Words are runs without white space, A-Z in lower case; a set has the distinct shingles
+    of ``n`` words, or the whole text as one if it is shorter. Sets link when 100 times their intersection is
+    at least ``percent`` times their union; a component is named after its smallest id, one without any
+    id has none. Null and empty texts, and texts of white space, have no set and stand alone.
+    Rows are told apart by a stored number of their own, so repeated and missing ids link like
+    any other. Tokens are 64-bit hashes; equal sets are told by 128 bits.
+    """
+    rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "jaccard-texts")
+    found = components_of_texts(rows.select(F.col("_row").alias("doc_id"), "text"), n, percent).select(
+        F.col("doc_id").alias("_found"), "n_shingles", "component_id"
+    )
+    members = held(
+        found.join(rows.select("_row", "doc_id"), F.col("_found") == F.col("_row")).select(
+            "_row", "doc_id", "n_shingles", "component_id"
+        ),
+        "jaccard-members",
+    )
+    smallest = held(
+        members.groupBy("component_id").agg(
+            F.count(F.lit(1)).alias("group_size"), F.min("doc_id").alias("smallest")
+        ),
+        "jaccard-names",
+    )
+    return attach(members, smallest, "component_id", "_row", ["smallest"]).select(
+        "doc_id", "n_shingles", F.col("smallest").alias("component_id")
+    )
+
+
 def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Of each component the document with the smallest id, whole rows, in the columns of ``docs``.
 
     Compared are rows, whose ids may be missing (the smallest) or repeated.
     """
     rows = numbered(docs, "near-input")
-    found = similar_groups(rows, n, percent, id_col="_row").select(F.col("doc_id").alias("_gone"), "component_id")
+    found = components_of_texts(rows.select(F.col("_row").alias("doc_id"), "text"), n, percent).select(
+        F.col("doc_id").alias("_gone"), "component_id"
+    )
     ids = rows.select("_row", "doc_id")
     members = held(
         found.join(ids, F.col("_gone") == F.col("_row")).select("_gone", "component_id", "doc_id"), "near-members"

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.skew import attach, by_size, held, numbered
+from faultline.llm.skew import attach, by_size, held, numbered, own_name
 from faultline.llm.words import few_rows
 
 # Fixed patterns: kind, pattern, group that holds the value, least length of that group.
@@ -251,6 +251,7 @@ def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def without_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` (columns of documents) with every found span masked; other texts are left as they are."""
     rows = numbered(docs, "secret-input")
+    kinds = dict(docs.dtypes)
     found = scan_secrets(rows, id_col="_row").filter(F.col("spans") != "")
     spans = by_size(found.select(F.col("doc_id").alias("found_id"), F.col("spans").alias("found_spans")), "secret-spans")
     joined = rows.join(spans, rows["_row"] == spans["found_id"], "left")
@@ -261,7 +262,7 @@ def without_secrets(docs: DataFrame) -> DataFrame:
         if name == "text":
             return text.alias(name)
         if name == "n_chars":
-            return F.when(hit, F.char_length(text).cast(dict(docs.dtypes)[name])).otherwise(rows[name]).alias(name)
-        return rows[f"`{name}`"]
+            return F.when(hit, F.char_length(text).cast(kinds[name])).otherwise(rows[name]).alias(name)
+        return rows[f"`{own_name(name) if name == '_row' else name}`"].alias(name)
 
     return joined.select(*[column(c) for c in docs.columns])

@@ -41,3 +41,26 @@ def test_toxic_rows(make_docs, spark, monkeypatch):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     stay = toxicity.without_toxic(make_docs(["bad", "good", "bad too", "fine"], [1, 1, None, None]), labels)
     assert sorted(r.text for r in stay.collect()) == ["fine", "good"]
+
+
+def test_components_among_null_and_repeated_ids(make_docs):
+    words = [f"w{i}" for i in range(100)]
+    near = " ".join([*words[:99], "changed"])
+    texts = [" ".join(words), near, " ".join([*words, "more"]), "something else entirely", None, near.upper()]
+    for ids, want in (
+        ([9, None, 4, 4, None, None], [4, 4, 4, 4, None, 4]),
+        ([None] * 6, [None] * 6),
+        ([3, 3, 3, 3, 3, 2], [2, 2, 2, 3, 3, 2]),
+    ):
+        rows = jaccard.similar_groups(make_docs(texts, ids)).collect()
+        found = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in rows)
+        sizes = [96, 96, 97, 1, 0, 96]
+        assert found == sorted((i or -1, n, c or -1) for i, n, c in zip(ids, sizes, want, strict=True))
+
+
+def test_a_column_named_like_the_number_stays(spark):
+    rows = [(1, f"x {KEY}", "en", "s", 3, "mine"), (2, f"x {KEY}", "en", "s", 3, "other"), (3, "plain", "en", "s", 5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row string")
+    for stay in (exact_dedup.without_copies(docs), jaccard.without_near_copies(docs), secrets.without_secrets(docs)):
+        assert stay.columns == docs.columns
+        assert {(r.doc_id, r._row) for r in stay.collect()} >= {(1, "mine"), (3, None)}
