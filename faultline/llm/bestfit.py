@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.skew import held, placed
-from faultline.llm.words import few_rows
+from faultline.llm.words import few_rows, lean
 
 SIZE = 1024
 END_ID = 2
@@ -108,6 +108,7 @@ def cut_points(n: int, size: int = SIZE) -> list[tuple[int, int]]:
 def token_pieces(encoder, size: int = SIZE):
     """A mapInArrow function from (doc_id, text) to PIECES; ``encoder()`` makes the tokenizer in the task."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
         for batch in few_rows(batches):

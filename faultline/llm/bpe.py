@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.vocab import read_ranks
-from faultline.llm.words import Sums, mix
+from faultline.llm.words import Sums, lean, mix
 
 # Pieces and merged pre-tokens remembered per worker, and the longest that is.
 REMEMBERED, LONGEST = 1_000_000, 48
@@ -285,6 +285,7 @@ def in_runs(texts: list[str], limit: int = AT_ONCE) -> Iterator[list[str]]:
 def round_trip(rank_file: str, pattern: str, perfect: PerfectHash):
     """mapInArrow: (doc_id, text) to (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(rank_file, pattern, perfect)
         for batch in batches:
@@ -311,6 +312,7 @@ def encode_column(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "
     """(doc_id, ids): token ids of whole texts as arrays of integers; null counts as empty."""
     perfect = perfect_hash(rank_file)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(rank_file, pattern, perfect)
         for batch in batches:
@@ -327,6 +329,7 @@ def decode_column(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame
     """(doc_id, decoded): the bytes of (doc_id, ids); null ids count as none. Unknown ids raise."""
     perfect = perfect_hash(rank_file)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(rank_file, pattern, perfect)
         for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm.graph import components
 from faultline.llm.skew import attach, by_size, held, numbered, without_rows
-from faultline.llm.words import Sums, TextSlice, find_words, grams, mix, text_slices
+from faultline.llm.words import Sums, TextSlice, find_words, grams, lean, mix, text_slices
 
 GROUP = 64  # members of a group: bits of a matrix row
 FREQUENT = 1 << 16  # shingles that are told to every task as frequent: 512 kB
@@ -101,6 +101,7 @@ def set_keys(token: np.ndarray, bounds: np.ndarray) -> list[bytes]:
 def keyed(n: int):
     """mapInArrow: (doc_id, text) to (doc_id, n_shingles, set_key)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
@@ -121,6 +122,7 @@ def keyed(n: int):
 def count_frequent(n: int):
     """mapInArrow: (doc_id, text) to (token, texts): shingles that two or more texts of a slice have."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch.column(1)):
@@ -230,6 +232,7 @@ def signed(n: int, rule: Rule, frequent: np.ndarray):
     that a third of all documents have is one row per slice in the shuffle.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
@@ -257,6 +260,7 @@ def signed(n: int, rule: Rule, frequent: np.ndarray):
     return run
 
 
+@lean
 def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow over SIGNED rows sorted by signature: links (a, b) of each document to its signature's first one."""
     last_signature = last_head = None
@@ -286,6 +290,7 @@ def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def packed_sets(n: int):
     """mapInArrow: (doc_id, family, chunk, chunks, text) to the same with the set as bytes in place of the text."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch.column(4)):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm.skew import held
 from faultline.llm.toxicity import held_out
-from faultline.llm.words import Sums, TextSlice, find_words, grams, mix, text_slices
+from faultline.llm.words import Sums, TextSlice, find_words, grams, lean, mix, text_slices
 
 # Fixed: what counts as a symbol, the words of a window, and the base rule's limits.
 SYMBOLS = "#*$%&|<>"
@@ -152,6 +152,7 @@ def statistics(part: TextSlice) -> np.ndarray:
     ).astype(np.int64)
 
 
+@lean
 def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow: (doc_id, text) to doc_id and COUNTS."""
     for batch in batches:
@@ -315,6 +316,7 @@ def judge_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     measured = held(docs.select("doc_id", "text").mapInArrow(measure, MEASURED), "statistics")
     trees = fit(measured, labels, rows)
 
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in COUNTS])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.skew import HEAVY, held, numbered
-from faultline.llm.words import Sums, TextSlice, text_slices
+from faultline.llm.words import Sums, TextSlice, lean, text_slices
 
 LENGTH, GRAM = 200, 32
 SLICE = 2 << 20
@@ -87,6 +87,7 @@ def send_runs(length: int, gram: int):
     number of different runs that its anchor has in the slice.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(0).to_numpy()
@@ -172,6 +173,7 @@ def collapse(rows: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], pa.Rec
     return kept, pa.RecordBatch.from_arrays(columns, names=["row", "lo", "hi", "anchor", "kind", "hot"])
 
 
+@lean
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow over (FIELDS) sorted by key and run: MARKS.
 
@@ -353,6 +355,7 @@ STRINGS = "row long, lo int, kind int, hot boolean, anchor long, string binary"
 def cut_strings(length: int):
     """mapInArrow: touched documents to the strings of their edges and references."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: tuple[list, ...] = ([], [], [], [], [], [])
@@ -385,6 +388,7 @@ def send_windows(length: int, buckets: int):
     batches; what is judged already goes to a bucket of its text.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -444,6 +448,7 @@ def repeated_windows(table: pa.Table) -> pa.Table:
 def cut_texts(length: int):
     """mapInArrow: (row, text, starts) to what is removed and the hash of what stays."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, spans, digests = [], [], []

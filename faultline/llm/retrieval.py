@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.skew import held
-from faultline.llm.words import few_rows
+from faultline.llm.words import few_rows, lean
 
 SIZE = 4096
 END_ID = 2
@@ -48,6 +48,7 @@ def encode_texts(encoder):
     The last row of a task, numbered -1, holds for each token how many of the task's documents have it.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
         documents, last = np.zeros(VOCABULARY, dtype="<i8"), np.zeros(VOCABULARY, dtype=np.int64)
@@ -75,6 +76,7 @@ def encode_texts(encoder):
     return run
 
 
+@lean
 def token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow over (ids) of rows -1: (token, documents)."""
     found = np.zeros(VOCABULARY, dtype=np.int64)
@@ -110,6 +112,7 @@ def order_keys(stats: Statistics):
     """mapInArrow: ENCODED with the two rarest tokens that another document has, as one number."""
     rarity = np.where(stats.shared, stats.idf, np.float32(0))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.zeros(batch.num_rows, dtype=np.int64)
@@ -250,6 +253,7 @@ def pack_shards(stats: Statistics, size: int, shard_tokens: int):
     Whole windows of a long document are cut off first; only the rest of it is indexed.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(TaskContext.get().partitionId() << 33)
         shard: list[Piece] = []

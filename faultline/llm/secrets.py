@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.skew import attach, by_size, held, numbered, own_name
-from faultline.llm.words import few_rows
+from faultline.llm.words import few_rows, lean
 
 # Fixed patterns: kind, pattern, group that holds the value, least length of that group.
 BASE = (
@@ -111,6 +111,7 @@ FOUND = (
 )
 
 
+@lean
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow: (doc_id, owner, repository, text) to FOUND, over whole texts."""
     spans = pa.list_(

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.skew import held, numbered, without_rows
-from faultline.llm.words import few_rows
+from faultline.llm.words import few_rows, lean
 
 # The classifier is fitted on at most so many labelled rows, those of the smallest id hashes.
 SAMPLE_ROWS = 16_000
@@ -126,6 +126,7 @@ class Lexicon:
         return sorted(found)
 
 
+@lean
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow: (text, toxic) to (term, toxic, texts), summed up within a batch."""
     for batch in batches:
@@ -154,6 +155,7 @@ def family(text: str) -> int:
     return xxhash.xxh64_intdigest(repr(least)) - (1 << 63)
 
 
+@lean
 def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks = [family(t or "") for t in batch.column(1).to_pylist()]
@@ -286,6 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model |
         return None
     lexicon = mine_lexicon(sample)
 
+    @lean
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -312,6 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model |
 def score_rows(model: Model | None):
     """mapInArrow: (id, text) to (doc_id, score)."""
 
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]

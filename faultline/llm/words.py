@@ -7,9 +7,10 @@ passes over its bytes and no loop over words or documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +108,26 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[TextSlic
         at = stop
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after a task, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """A mapInArrow function that gives freed memory back at the end of each task."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, where each is turned into Python objects."""
     for batch in batches:
