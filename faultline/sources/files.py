@@ -23,12 +23,9 @@ from faultline.functions.text import strip
 from faultline.plans.cut import cut
 from faultline.plans.joins import lookup_join
 from faultline.schema import CSV_EXTENSIONS, JSON_EXTENSIONS, TEXT_EXTENSIONS, TIMESTAMP_KEYS
+from faultline.sources.fragments import fragments, json_documents
 from faultline.sources.numbering import number_records
 
-# A file is tried as one JSON document up to this size, since it becomes one row and a row
-# holds 2 GB; a larger file is read line by line, and nothing of it is passed over.
-DOCUMENT_BYTES = 1 << 30
-
 _FIELDS = "map<string,string>"
 _SECONDS = "map<string,double>"
 _NUMBER = r"^-?[0-9][0-9.eE+\-]*$"
@@ -151,14 +148,21 @@ def json_seconds(text: Column, fields: Column) -> Column:
 
 
 def json_object(text: Column) -> Column:
-    """The field map if the whole text is one JSON object, else null.
+    """The field map if the whole text is one JSON object, else null; of a repeated key the last value counts.
 
     Read inside an object and measured inside an array: matter after the end of
     the object breaks one of the two.
     """
-    wrapped = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), f"v {_FIELDS}")
+    wrapped = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), f"v {_FIELDS}")["v"]
     alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    return F.when(text.startswith("{") & alone, wrapped["v"])
+    return F.when(text.startswith("{") & alone, last_of_each_key(wrapped))
+
+
+def last_of_each_key(fields: Column) -> Column:
+    """A map read from JSON, which may hold a key twice, with the last value of each key."""
+    keys, entries = F.map_keys(fields), F.map_entries(fields)
+    later = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), F.map_from_entries(later)).otherwise(fields)
 
 
 def _json_rows(elements: DataFrame) -> DataFrame:
@@ -182,73 +186,67 @@ def json_array(text: Column) -> Column:
     return F.from_json(text, T.ArrayType(T.StringType()))
 
 
-def raw_json(
-    spark: SparkSession,
-    paths: Sequence[str],
-    extensions: Sequence[str] = JSON_EXTENSIONS,
-    document_bytes: int = DOCUMENT_BYTES,
-) -> DataFrame:
-    """Objects of JSON documents and of JSON-lines files.
+def document_elements(parts: DataFrame) -> DataFrame:
+    """Parts of JSON documents as (source_file, line_number, elements, valid).
 
-    ``.jsonl`` files are read by lines, always. Of the others, a file whose first
-    line is a complete JSON value and that has further lines cannot be one document, so it
-    is read by lines too and stays splittable. A file of one line is a document in itself.
-    What is left is read whole if that is one valid document of at most ``document_bytes``,
-    and by lines if it is not; a line that is no object is then a bad record of its own.
+    An array's first part begins with a bracket, each further one with a comma, and the last ends with a bracket.
     """
-    lines = text_lines(spark, paths, extensions)
-    number = F.col("line_number")
-    files = cut(
-        lines.groupBy("source_file").agg(F.min(number).alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    text, number, last = strip(F.col("text")), F.col("number"), F.col("last")
+    first, nothing = number == 1, F.lit("")
+    opened = F.when(first, text.startswith("[")).otherwise(text.startswith(",") | (last & (text == "]")))
+    closed = ~last | text.endswith("]")
+    # What is left without the opening mark and, in the last part, without the bracket at its end.
+    begin = F.when(first | text.startswith(","), 2).otherwise(1)
+    inner = strip(F.substring(text, begin, F.length(text) - begin + F.when(last, 0).otherwise(1)))
+    may_be_empty = last & ~text.startswith(",")
+    listed = F.concat(F.lit("["), inner, F.lit("]"))
+    one = inner.startswith("{") & ~last
+    none = F.array().cast("array<string>")
+    in_array = F.struct(
+        F.when(one, F.array(inner)).when(inner == "", none).otherwise(json_array(listed)).alias("elements"),
+        (opened & closed & F.when(inner == "", may_be_empty).otherwise(is_json(F.when(one, inner).otherwise(listed)))).alias(
+            "valid"
+        ),
     )
-    by_nature = F.lower(F.col("source_file")).endswith(".jsonl")
-    # One line of every file is parsed to choose, wherever it stands.
-    firsts = lookup_join(
-        lines,
-        files.filter(~by_nature).select("source_file", F.col("_first").alias("line_number"), "_lines"),
-        ["source_file", "line_number"],
+    whole_end = (number == 2) & (text == "") & ((F.col("text") != nothing) | F.col("ends_closed"))
+    alone = F.struct(
+        F.when(last, none).otherwise(F.array(text)).alias("elements"),
+        F.when(last, whole_end).otherwise(first & is_json(text)).alias("valid"),
     )
-    chosen = cut(firsts.select("source_file", "_lines", is_json(F.col("value")).alias("_first_valid")))
+    read = parts.withColumn("_read", F.when(F.col("base") == 1, in_array).otherwise(alone))
+    return read.select("source_file", "number", "last", "_read.elements", F.coalesce("_read.valid", F.lit(False)).alias("valid"))
 
-    single = chosen.filter(F.col("_first_valid") & (F.col("_lines") == 1)).select(
-        "source_file", F.lit(True).alias("_single")
-    )
-    tagged = lookup_join(lines, single, ["source_file"], "left")
-    is_array = F.coalesce(F.col("_single"), F.lit(False)) & F.col("value").startswith("[")
-    by_line = tagged.filter(~is_array).select(
-        "source_file", "line_number", F.col("value").alias("element")
-    )
-    arrays = tagged.filter(is_array).select("source_file", F.col("value").alias("document"))
-
-    unclear = chosen.filter(~F.col("_first_valid")).select("source_file")
-    if unclear.isEmpty():
-        return _json_rows(by_line.unionByName(_elements(arrays)))
-
-    small = F.col("_metadata.file_size") <= document_bytes
-    documents = lookup_join(
-        _by_extension(spark, extensions)
-        .text(list(paths), wholetext=True)
-        .filter(small)
-        .select(F.col("_metadata.file_path").alias("source_file"), strip(F.col("value")).alias("document")),
-        unclear,
-        ["source_file"],
-        "left_semi",
-    )
-    settled = cut(documents.filter(is_json(F.col("document"))).select("source_file"))
-    by_line = lookup_join(by_line, settled, ["source_file"], "left_anti")
-    whole = lookup_join(documents, settled, ["source_file"], "left_semi")
-    objects = whole.filter(~F.col("document").startswith("[")).select(
-        "source_file", F.lit(1).cast("long").alias("line_number"), F.col("document").alias("element")
-    )
-    nested = whole.filter(F.col("document").startswith("[")).select("source_file", "document")
-    return _json_rows(by_line.unionByName(_elements(arrays.unionByName(nested))).unionByName(objects))
 
+def raw_json(spark: SparkSession, paths: Sequence[str], extensions: Sequence[str] = JSON_EXTENSIONS) -> DataFrame:
+    """Objects of JSON documents and of JSON-lines files.
 
-def _elements(arrays: DataFrame) -> DataFrame:
-    """One row per element of a JSON array, numbered by its place."""
-    return arrays.select(
-        "source_file", F.posexplode(json_array(F.col("document"))).alias("_at", "element")
-    ).select("source_file", (F.col("_at") + 1).cast("long").alias("line_number"), "element")
+    ``.jsonl`` files are read by lines, always. Any other file is one document if it is one valid array or object, of
+    whatever size and on however many lines: it is cut at closing braces, and tasks read its blocks side by
+    side. A file that is no valid document is read by lines; a line that is no object is then a
+    bad record of its own. Elements of an array are numbered by place; values between its objects that are none
+    themselves bear the number of the object behind them.
+    """
+    by_nature = [e for e in extensions if e.lower() == "jsonl"]
+    others = [e for e in extensions if e.lower() != "jsonl"]
+    lines = [text_lines(spark, paths, by_nature)] if by_nature else []
+    found: list[DataFrame] = []
+    if others:
+        scan = _by_extension(spark, others).option("lineSep", "}").text(list(paths))
+        parts, no_documents = json_documents(fragments(scan))
+        read = document_elements(parts)
+        spoilt = cut(read.filter(~F.col("valid")).select("source_file").distinct())
+        place = F.col("number") + F.when(F.col("last"), F.col("_at")).otherwise(0)
+        found.append(
+            lookup_join(read, spoilt, ["source_file"], "left_anti")
+            .select("source_file", "number", "last", F.posexplode("elements").alias("_at", "element"))
+            .select("source_file", place.cast("long").alias("line_number"), "element")
+        )
+        # As many names as a listing of the folder has.
+        by_line = [r.source_file for r in no_documents.unionByName(spoilt).toLocalIterator()]
+        if by_line:
+            lines.append(text_lines(spark, [_plain_path(f) for f in by_line], others))
+    found += [rows.select("source_file", "line_number", F.col("value").alias("element")) for rows in lines]
+    return _json_rows(reduce(DataFrame.unionByName, found))
 
 
 # ---------------------------------------------------------------------------

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,9 +45,64 @@ def test_nothing_of_a_large_file_is_lost(spark, tmp_path):
         found[key] = found.get(key, 0) + 1
     assert found == {("a.jsonl", "invalid JSON"): 1, ("a.jsonl", None): 50, ("b.json", "invalid JSON"): 1,
                      ("b.json", None): 30, ("c.json", None): 2}
-    # Beyond the size of a row a document goes line by line, and every line is accounted for.
-    by_line = files.raw_json(spark, [str(tmp_path / "c.json")], document_bytes=10).collect()
-    assert len(by_line) == len((tmp_path / "c.json").read_text().split("\n"))
+
+
+def documents(rng, n):
+    """Events with what upsets a reader of braces: strings with braces, quotes and escapes, nested values."""
+    texts = ['plain', 'a } b', '{"x": 1}', 'say \\"hi\\" {', 'back\\\\', '}}}{{{', '[', '],', 'é 你 😀', 'tab\t\nline', '']
+    return [
+        {"timestamp": "2024-01-15T10:30:00", "level": rng.choice(["ERROR", "WARN"]), "service": "s", "n": i,
+         "message": rng.choice(texts), "more": rng.choice([{}, {"a": {"b": [1, {"c": "}"}]}}, [], [{"d": 1}], None, 1.5])}
+        for i in range(n)
+    ]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+@pytest.mark.parametrize("split", [97, 1024, 1 << 20])
+def test_one_document_read_by_many_tasks(spark, tmp_path, indent, split):
+    events = documents(random.Random(split), 300)
+    (tmp_path / "a.json").write_text(json.dumps(events, indent=indent, ensure_ascii=False))
+    (tmp_path / "b.json").write_text("  \n" + json.dumps(events[:7], indent=indent) + "\n\n")
+    (tmp_path / "c.json").write_text("\n".join(json.dumps(e) for e in events[:50]))
+    (tmp_path / "o.json").write_text(json.dumps(events[0] | {"inner": events[:20]}, indent=indent))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        raw = files.raw_json(spark, [str(tmp_path)]).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert not [r for r in raw if r.reason]
+    found = {}
+    for r in raw:
+        found.setdefault(r.source_file.rsplit("/", 1)[1], []).append((r.line_number, int(r.fields["n"]), r.fields["message"]))
+    want = [(i + 1, i, e["message"]) for i, e in enumerate(events)]
+    assert sorted(found.pop("a.json")) == want
+    assert sorted(found.pop("b.json")) == want[:7]
+    assert sorted(found.pop("c.json")) == want[:50]
+    assert found == {"o.json": [(1, 0, events[0]["message"])]}
+
+
+@pytest.mark.parametrize(
+    ("text", "good", "bad"),
+    [
+        ("[]", 0, 0), ("[ \n ]", 0, 0), ("{}", 1, 0), ("[1, 2]", 0, 2), ('[1, {"n":1}, "x", {"n":2}, [{"n":3}]]', 2, 3),
+        ('[{"n":1}', 0, 1), ('[{"n":1},]', 0, 1), ('[{"n":1}{"n":2}]', 0, 1), ('[{"n":1}]x', 0, 1), ('{"n":1}\n{"n":2}', 2, 0),
+        ('{"n":1\n{"n":2}', 1, 1), ('[{"n":1},\n{"n":2}', 1, 1), ('{"n":1}}', 0, 1), ('{"n":{"m":1}', 0, 1), ('["a}", {"n":"b}"}]', 1, 1),
+        ("", 0, 0), (" \n ", 0, 0), ("]", 0, 1), ("}", 0, 1), ('[{"a":"x\ny"}]', 0, 2), ('{"n":1}\n', 1, 0), ('[{"n":1}]\n[{"n":2}]', 0, 2),
+    ],
+)
+def test_what_is_a_document(spark, tmp_path, text, good, bad):
+    (tmp_path / "x.json").write_text(text)
+    rows = files.raw_json(spark, [str(tmp_path)]).collect()
+    assert (sum(r.reason is None for r in rows), sum(r.reason is not None for r in rows)) == (good, bad)
+
+
+def test_the_last_of_a_repeated_key_counts(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"level":"INFO","message":"a","level":"ERROR","message":null}\n{"level":"WARN"}')
+    rows = {r.line_number: r.fields for r in files.raw_json(spark, [str(tmp_path)]).collect()}
+    assert rows == {1: {"level": "ERROR", "message": None}, 2: {"level": "WARN"}}
 
 
 def test_csv_of_all_kinds(spark, tmp_path):
