@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -12,6 +12,9 @@ from faultline.session import new_folder
 
 # A key with more than 1/HEAVY of all rows is heavy; there are fewer than HEAVY such keys at any size.
 HEAVY = 2000
+# Rows in a batch that goes to Python, where the session has not set its own: texts are long.
+BATCH_ROWS = 2000
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 # A held table of at most so many rows and bytes may be sent to every executor.
 SENT_ROWS, SENT_BYTES = 500_000, 16 << 20
 
@@ -22,11 +25,18 @@ def held(df: DataFrame, label: str) -> DataFrame:
     Cuts lineage: a lost executor costs no recomputation of what stands before, and
     later branches read only the columns they need.
     """
+    short_batches(df.sparkSession)
     folder = new_folder(df.sparkSession, label)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Lower the batch size from its default, which holds ten thousand whole texts on both sides of the pipe."""
+    if spark.conf.get(_BATCHES) == "10000":
+        spark.conf.set(_BATCHES, str(BATCH_ROWS))
+
+
 def numbered(df: DataFrame, label: str, name: str = "_row") -> DataFrame:
     """``df`` held with a stored number of its own in each row; ids may be missing or repeated.
 
