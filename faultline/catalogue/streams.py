@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from faultline.catalogue.incidents import as_of
 from faultline.catalogue.registry import Tables, log_view, query, second, sql_second, with_log
 from faultline.operators import timeline
 from faultline.session import new_folder
+from faultline.sources.growing import file_system, follow_text
 from faultline.sources.streams import stream_csv, stream_json_documents, stream_table, stream_text
 from faultline.streaming import monitor
 from faultline.streaming.lifecycle import alert_changes
@@ -153,11 +157,14 @@ def stream_text_scan(t: Tables) -> DataFrame:
 
 
 def _landed_json_and_csv(t: Tables) -> DataFrame:
-    """(kind, timestamp, level) of the events that the two streams land."""
+    """(kind, timestamp, level, service, message) of the events that the two streams land."""
     logs, out = new_folder(t.spark, "logs"), new_folder(t.spark, "scans")
     rows = t.log_events.select(second("timestamp").alias("timestamp"), "level", "service", "message")
+    # Every other event has its time in seconds, as a number.
+    seconds = F.unix_timestamp("timestamp").cast("string")
+    timed = rows.withColumn("timestamp", F.when(F.col("level") == "INFO", seconds).otherwise(F.col("timestamp")))
     rows.write.option("maxRecordsPerFile", FILE_ROWS).json(f"{logs}/json")
-    rows.write.option("maxRecordsPerFile", FILE_ROWS).option("header", True).csv(f"{logs}/csv")
+    timed.write.option("maxRecordsPerFile", FILE_ROWS).option("header", True).csv(f"{logs}/csv")
     streams = {
         "json": stream_json_documents(t.spark, f"{logs}/json"),
         "csv": stream_csv(t.spark, f"{logs}/csv", "timestamp,level,service,message"),
@@ -168,18 +175,83 @@ def _landed_json_and_csv(t: Tables) -> DataFrame:
             raw, lambda r: timeline.to_events(r, as_of()), f"{out}/{kind}", new_folder(t.spark, "state"), once=True
         ).awaitTermination()
         events = t.spark.read.parquet(f"{out}/{kind}/events")
-        found.append(events.select(F.lit(kind).alias("kind"), "timestamp", "level"))
+        found.append(
+            events.select(F.lit(kind).alias("kind"), second("timestamp").alias("timestamp"), "level", "service", "message")
+        )
     return found[0].unionByName(found[1])
 
 
 @query(
     with_log(
-        """
-SELECT kind, level, count(*) AS n FROM log_events, (VALUES ('json'), ('csv')) k(kind)
-WHERE strftime(timestamp, '%d') = '01' GROUP BY 1, 2"""
+        f"""
+SELECT kind, {sql_second("timestamp")} AS timestamp, level, service, message
+FROM log_events, (VALUES ('json'), ('csv')) k(kind)"""
     )
 )
 def stream_json_and_csv(t: Tables) -> DataFrame:
-    """All events arrive as JSON documents and as CSV files, and are scanned by two streams; those of first days are counted."""
-    landed = _landed_json_and_csv(t).filter(F.date_format("timestamp", "dd") == "01")
-    return landed.groupBy("kind", "level").agg(F.count(F.lit(1)).alias("n"))
+    """All events arrive as JSON documents and as CSV files, and are scanned by two streams."""
+    return _landed_json_and_csv(t)
+
+
+# Triggers between which the logs of stream_growing_files grow.
+GROWTHS = 3
+
+
+def _grow_logs(t: Tables, folder: str, step: int) -> None:
+    """One log per day, as far as it is written by a step; but for the last, a step ends in the middle of a line."""
+    line = F.concat(second("timestamp"), F.lit(" "), "level", F.lit(" "), "service", F.lit(": #"), F.col("seq").cast("string"))
+    third = F.floor(F.hour("timestamp") / (24 / GROWTHS)).cast("int") + 1
+    lines = t.log_events.select("incident_id", "seq", line.alias("line"), third.alias("step"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines of a day follow each other; a repeated task writes the same files anew."""
+        system, root = file_system(folder)
+        day, out, cut = None, None, False
+
+        def close() -> None:
+            out.close()
+            system.move(f"{root}/{day}.new", f"{root}/{day}.log")
+
+        for batch in batches:
+            for own, _, text, due in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if own != day:
+                    if out:
+                        close()
+                    day, out, cut = own, system.open_output_stream(f"{root}/{own}.new"), False
+                data = text.encode() + b"\n"
+                if due <= step:
+                    out.write(data)
+                elif not cut:
+                    out.write(data[: len(data) // 2])
+                    cut = True
+        if out:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([0])], names=["done"])
+
+    ordered = lines.repartition("incident_id").sortWithinPartitions("incident_id", "seq")
+    ordered.mapInArrow(write, "done long").agg(F.count("done")).collect()
+
+
+@query(
+    with_log(
+        f"""
+SELECT seq, {sql_second("timestamp")} AS timestamp, level,
+       concat({sql_second("timestamp")}, ' ', level, ' ', service, ': #', seq) AS message
+FROM log_events"""
+    )
+)
+def stream_growing_files(t: Tables) -> DataFrame:
+    """Logs grow between three triggers, mostly in the middle of a line; each line is scanned once."""
+    logs, out, state = (new_folder(t.spark, n) for n in ("growing", "scans", "state"))
+    t.spark.createDataFrame([], "none string").write.parquet(logs)
+    for step in range(1, GROWTHS + 1):
+        _grow_logs(t, logs, step)
+        raw = follow_text(t.spark, logs, split_bytes=1 << 16)
+        monitor.monitor(raw, lambda r: timeline.to_events(r, as_of()), out, state, once=True).awaitTermination()
+    events = t.spark.read.parquet(f"{out}/events")
+    return events.select(
+        F.regexp_extract("message", r"#(\d+)$", 1).cast("long").alias("seq"),
+        second("timestamp").alias("timestamp"),
+        "level",
+        "message",
+    )

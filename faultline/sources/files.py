@@ -23,7 +23,7 @@ from faultline.functions.text import strip
 from faultline.plans.cut import cut
 from faultline.plans.joins import lookup_join
 from faultline.schema import CSV_EXTENSIONS, JSON_EXTENSIONS, TEXT_EXTENSIONS, TIMESTAMP_KEYS
-from faultline.sources.fragments import fragments, json_documents
+from faultline.sources.fragments import csv_records, fragments, json_documents
 from faultline.sources.numbering import number_records
 
 _FIELDS = "map<string,string>"
@@ -283,20 +283,24 @@ def csv_headers(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, bo
 def raw_csv(spark: SparkSession, paths: Sequence[str], multi_line: bool | None = None) -> DataFrame | None:
     """Records of CSV files, one scan per distinct header.
 
-    Files in which a quoted cell holds a line break are read whole, the others are split;
-    ``multi_line`` decides for all files.
+    Files in which a quoted cell holds a line break are put together from their lines, blocks side by side; the
+    others are plain scans. ``multi_line`` decides for all files.
     """
-    scans = [
-        _csv_group(spark, header, files, broken if multi_line is None else multi_line)
-        for (header, broken), files in sorted(csv_headers(spark, paths).items())
-    ]
+    scans, broken = [], []
+    for (header, breaks), files in sorted(csv_headers(spark, paths).items()):
+        if breaks if multi_line is None else multi_line:
+            broken += files
+        else:
+            scans.append(_csv_group(spark, header, files))
+    if broken:
+        scans += _csv_over_lines(spark, broken)
     return reduce(DataFrame.unionByName, scans) if scans else None
 
 
 def column_names(header: str) -> list[str]:
     """Names of a header line; empty ones by place, repeated ones with a number behind them."""
     names: list[str] = []
-    for place, name in enumerate(next(csv.reader([header]))):
+    for place, name in enumerate(next(csv.reader(header.splitlines(keepends=True)))):
         own = name or f"_c{place}"
         times = 0
         while own in names:
@@ -306,31 +310,30 @@ def column_names(header: str) -> list[str]:
     return names
 
 
-def _csv_group(
-    spark: SparkSession, header: str, files: Sequence[str], multi_line: bool
-) -> DataFrame:
-    names = column_names(header)
-    columns = [f"c{i}" for i in range(len(names))]
-    cells = [T.StructField(c, T.StringType()) for c in columns]
-    # Spark keeps the text of a record with more or fewer cells than the header.
-    schema = T.StructType([*cells, T.StructField("_text", T.StringType())])
-    # File names from the metadata column are URIs; a path needs them decoded.
-    reader = spark.read.schema(schema).options(
-        header=True,
-        escape='"',
-        multiLine=multi_line,
-        enforceSchema=True,
-        mode="PERMISSIVE",
-        columnNameOfCorruptRecord="_text",
-        # Else cells that no one asks for are not counted.
-        columnPruning=False,
-    )
-    scan = reader.csv([_plain_path(f) for f in files])
-    wide = T.StructType([*cells, T.StructField("_surplus", T.StringType())])
-    numbered = number_records(scan)
+CSV_OPTIONS = {
+    "escape": '"',
+    "mode": "PERMISSIVE",
+    "columnNameOfCorruptRecord": "_text",
+    # Else cells that no one asks for are not counted.
+    "columnPruning": "false",
+}
+
+
+def csv_cells(names: Sequence[str]) -> list[T.StructField]:
+    return [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
+
+
+def csv_schema(names: Sequence[str]) -> T.StructType:
+    """Cells by place, and the text of a record with more or fewer cells than the header, which Spark keeps."""
+    return T.StructType([*csv_cells(names), T.StructField("_text", T.StringType())])
+
+
+def csv_rows(numbered: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Raw rows of records read by ``csv_schema`` that know their source_file and line_number."""
     fields = F.map_from_arrays(
-        F.array(*[F.lit(n) for n in names]), F.array(*[F.col(c) for c in columns])
+        F.array(*[F.lit(n) for n in names]), F.array(*[F.col(f"c{i}") for i in range(len(names))])
     )
+    wide = T.StructType([*csv_cells(names), T.StructField("_surplus", T.StringType())])
     read = F.from_csv("_text", wide.simpleString()[7:-1].replace(":", " "), {"escape": '"', "multiLine": "true"})
     # Spark refuses a scan of the record text alone; no length is negative.
     never = F.length("c0") < 0
@@ -359,6 +362,35 @@ def _csv_group(
     )
 
 
+def _csv_group(spark: SparkSession, header: str, files: Sequence[str]) -> DataFrame:
+    names = column_names(header)
+    reader = spark.read.schema(csv_schema(names)).options(**CSV_OPTIONS, header=True, enforceSchema=True)
+    # File names from the metadata column are URIs; a path needs them decoded.
+    scan = reader.csv([_plain_path(f) for f in files])
+    return csv_rows(number_records(scan), names)
+
+
+def _csv_over_lines(spark: SparkSession, files: Sequence[str]) -> list[DataFrame]:
+    """Raw rows of files whose records go on over lines, by header; each is read by as many tasks as it has splits."""
+    scan = _by_extension(spark, CSV_EXTENSIONS).option("lineSep", "\n").text([_plain_path(f) for f in files])
+    rows = csv_records(fragments(scan))
+    heads: dict[str, list[str]] = {}
+    for row in rows.filter("number = 1").toLocalIterator():
+        heads.setdefault(row.text, []).append(row.source_file)
+    found = []
+    for header, own in sorted(heads.items()):
+        names = column_names(header)
+        named = spark.createDataFrame([(f,) for f in own], "source_file string")
+        body = lookup_join(rows.filter("number > 1"), named, ["source_file"], "left_semi")
+        kinds = csv_schema(names).simpleString()[7:-1].replace(":", " ")
+        read = F.from_csv("text", kinds, {**CSV_OPTIONS, "multiLine": "true"}).alias("_cells")
+        cells = body.select("source_file", (F.col("number") - 1).alias("line_number"), read).select(
+            "source_file", "line_number", "_cells.*"
+        )
+        found.append(csv_rows(cells, names))
+    return found
+
+
 def _plain_path(uri: str) -> str:
     """The path of a file URI: percent escapes undone, and glob characters taken as they are."""
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(uri))

@@ -291,3 +291,38 @@ def json_documents(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         parts.join(broadcast_if_small(files), "source_file").withColumn("text", F.coalesce(text, "text")),
         files.filter("base IS NULL").select("source_file"),
     )
+
+
+# --- CSV: fragments are lines, and a record ends where its quotes are closed ---------------------
+
+
+def csv_ends(measures: list[np.ndarray], state: tuple[int, int]) -> tuple[np.ndarray, tuple[int, int]]:
+    """Blank lines between records go with the record behind them."""
+    quotes, blank = measures
+    after = (state[0] + np.cumsum(quotes)) % 2
+    return (after == 0) & ~blank, (int(after[-1]), 0)
+
+
+def csv_records(rows: DataFrame) -> DataFrame:
+    """(source_file, number, text) of the records of CSV files, the header being the first; quoted cells may hold line breaks.
+
+    A file whose last quote is never closed has the rest of its text as its last record.
+    """
+    measured = rows.select(
+        "source_file", "block", "text", (count_of(F.col("text"), '"') % 2).alias("quotes"), (F.trim(F.translate("text", "\r\t", "")) == "").alias("blank")
+    )
+    blocks = cut(measured.groupBy("source_file", "block").agg(F.count(F.lit(1)).alias("fragments"), F.sum("quotes").alias("_quotes")))
+    earlier = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    states = blocks.select(
+        "source_file", "block", "fragments", (F.coalesce(F.sum("_quotes").over(earlier), F.lit(0)) % 2).cast("int").alias("state"),
+        F.lit(0).alias("depth"), F.lit(True).alias("wanted"),
+    )
+    asked = by_block(measured, states).select(
+        "source_file", "block", "fragments", "state", "depth", "text", "quotes", "blank"
+    )
+    found, rests = records(asked, csv_ends, "\n")
+    open_ones = rests.filter(F.trim(F.translate("text", "\r\n\t", "")) != "").select(
+        "source_file", (F.col("records") + 1).alias("number"), "text"
+    )
+    bare = F.regexp_replace(F.regexp_replace("text", r"^(?:[ \t\r]*\n)+", ""), r"\r?\n$", "")
+    return found.unionByName(open_ones).withColumn("text", bare)

@@ -10,9 +10,12 @@ from faultline.functions.text import strip
 from faultline.schema import TEXT_EXTENSIONS
 from faultline.schema import CSV_EXTENSIONS
 from faultline.sources.files import (
+    CSV_OPTIONS,
     _json_rows,
     _null,
     column_names,
+    csv_rows,
+    csv_schema,
     extension_glob,
     json_array,
     json_object,
@@ -98,23 +101,12 @@ def stream_csv(spark: SparkSession, folder: str, header: str, max_files: int | N
     rows under the names stated here.
     """
     names = column_names(header)
-    columns = [f"c{i}" for i in range(len(names))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_surplus"]])
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", extension_glob(CSV_EXTENSIONS))
+    reader = spark.readStream.schema(csv_schema(names)).option("pathGlobFilter", extension_glob(CSV_EXTENSIONS))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    rows = reader.options(header=True, escape='"', multiLine=True, enforceSchema=True).csv(folder)
-    fields = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(c) for c in columns]))
-    good = F.col("_surplus").isNull()
-    text = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in [*columns, "_surplus"]])
-    return rows.select(
-        F.col("_metadata.file_path").alias("source_file"),
-        _null("long").alias("line_number"),
-        _null("string").alias("line"),
-        F.when(good, fields).alias("fields"),
-        _null("map<string,double>").alias("seconds"),
-        F.when(~good, text).alias("raw"),
-        F.when(~good, "more fields than the header").alias("reason"),
+    rows = reader.options(**CSV_OPTIONS, header=True, multiLine=True, enforceSchema=True).csv(folder)
+    return csv_rows(
+        rows.withColumns({"source_file": F.col("_metadata.file_path"), "line_number": _null("long")}), names
     )
 
 

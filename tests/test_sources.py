@@ -1,3 +1,5 @@
+import csv
+import io
 import json
 import random
 
@@ -5,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import timeline
-from faultline.sources import files, scenarios
+from faultline.sources import files, growing, scenarios
 from faultline.sources.numbering import number_records
 
 
@@ -117,6 +119,85 @@ def test_csv_of_all_kinds(spark, tmp_path):
     assert [(r.raw, r.reason) for r in bad.collect()] == [("ERROR,a,b,c,d", "more fields than the header")]
 
 
+@pytest.mark.parametrize("split", [50, 300, 1 << 20])
+def test_quoted_line_breaks_read_by_many_tasks(spark, tmp_path, split):
+    rng = random.Random(split)
+    cells = ['plain', 'two\nlines', 'a "quote"', 'comma, here', '\n\n', 'x\n"\ny', '', ' lead', '"', 'é\n你']
+    rows = [[str(i), rng.choice(cells), rng.choice(cells)] for i in range(200)]
+    for name, header, end in (("a.csv", ["seq", "message", "app"], "\n"), ("b.csv", ["seq", "msg\nof", "app"], "\r\n")):
+        with open(tmp_path / name, "w", newline="") as out:
+            writer = csv.writer(out, lineterminator=end)
+            writer.writerow(header)
+            for n, row in enumerate(rows):
+                writer.writerow(row)
+                if n % 7 == 0:
+                    out.write(end)
+    (tmp_path / "open.csv").write_text('seq,message\n1,ok\n2,"never closed\n3,x\n')
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        found = {}
+        for r in files.raw_csv(spark, [str(tmp_path)]).collect():
+            assert r.reason is None
+            found.setdefault(r.source_file.rsplit("/", 1)[1], {})[r.line_number] = r.fields
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert set(found) == {"a.csv", "b.csv", "open.csv"}
+    for name, header in (("a.csv", ["seq", "message", "app"]), ("b.csv", ["seq", "msg\nof", "app"])):
+        assert sorted(found[name]) == list(range(1, 201))
+        for i, row in enumerate(rows):
+            assert [found[name][i + 1][h] or "" for h in header] == row
+    assert found["open.csv"][1] == {"seq": "1", "message": "ok"} and len(found["open.csv"]) == 2
+    assert found["open.csv"][2]["message"].startswith("never closed")
+
+
+def test_growing_files(spark, tmp_path):
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+    rng = random.Random(1)
+    lines = [f"{i} " + "x" * rng.choice([0, 3, 40, 300]) + rng.choice(["", "\r", " é你"]) for i in range(400)]
+    whole = "".join(line + "\n" for line in lines).encode()
+
+    def trigger():
+        growing.follow_text(spark, str(folder), split_bytes=97).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", state
+        ).trigger(availableNow=True).start().awaitTermination()
+
+    def seen(name="a.log"):
+        rows = spark.read.parquet(out).filter(F.col("source_file").endswith(name)).orderBy("position").collect()
+        return [r.line for r in rows]
+
+    # Nothing whole yet; the middle of a character and of a line; then nothing new; then all.
+    for n in (0, 5, 1001, 1001, 7777, 7778, len(whole)):
+        (folder / "a.log").write_bytes(whole[:n])
+        trigger()
+        assert seen() == [x.strip() for x in whole[: whole[:n].rfind(b"\n") + 1].decode().split("\n") if x.strip()]
+    (folder / "sub").mkdir()
+    (folder / "sub" / "b.TXT").write_text("one\n\ntwo\nnever ended")
+    (folder / "c.json").write_text("{}\n")
+    # A file begun anew is read from its start.
+    (folder / "a.log").write_text("again\n")
+    trigger()
+    assert sorted(seen("b.TXT")) == ["one", "two"]
+    assert sorted(seen()) == sorted([x.strip() for x in lines if x.strip()] + ["again"])
+    assert not seen("c.json")
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_ranges_give_each_line_once(size):
+    data = b"a\n\nbcd\nefghijklmnop\n\n\nq\nrs\n"
+    for floor in (0, 2, 7):
+        parts = [growing.Range("f", at, min(at + size, len(data)), floor, len(data)) for at in range(floor, len(data), size)]
+        found = [p for part in parts for ps, ls in growing.lines_of(io.BytesIO(data), part) for p in zip(ps, ls, strict=True)]
+        want, at = [], floor
+        for line in data[floor:].split(b"\n")[:-1]:
+            want.append((at, line))
+            at += len(line) + 1
+        assert found == want
+
+
 def test_hidden_files_are_reported(spark, tmp_path):
     (tmp_path / "_app.log").write_text("ERROR x")
     (tmp_path / ".h.log").write_text("ERROR y")
