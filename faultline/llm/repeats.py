@@ -514,7 +514,7 @@ def repeated_starts(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame
         F.collect_list(F.struct("lo", "hi", "anchor", "kind", "hot")).alias("marks")
     )
     touched = held(
-        texts.join(per_doc, F.col("row") == F.col("_id")).select("row", "text", "marks"), "touched"
+        texts.join(per_doc, F.col("row") == F.col("_id")).select("row", "text", "marks"), "touched", "zstd"
     )
     windows_of = F.col("hi") - F.col("lo") + 1
     open_marks = marks.filter(F.col("kind") != COVERED)
@@ -551,7 +551,7 @@ def remove_repeats(
     are compared by 64-bit hashes and by bytes in the indexes. An empty table gives no rows.
     """
     texts = numbered(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "repeat-texts", "row"
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "repeat-texts", "row", "zstd"
     )
     touched, starts = repeated_starts(texts.select("row", "text"), length, gram)
     per_doc = starts.groupBy(F.col("row").alias("_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))

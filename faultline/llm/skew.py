@@ -19,7 +19,7 @@ _BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SENT_ROWS, SENT_BYTES = 500_000, 16 << 20
 
 
-def held(df: DataFrame, label: str) -> DataFrame:
+def held(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and go on from the files.
 
     Cuts lineage: a lost executor costs no recomputation of what stands before, and
@@ -27,7 +27,7 @@ def held(df: DataFrame, label: str) -> DataFrame:
     """
     short_batches(df.sparkSession)
     folder = new_folder(df.sparkSession, label)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
@@ -37,14 +37,14 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCHES, str(BATCH_ROWS))
 
 
-def numbered(df: DataFrame, label: str, name: str = "_row") -> DataFrame:
+def numbered(df: DataFrame, label: str, name: str = "_row", compression: str = "snappy") -> DataFrame:
     """``df`` held with a stored number of its own in each row; ids may be missing or repeated.
 
     A column of the caller with that name waits as ``name~own``.
     """
     if name in df.columns:
         df = df.withColumnRenamed(name, own_name(name))
-    return held(df.withColumn(name, F.monotonically_increasing_id()), label)
+    return held(df.withColumn(name, F.monotonically_increasing_id()), label, compression)
 
 
 def own_name(name: str) -> str:
