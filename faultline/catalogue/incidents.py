@@ -15,7 +15,7 @@ from faultline.catalogue.registry import (
     with_log,
 )
 from faultline.functions.text import percent_text
-from faultline.operators import alerts, context, metrics, sessions, timeline, trends
+from faultline.operators import alerts, context, intervals, metrics, quantiles, sessions, timeline, trends
 
 def as_of() -> Column:
     """The moment at which the queries stand."""
@@ -391,6 +391,55 @@ def before_each_fatal(t: Tables) -> DataFrame:
     )
 
 
+# Seconds that within_minutes_of_fatal looks back.
+BEFORE_FATAL = 600
+
+
+@query(
+    with_log(
+        f"""
+SELECT f.seq AS event_id, e.seq AS before_id, e.level, e.service, round(epoch(f.timestamp - e.timestamp), 6) AS seconds_before
+FROM log_events f JOIN log_events e
+     ON e.timestamp < f.timestamp AND e.timestamp >= f.timestamp - INTERVAL '{BEFORE_FATAL} seconds'
+WHERE f.level = 'FATAL'"""
+    )
+)
+def within_minutes_of_fatal(t: Tables) -> DataFrame:
+    """What happened in the minutes before each fatal event, in any service."""
+    anchors = t.log_events.filter(F.col("level") == "FATAL").withColumnRenamed("seq", "event_id")
+    found = intervals.events_within(t.log_events, anchors, BEFORE_FATAL, ["event_id"], ["seq", "level", "service"])
+    return found.select(
+        "event_id",
+        F.col("before_seq").alias("before_id"),
+        F.col("before_level").alias("level"),
+        F.col("before_service").alias("service"),
+        F.round("seconds_before", 6).alias("seconds_before"),
+    )
+
+
+@query(
+    """
+SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, true AS p50_within, true AS p95_within, true AS p99_within
+FROM events GROUP BY 1, 2"""
+)
+def merged_quantiles(t: Tables) -> DataFrame:
+    """Quantile sketches of every hour merged to days; the true rank of each quantile lies within the stated bound."""
+    points = t.events.select(F.col("ts").cast("timestamp").alias("timestamp"), "event_type", "value")
+    hours = quantiles.sketched_windows(points, "1 hour", ["event_type"])
+    days = quantiles.quantiles_of(quantiles.merged_windows(hours, "1 day", ["event_type"]))
+    day = F.date_format("timestamp", "yyyy-MM-dd").alias("day")
+    beside = points.select(day, "event_type", "value").join(
+        days.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "p50", "p95", "p99"),
+        ["day", "event_type"],
+    )
+    checks = []
+    for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+        below = F.count_if(F.col("value") < F.col(name)) / F.count(F.lit(1))
+        up_to = F.count_if(F.col("value") <= F.col(name)) / F.count(F.lit(1))
+        checks.append(((below <= q + quantiles.RANK_ERROR) & (up_to >= q - quantiles.RANK_ERROR)).alias(f"{name}_within"))
+    return beside.groupBy("day", "event_type").agg(F.max("n").cast("long").alias("n"), *checks)
+
+
 # ---------------------------------------------------------------------------
 # Filters and lookups
 # ---------------------------------------------------------------------------
