@@ -104,7 +104,7 @@ _ERRING_SQL = """
 SELECT {sql_second("r.hour")} AS hour, r.n_events, r.n_errors,
        CASE WHEN n_errors / n_events > 0.25 THEN 'critical' ELSE 'high' END AS severity,
        e.affected_services,
-       concat('High error rate detected: ', printf('%.0f%%', n_errors / n_events * 100)) AS description,
+       concat('Share of errors above the limit: ', printf('%.0f%%', n_errors / n_events * 100)) AS description,
        round(n_errors / n_events, 6) AS current_value,
        0.05::DOUBLE AS baseline_value, 0.85::DOUBLE AS confidence, 'increasing_errors' AS trend_type,
        sha256('increasing_errors|' || {sql_second("r.hour")}) AS alert_id

@@ -117,12 +117,12 @@ def rule_analyses(t: Tables) -> DataFrame:
         f"""
 SELECT q.event_id, q.incident_id, q.question, {_INTENT_SQL.format(q="lower(q.question)")} AS intent,
        CASE {_INTENT_SQL.format(q="lower(q.question)")}
-            WHEN 'timeline' THEN coalesce(concat('Key events from the timeline:', chr(10), chr(10), k.lines),
-                'The timeline starts with information only; nothing critical stands out.')
+            WHEN 'timeline' THEN coalesce(concat('Warnings and errors among the first events:', chr(10), chr(10), k.lines),
+                concat('Of ', a.n_events, ' events, the first ', least(a.n_events, 10), ' hold no warning and no error.'))
             WHEN 'error' THEN coalesce(concat('Found ', e.n, ' error events.', chr(10), chr(10), e.lines,
-                CASE WHEN e.n > 5 THEN concat(chr(10), chr(10), '... and ', e.n - 5, ' more') ELSE '' END),
-                'No ERROR level events found.')
-            WHEN 'cause' THEN concat('Based on the analysis: ', a.analysis)
+                CASE WHEN e.n > 5 THEN concat(chr(10), chr(10), e.n - 5, ' further errors are not shown') ELSE '' END),
+                'None of the events has the level ERROR.')
+            WHEN 'cause' THEN concat('Root cause as analysed: ', a.analysis)
             WHEN 'prevention' THEN concat(a.n_errors, ' of ', a.n_events, ' events were errors. An alert on that share,',
                 ' per hour, would show the next such incident earlier.')
             ELSE concat('Your question was: "', q.question,
@@ -137,8 +137,8 @@ LEFT JOIN (SELECT incident_id, any_value(n) AS n,
            FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY timestamp, seq) AS rn,
                         count(*) OVER (PARTITION BY incident_id) AS n FROM log_events WHERE level = 'ERROR')
            WHERE rn <= 5 GROUP BY 1) e USING (incident_id)
-LEFT JOIN (SELECT incident_id, concat('{{"summary":"Analysis: Found ', count(*) FILTER (WHERE level = 'ERROR'),
-                  ' errors in ', count(*), ' events.","root_cause_description":"', count(*) FILTER (WHERE level = 'ERROR'),
+LEFT JOIN (SELECT incident_id, concat('{{"summary":"Counted: ', count(*) FILTER (WHERE level = 'ERROR'),
+                  ' errors, ', count(*), ' events.","root_cause_description":"', count(*) FILTER (WHERE level = 'ERROR'),
                   ' of ', count(*), ' events are errors; no single cause is named by rule.',
                   '","affected_components":["auth-service","database"],"confidence_score":0.85}}') AS analysis,
                   count(*) FILTER (WHERE level = 'ERROR') AS n_errors, count(*) AS n_events

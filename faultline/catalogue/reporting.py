@@ -16,7 +16,7 @@ _CAUSE = "', n_errors, ' of ', n_events, ' events are errors; no single cause is
 
 _STATS_SQL = """stats AS (
     SELECT incident_id, count(*) AS n_events, count(*) FILTER (WHERE level = 'ERROR') AS n_errors,
-           concat('Analysis: Found ', count(*) FILTER (WHERE level = 'ERROR'), ' errors in ', count(*), ' events.')
+           concat('Counted: ', count(*) FILTER (WHERE level = 'ERROR'), ' errors, ', count(*), ' events.')
              AS summary
     FROM log_events GROUP BY 1)"""
 
@@ -108,7 +108,7 @@ erring AS (
 alerts AS (
     SELECT strftime(hour, '%Y%m%d%H') AS incident_id, services, quoted,
            CASE WHEN e / n > 0.25 THEN 'critical' ELSE 'high' END AS severity,
-           concat('High error rate detected: ', printf('%.0f%%', e / n * 100)) AS description, n, e
+           concat('Share of errors above the limit: ', printf('%.0f%%', e / n * 100)) AS description, n, e
     FROM hourly JOIN erring USING (hour) WHERE e / n > 0.15)"""
 
 
@@ -131,10 +131,10 @@ SELECT incident_id, 'chat_alert' AS kind, 'dry_run' AS mode, true AS ok,
     concat('{{"channel":"#incidents","attachments":[{{"color":"',
         CASE severity WHEN 'critical' THEN '#dc143c' ELSE '#ff6347' END,
         '","blocks":[{{"type":"header","text":{{"type":"plain_text","text":"Alert: increasing_errors"}}}},',
-        '{{"type":"section","fields":[{{"type":"mrkdwn","text":"*Severity:*\\n', upper(severity),
-        '"}},{{"type":"mrkdwn","text":"*Services:*\\n', services,
+        '{{"type":"section","fields":[{{"type":"mrkdwn","text":"*Grade*\\n', upper(severity),
+        '"}},{{"type":"mrkdwn","text":"*Affected*\\n', services,
         '"}}]}},{{"type":"section","text":{{"type":"mrkdwn","text":"', description,
-        '"}}}},{{"type":"section","text":{{"type":"mrkdwn","text":"*Recommended Actions:*\\n{_ACTIONS_TEXT}"}}}}]}}]}}') AS payload
+        '"}}}},{{"type":"section","text":{{"type":"mrkdwn","text":"*What to do next*\\n{_ACTIONS_TEXT}"}}}}]}}]}}') AS payload
 FROM alerts""",
         _HOUR_ALERTS,
     )

@@ -48,7 +48,7 @@ def stream_error_rate(t: Tables) -> DataFrame:
     with_log(
         """
 SELECT incident_id, n_events, n_errors, CASE WHEN n_errors / n_events > 0.25 THEN 'critical' ELSE 'high' END AS severity,
-       services, concat('High error rate detected: ', printf('%.0f%%', n_errors / n_events * 100)) AS description,
+       services, concat('Share of errors above the limit: ', printf('%.0f%%', n_errors / n_events * 100)) AS description,
        concat('Begin with ', split_part(services, ', ', 1), ', the first to fail') AS action
 FROM (SELECT incident_id, CAST(sum(n) AS BIGINT) AS n_events, CAST(sum(e) AS BIGINT) AS n_errors,
              string_agg(service, ', ' ORDER BY f) FILTER (WHERE e > 0) AS services

@@ -244,8 +244,8 @@ def test_intents(column):
 
 def test_root_cause_line(column):
     found = column(root_cause_line, ['{\n  "root_cause_description": "x"\n}', "nothing"])
-    assert found[0] == 'Based on the analysis: "root_cause_description": "x"'
-    assert not found[1].startswith("Based")
+    assert found[0] == 'Root cause as analysed: "root_cause_description": "x"'
+    assert found[1] == "No cause is named in the analysis."
 
 
 def test_problem_class(column):

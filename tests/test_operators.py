@@ -31,7 +31,7 @@ def test_alert_content(make_events):
                           ("i", 4, "ERROR", None, "m"), ("i", 5, "ERROR", "b", "m")])
     (alert,) = alerts.error_rate_alerts(events, now()).collect()
     assert alert.affected_services == ["c", "b"]
-    assert alert.description == "High error rate detected: 80%"
+    assert alert.description == "Share of errors above the limit: 80%"
     assert alert.trend.current_value == 0.8 and alert.trend.time_window_minutes == 5
     assert alert.recommended_actions == ["Begin with c, the first to fail", "Find what changed before these 4 errors"]
 
@@ -133,7 +133,7 @@ def test_metric_points_and_growth(make_events):
 def test_rule_based_analysis_is_valid_and_counts(make_events):
     events = make_events([("i", 1, "ERROR", "a", "m"), ("i", 2, "ERROR", "a", "m"), ("i", 3, "FATAL", "a", "m"), ("i", 4, "INFO", "a", "m")])
     body = json.loads(analysis.rule_based_analyses(metrics.error_stats(events)).first().analysis)
-    assert "2 errors in 4 events" in body["summary"] and 0 <= body["confidence_score"] <= 1
+    assert "2 errors, 4 events" in body["summary"] and 0 <= body["confidence_score"] <= 1
 
 
 def test_completion_retries_and_falls_back(spark):
@@ -236,7 +236,7 @@ def test_payloads(spark, make_events, analysed):
     assert sent["channel"] == "#incidents" and sent["attachments"][0]["color"] == "#dc143c"
     blocks = sent["attachments"][0]["blocks"]
     assert [b["type"] for b in blocks] == ["header", "section", "section", "section"]
-    assert blocks[0]["text"]["type"] == "plain_text" and blocks[1]["fields"][0]["text"] == "*Severity:*\nCRITICAL"
+    assert blocks[0]["text"]["type"] == "plain_text" and blocks[1]["fields"][0]["text"] == "*Grade*\nCRITICAL"
     body = spark.createDataFrame([("i", "x" * 5000)], "incident_id string, report string")
     chat = json.loads(outbox.chat_reports(body, now()).first().payload)
     assert len(chat["blocks"][1]["text"]["text"]) == 3000
@@ -270,9 +270,9 @@ def test_rule_answers(spark, make_events):
     asked = spark.createDataFrame([("i", "show errors"), ("i", "timeline?"), ("k", "any failure?"), ("i", "why")], "incident_id string, question string")
     analyses = spark.createDataFrame([("i", '{"root_cause_description": "x"}')], "incident_id string, analysis string")
     found = {(r.incident_id, r.intent): r.answer for r in answers.rule_answers(asked, events, analyses).collect()}
-    assert found["i", "error"].startswith("Found 7 error events") and "... and 2 more" in found["i", "error"]
+    assert found["i", "error"].startswith("Found 7 error events") and "2 further errors" in found["i", "error"]
     assert found["i", "timeline"].count("•") == 7
-    assert "no events" in found["k", "error"] and found["i", "cause"].startswith("Based on")
+    assert "no events" in found["k", "error"] and found["i", "cause"].startswith("Root cause as analysed")
 
 
 def test_pairs_and_recent(spark):
