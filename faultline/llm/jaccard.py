@@ -24,6 +24,7 @@ from faultline.llm.skew import attach, by_size, held, numbered, without_rows
 from faultline.llm.words import Sums, TextSlice, find_words, grams, lean, mix, text_slices
 
 GROUP = 64  # members of a group: bits of a matrix row
+SENT_SLICE = 1 << 20  # bytes of text within which a signature is sent once
 FREQUENT = 1 << 16  # shingles that are told to every task as frequent: 512 kB
 CHUNKS, LARGEST_CHUNK = 16, 4096  # a larger family has so many chunks, until they reach the largest size
 CHUNK = 128  # documents of a family that meet in one task with as many others
@@ -236,7 +237,7 @@ def signed(n: int, rule: Rule, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
-            for part in text_slices(batch.column(1)):
+            for part in text_slices(batch.column(1), SENT_SLICE):
                 token, bounds = shingle_sets(part, n)
                 signature, row = signatures(token, bounds, rule, frequent)
                 doc = ids[part.first + row]
@@ -466,7 +467,7 @@ def similar_groups(
     Rows are told apart by a stored number of their own, so repeated and missing ids link like
     any other. Tokens are 64-bit hashes; equal sets are told by 128 bits.
     """
-    rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "jaccard-texts")
+    rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "jaccard-texts", compression="zstd")
     found = components_of_texts(rows.select(F.col("_row").alias("doc_id"), "text"), n, percent).select(
         F.col("doc_id").alias("_found"), "n_shingles", "component_id"
     )
@@ -492,7 +493,7 @@ def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataF
 
     Compared are rows, whose ids may be missing (the smallest) or repeated.
     """
-    rows = numbered(docs, "near-input")
+    rows = numbered(docs, "near-input", compression="zstd")
     found = components_of_texts(rows.select(F.col("_row").alias("doc_id"), "text"), n, percent).select(
         F.col("doc_id").alias("_gone"), "component_id"
     )

@@ -251,7 +251,7 @@ def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` (columns of documents) with every found span masked; other texts are left as they are."""
-    rows = numbered(docs, "secret-input")
+    rows = numbered(docs, "secret-input", compression="zstd")
     kinds = dict(docs.dtypes)
     found = scan_secrets(rows, id_col="_row").filter(F.col("spans") != "")
     spans = by_size(found.select(F.col("doc_id").alias("found_id"), F.col("spans").alias("found_spans")), "secret-spans")

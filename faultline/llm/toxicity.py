@@ -350,7 +350,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Texts go to Python to be scored, and only row numbers and scores come back.
     """
     model = fit(docs, labels)
-    rows = numbered(docs, "toxicity-input")
+    rows = numbered(docs, "toxicity-input", compression="zstd")
     scored = rows.select("_row", "text").mapInArrow(score_rows(model), "doc_id long, score double")
     gone = scored.filter(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("_gone"))
     return without_rows(rows, gone, "toxic-rows")
