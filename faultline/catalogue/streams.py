@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.catalogue.incidents import as_of
-from faultline.catalogue.registry import Tables, log_view, query, second, sql_second, with_log
+from faultline.catalogue.registry import Tables, log_view, query, second, sql_second, sql_stamp, stamp, with_log
 from faultline.operators import timeline
 from faultline.session import new_folder
 from faultline.sources.growing import file_system, follow_text
 from faultline.sources.streams import stream_csv, stream_json_documents, stream_table, stream_text
-from faultline.streaming import monitor
+from faultline.streaming import monitor, runs
 from faultline.streaming.lifecycle import alert_changes
 
 # Events in a JSON document or CSV file that a stream finds.
@@ -129,6 +129,45 @@ def stream_alert_changes(t: Tables) -> DataFrame:
     )
 
 
+def _runs_sql(where: str, gap: str, totals: str) -> str:
+    """Closed runs of a service: with no pause over the gap, and over a day and the gap before the last event."""
+    return with_log(
+        f"""
+SELECT service, {sql_stamp("min(timestamp)")} AS started_at, {sql_stamp("max(timestamp)")} AS ended_at, {totals}
+FROM (SELECT *, sum(fresh) OVER (PARTITION BY service ORDER BY timestamp, seq) AS run
+      FROM (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY service ORDER BY timestamp, seq)
+                                <= INTERVAL '{gap}' THEN 0 ELSE 1 END AS fresh FROM chosen))
+GROUP BY service, run
+HAVING max(timestamp) + INTERVAL '{gap}' <= (SELECT max(timestamp) FROM chosen) - INTERVAL '1 day'""",
+        f"chosen AS (SELECT * FROM log_events WHERE {where})",
+    )
+
+
+def _written_runs(t: Tables, found: DataFrame) -> DataFrame:
+    path = new_folder(t.spark, "runs")
+    runs.write_runs(found, path, new_folder(t.spark, "state"), once=True).awaitTermination()
+    return t.spark.read.parquet(path).withColumns(
+        {"started_at": stamp("started_at"), "ended_at": stamp("ended_at")}
+    )
+
+
+@query(_runs_sql("level IN ('ERROR', 'FATAL')", "30 minutes", "count(*) AS n_errors"))
+def stream_error_sessions(t: Tables) -> DataFrame:
+    """Error sessions of a stream, as far as its watermark has closed them."""
+    return _written_runs(t, runs.session_stream(_event_stream(t)))
+
+
+@query(
+    _runs_sql(
+        "true", "1 hour", "count(*) AS n_events, count(*) FILTER (WHERE level = 'ERROR') AS n_errors,"
+        " round(count(*) FILTER (WHERE level = 'ERROR') / count(*), 6) AS error_rate"
+    )
+)
+def stream_ending_rates(t: Tables) -> DataFrame:
+    """Error rates of services, each from when it is heard of until it is silent for an hour."""
+    return _written_runs(t, runs.ending_rates(_event_stream(t))).withColumn("error_rate", F.round("error_rate", 6))
+
+
 @query(
     with_log(
         """

@@ -178,3 +178,27 @@ def test_events_of_all_days_pass_the_json_and_csv_streams(spark, monkeypatch):
         landed = spark.read.parquet(f"{out}/events")
         assert landed.select("source_file").distinct().count() > 1
         assert days(landed) == whole
+
+
+def test_runs_end_and_their_state_with_them(spark, make_events, tmp_path):
+    from faultline.operators import sessions
+    from faultline.streaming import runs
+
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    # Each service fails for a while and is never heard of again; one late row belongs to a closed run.
+    rows = [("i", n * 60, "ERROR" if n % 3 else "INFO", f"s{n // 40}", "m") for n in range(400)]
+    parts = [rows[:200], rows[200:], [("i", 30, "ERROR", "s0", "late"), ("i", 400 * 60, "ERROR", "s9", "m")]]
+    kept = []
+    for part in parts:
+        events = make_events(part)
+        events.write.mode("append").parquet(source)
+        stream = stream_table(spark, source, events.schema)
+        query = runs.write_runs(runs.session_stream(stream, "10 minutes", "5 minutes"), out, state, once=True)
+        query.awaitTermination()
+        kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"] if query.lastProgress else None)
+    found = sorted((r.service, r.started_at, r.ended_at, r.n_errors) for r in spark.read.parquet(out).collect())
+    batch = sessions.error_sessions(make_events(rows), 10).collect()
+    want = sorted((r.service, r.started_at, r.ended_at, r.n_errors) for r in batch)
+    # All but the last run are closed, each once; the late row has changed none of them.
+    assert found == want[:-1] and len(found) == 9
+    assert max(k for k in kept if k is not None) <= 3
