@@ -9,6 +9,8 @@ ordered lists of identifiers, and no long text moves again.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,26 @@ from faultline.llm.skew import attach, held, numbered, without_rows
 WHITE = " \t\n\x0b\x0c\r"
 # Chunk lengths in code points, and the marks that may end a chunk.
 SHORTEST, LONGEST = 1024, 8192
-MARKS = r"[.,;:!?|][A-ZÀ-Þ0-9]"
+LATIN = range(0x21, 0x250)
+
+
+def characters(codes: Iterable[int]) -> str:
+    return "[" + "".join(f"\\u{c:04X}" for c in codes) + "]"
+
+
+# A mark is fixed by two neighbouring characters, whatever their case, or by one of a script beyond Latin: an eighth of
+# its code points, in short runs for alphabets and signs and longer ones for the rest.
+MARKS = (
+    characters(c for c in LATIN if c % 8 == 4)
+    + characters(c for c in LATIN if c % 4 == 1)
+    + r"|(?=[\u0250-\uFFFF])["
+    + "".join(f"\\u{c:04X}-\\u{c + 3:04X}" for c in range(0x260, 0x2000, 32))
+    + "".join(f"\\u{c:04X}-\\u{c + 15:04X}" for c in range(0x2000, 0xD800, 128))
+    + r"\uE000-\uFFFF]|(?=[\x{10000}-\x{10FFFF}])["
+    + "".join(f"\\x{{{c:X}}}-\\x{{{c + 3:X}}}" for c in range(0x1F000, 0x20000, 32))
+    + "".join(f"\\x{{{c:X}}}-\\x{{{c + 15:X}}}" for c in range(0x20000, 0x30000, 128))
+    + "]"
+)
 
 
 def normalised(text: Column) -> Column:

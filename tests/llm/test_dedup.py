@@ -38,6 +38,28 @@ def test_chunks_give_the_text_back(spark, odd_texts):
         assert all(len(c) <= 64 for c in r.c)
 
 
+def test_an_insertion_changes_few_chunks_in_any_script(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    alphabets = {
+        "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOP", "digits": "0123456789", "french": "éàèçabcdeiou",
+        "chinese": [chr(c) for c in range(0x4E00, 0x9000, 7)], "russian": [chr(c) for c in range(0x410, 0x450)],
+        "korean": [chr(c) for c in range(0xAC00, 0xD000, 11)], "emoji": [chr(c) for c in range(0x1F600, 0x1F640)],
+    }
+    rows = []
+    for name, letters in alphabets.items():
+        text = "".join(rng.choice(letters) for _ in range(40_000))
+        rows += [(name, 0, text), (name, 1, letters[0] + text), (name, 2, text[:20_000] + letters[1] * 3 + text[20_000:])]
+    frame = spark.createDataFrame(rows, "name string, n int, t string")
+    found = {(r.name, r.n): r.c for r in frame.select("name", "n", exact_dedup.chunks(F.col("t")).alias("c")).collect()}
+    for name in alphabets:
+        whole = found[name, 0]
+        assert 20 <= len(whole) <= 40
+        for n in (1, 2):
+            assert len(set(whole) & set(found[name, n])) >= 0.7 * len(whole), (name, n)
+
+
 def test_exact_dedup_of_repeated_rows_null_ids_and_none(make_docs):
     rows = exact_dedup.exact_groups(make_docs(["a b", "a b", "ab", "c"], [1, 1, None, 2])).collect()
     assert len(rows) == 4
