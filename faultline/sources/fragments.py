@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.plans.cut import cut
-from faultline.plans.joins import broadcast_if_small
+from faultline.plans.joins import broadcast_if_small, lookup_join
 from faultline.sources.numbering import pin_splits
 
 # Fragments that are turned into Python texts at once.
@@ -276,6 +276,14 @@ def json_documents(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     Parts (source_file, number, text, last, base, ends_closed): the objects of an array, each with what stands before
     it; the last part, numbered after them, is what follows the last object.
     """
+    # A line break between a closing and an opening brace stands in no document: such a file has a value per line.
+    lined = F.bool_or(F.col("text").rlike(r"^[ \t\r]*\n\s*\{"))
+    kinds = cut(rows.groupBy("source_file").agg(lined.alias("lined")))
+    by_line = kinds.filter("lined").select("source_file")
+    if kinds.filter("NOT lined").isEmpty():
+        parts = "source_file string, number long, text string, last boolean, base int, ends_closed boolean"
+        return rows.sparkSession.createDataFrame([], parts), by_line
+    rows = lookup_join(rows, kinds.filter("NOT lined").select("source_file"), ["source_file"], "left_semi")
     blocks = cut(json_blocks(rows))
     wanted = blocks.withColumn("wanted", F.col("base").isNotNull()).drop("ends_closed")
     asked = by_block(json_measures(rows).drop("file_size"), wanted).select(
@@ -289,7 +297,7 @@ def json_documents(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = F.when(F.col("last") & ~F.col("ends_closed"), F.substring("text", F.lit(1), F.length("text") - 1))
     return (
         parts.join(broadcast_if_small(files), "source_file").withColumn("text", F.coalesce(text, "text")),
-        files.filter("base IS NULL").select("source_file"),
+        files.filter("base IS NULL").select("source_file").unionByName(by_line),
     )
 
 
