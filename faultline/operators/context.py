@@ -23,7 +23,7 @@ from faultline.operators.metrics import (
     service_lists,
 )
 from faultline.plans.joins import lookup_join
-from faultline.plans.ranking import exact_row_number, first_n, neighbours
+from faultline.plans.ranking import exact_row_number, first_n, rows_before
 from faultline.schema import (
     FIRST_ERRORS,
     KEY_EVENTS,
@@ -117,19 +117,13 @@ def question_answer_pairs(
     text: str = "text",
 ) -> DataFrame:
     """Each user turn with the assistant turn that comes right after it."""
-    numbered = exact_row_number(turns, [conversation], [turn], "place")
-    paired = neighbours(
-        numbered,
-        numbered.filter(F.col(role) == "user"),
-        [conversation],
-        [role, text],
-        [1],
-        number="place",
-        prefix="next_",
-        how="inner",
-    )
-    return paired.filter(F.col(f"next_{role}") == "assistant").select(
-        conversation, turn, F.col(text).alias("question"), F.col(f"next_{text}").alias("answer")
+    answers = F.col(role) == "assistant"
+    paired = rows_before(turns, [conversation], [turn], answers, 1, [turn, role, text])
+    return paired.filter(F.col(f"before_{role}") == "user").select(
+        conversation,
+        F.col(f"before_{turn}").alias(turn),
+        F.col(f"before_{text}").alias("question"),
+        F.col(text).alias("answer"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.operators.metrics import ORDER, is_failure
-from faultline.plans.ranking import exact_row_number, neighbours
+from faultline.plans.ranking import rows_before
 
 
 def error_sessions(
@@ -49,14 +49,4 @@ def events_before(
     order: Sequence[str] = ORDER,
 ) -> DataFrame:
     """The ``n`` events that precede each anchor event in its incident."""
-    numbered = exact_row_number(events, ["incident_id"], list(order), "place")
-    return neighbours(
-        numbered,
-        numbered.filter(anchors_when),
-        ["incident_id"],
-        columns,
-        [-i for i in range(1, n + 1)],
-        number="place",
-        prefix="before_",
-        how="inner",
-    )
+    return rows_before(events, ["incident_id"], list(order), anchors_when, n, columns)

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,7 +7,7 @@ from pyspark.sql import functions as F
 from faultline.operators import search
 from faultline.operators import timeline
 from faultline.plans.joins import held_lookup, lookup_join
-from faultline.plans.ranking import exact_row_number, first_n
+from faultline.plans.ranking import exact_row_number, rows_before, first_n
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -82,6 +84,33 @@ def test_null_keys_are_numbered_too(spark):
     assert found == {(None, 1): 1, (None, 2): 2, ("a", 1): 1}
 
 
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_rows_before_reach_over_partitions(spark, partitions):
+    rng = random.Random(partitions)
+    keys = [None, "a", "b", "hot", "hot", "hot", "hot", "c"]
+    rows = [(rng.choice(keys), i, rng.random() < 0.3, None if i % 5 == 0 else f"v{i}", {"k": str(i)}) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, at int, wanted boolean, v string, m map<string,string>")
+    df = df.withColumn("time", F.timestamp_seconds("at"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = rows_before(df.repartition(3), ["key"], ["at"], F.col("wanted"), 3, ["at", "v", "time"])
+        got = sorted((str(r.key), r.at, r.before_offset, r.before_at, r.before_v, r.before_time.timestamp(), r.m["k"]) for r in found.collect())
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    want = []
+    for key in set(keys):
+        own = [r for r in rows if r[0] == key]
+        want += [
+            (str(key), r[1], -d, own[i - d][1], own[i - d][3], float(own[i - d][1]), r[4]["k"])
+            for i, r in enumerate(own) if r[2] for d in (1, 2, 3) if i >= d
+        ]
+    assert [g[:4] for g in got] == [w[:4] for w in sorted(want, key=lambda w: w[:3])]
+    assert {str(g) for g in got} == {str(w) for w in want}
+
+
 def test_lookup_size_counts_bytes(spark):
     wide = spark.range(3).select(F.repeat(F.lit("x"), 1000).alias("v"))
     assert held_lookup(wide)[1] and not held_lookup(wide, max_bytes=2000)[1] and not held_lookup(wide, max_rows=2)[1]
