@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,13 +49,15 @@ def runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.RecordBatch]]:
             yield batch.column(0)[int(start)].as_py(), int(blocks[start]), batch.slice(start, end - start)
 
 
+Measure = Callable[[pa.Array], list[np.ndarray]]
 Ends = Callable[[list[np.ndarray], tuple[int, int]], tuple[np.ndarray, tuple[int, int]]]
 
 
-def join_fragments(ends: Ends, glue: str):
+def join_fragments(ends: Ends, glue: str, measure: Measure | None = None):
     """mapInArrow over (source_file, block, fragments, state, depth, text, measures...): PLACED.
 
-    ``ends`` tells which fragments end a record, and the state after them. A block's first
+    ``ends`` tells which fragments end a record, and the state after them, from what ``measure`` finds in the
+    texts, if there is one, and from the measures that stand behind the text. A block's first
     record may have begun before it (HEAD), and its last text may go on behind it (TAIL).
     """
 
@@ -76,7 +79,8 @@ def join_fragments(ends: Ends, glue: str):
                         due = part.column(2)[0].as_py()
                         state = part.column(3)[0].as_py(), part.column(4)[0].as_py()
                     seen += part.num_rows
-                    measures = [c.to_numpy(zero_copy_only=False) for c in part.columns[LEADING + 1 :]]
+                    measures = measure(part.column(LEADING)) if measure else []
+                    measures += [c.to_numpy(zero_copy_only=False) for c in part.columns[LEADING + 1 :]]
                     stops, state = ends(measures, state)
                     texts, rows, first = part.column(LEADING).to_pylist(), [], 0
                     for stop in np.flatnonzero(stops):
@@ -108,12 +112,12 @@ def by_block(rows: DataFrame, states: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("wanted", lost)).drop("_file", "_block")
 
 
-def records(rows: DataFrame, ends: Ends, glue: str) -> tuple[DataFrame, DataFrame]:
+def records(rows: DataFrame, ends: Ends, glue: str, measure: Measure | None = None) -> tuple[DataFrame, DataFrame]:
     """(source_file, number, text) of all records from 1, and (source_file, records, text) of what is left of each file.
 
     ``rows``: what :func:`join_fragments` reads. The records are checkpointed once.
     """
-    found = cut(rows.mapInArrow(join_fragments(ends, glue), PLACED))
+    found = cut(rows.mapInArrow(join_fragments(ends, glue, measure), PLACED))
     earlier = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = found.groupBy("source_file", "block").agg(F.count_if(F.col("kind") != TAIL).alias("_n"))
     before = cut(counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))))
@@ -148,35 +152,37 @@ def count_of(text: Column, characters: str) -> Column:
 # --- JSON: fragments end at closing braces -----------------------------------------------------
 
 
-def json_measures(rows: DataFrame) -> DataFrame:
-    """What each fragment does, if it starts outside a string (0) or inside one (1): quotes, depth, line breaks in strings."""
-    plain = F.when(F.contains("text", F.lit("\\")), F.regexp_replace("text", r"(?s)\\.", "")).otherwise(F.col("text"))
-    strings = r'"[^"]*(?:"|$)'
-    outside = F.when(F.contains("_plain", F.lit('"')), F.regexp_replace("_plain", strings, "")).otherwise(F.col("_plain"))
-    inside = F.when(
-        F.contains("_plain", F.lit('"')), F.regexp_replace(F.concat(F.lit('"'), "_plain"), strings, "")
-    ).otherwise(F.lit(""))
+def json_measures(texts: pa.Array) -> list[np.ndarray]:
+    """What each fragment does, if it starts outside a string (0) or inside one (1).
 
-    def depth(name: str) -> Column:
-        return count_of(F.col(name), "{[") - count_of(F.col(name), "]")
-
-    def broken(name: str) -> Column:
-        return count_of(F.col("_plain"), "\n\r") > count_of(F.col(name), "\n\r")
-
-    return (
-        rows.withColumn("_plain", plain)
-        .withColumns({"_0": outside, "_1": inside})
-        .withColumns(
-            {
-                "quotes": count_of(F.col("_plain"), '"') % 2,
-                "depth0": depth("_0"),
-                "depth1": depth("_1"),
-                "broken0": broken("_0"),
-                "broken1": broken("_1"),
-            }
-        )
-        .drop("_plain", "_0", "_1")
-    )
+    Quotes (odd or even), depth0, depth1, and whether a line break stands in a string: broken0, broken1. A
+    closing brace counts in no depth; fragments are those between closing braces.
+    """
+    texts = texts.cast(pa.large_string())
+    if pc.any(pc.match_substring(texts, "\\")).as_py():
+        texts = pc.replace_substring_regex(texts, r"(?s)\\.", "")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    octets = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    starts, ends = ends[:-1] - ends[0], ends[1:] - ends[0]
+
+    def summed(values: np.ndarray) -> np.ndarray:
+        running = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+        return running[ends] - running[starts]
+
+    quote = octets == ord('"')
+    running = np.concatenate([[0], np.cumsum(quote, dtype=np.int64)])
+    # Whether each octet stands in a string, if its fragment starts outside one.
+    inside = ((running[1:] - np.repeat(running[starts], ends - starts)) % 2).astype(bool)
+    deeper = ((octets == ord("{")) | (octets == ord("["))).astype(np.int8) - (octets == ord("]"))
+    line_break = (octets == ord("\n")) | (octets == ord("\r"))
+    return [
+        (running[ends] - running[starts]) % 2,
+        summed(np.where(inside, 0, deeper)),
+        summed(np.where(inside, deeper, 0)),
+        summed(line_break & inside) > 0,
+        summed(line_break & ~inside) > 0,
+    ]
 
 
 def json_states(quotes: np.ndarray, depth0: np.ndarray, depth1: np.ndarray, state: tuple[int, int]):
@@ -188,9 +194,9 @@ def json_states(quotes: np.ndarray, depth0: np.ndarray, depth1: np.ndarray, stat
 
 
 def json_ends(measures: list[np.ndarray], state: tuple[int, int]) -> tuple[np.ndarray, tuple[int, int]]:
-    """Records end with a brace that closes down to the depth in the fourth measure."""
+    """Records end with a brace that closes down to the depth in the last measure."""
     _, after, depth = json_states(*measures[:3], state)
-    return (after == 0) & (depth == measures[3]), (int(after[-1]), int(depth[-1]))
+    return (after == 0) & (depth == measures[-1]), (int(after[-1]), int(depth[-1]))
 
 
 SUMMARY = (
@@ -200,7 +206,7 @@ SUMMARY = (
 
 
 def sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over (source_file, block, file_size, bytes, first, measures...): SUMMARY, one row per block of a task.
+    """mapInArrow over (source_file, block, file_size, bytes, first, text): SUMMARY, one row per block of a task.
 
     ``closed`` counts returns to depth 0 and ``more`` tells of text after the first, both as if the block began a file.
     """
@@ -209,7 +215,7 @@ def sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, block, part in runs(batch):
             size, first = part.column(2)[0].as_py(), part.column(4).to_pylist()
             octets = int(part.column(3).to_numpy().sum())
-            quotes, depth0, depth1, broken0, broken1 = (c.to_numpy(zero_copy_only=False) for c in part.columns[5:])
+            quotes, depth0, depth1, broken0, broken1 = json_measures(part.column(5))
             own = blocks.setdefault((file, block), [size, 0, 0, (0, 0), (1, 0), False, False, 0, False, None])
             at_return = own[7]
             for side, (place, flag) in enumerate(((3, 5), (4, 6))):
@@ -241,10 +247,9 @@ def json_blocks(rows: DataFrame) -> DataFrame:
 
     ``base``: 1 for a file that may be one array, 0 for one that may be one object, null for any other.
     """
-    measured = json_measures(rows).select(
+    measured = rows.select(
         "source_file", "block", "file_size", (F.octet_length("text") + 1).cast("long").alias("bytes"),
-        F.substring(F.ltrim(F.col("text"), F.lit(" \t\n\r")), 1, 1).alias("first"),
-        "quotes", "depth0", "depth1", "broken0", "broken1",
+        F.substring(F.ltrim(F.col("text"), F.lit(" \t\n\r")), 1, 1).alias("first"), "text",
     )
     blocks = cut(measured.mapInArrow(sum_blocks, SUMMARY))
     order = Window.partitionBy("source_file").orderBy("block")
@@ -286,10 +291,10 @@ def json_documents(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = lookup_join(rows, kinds.filter("NOT lined").select("source_file"), ["source_file"], "left_semi")
     blocks = cut(json_blocks(rows))
     wanted = blocks.withColumn("wanted", F.col("base").isNotNull()).drop("ends_closed")
-    asked = by_block(json_measures(rows).drop("file_size"), wanted).select(
-        "source_file", "block", "fragments", "state", "depth", "text", "quotes", "depth0", "depth1", "base"
+    asked = by_block(rows.drop("file_size"), wanted).select(
+        "source_file", "block", "fragments", "state", "depth", "text", "base"
     )
-    found, rests = records(asked, json_ends, "}")
+    found, rests = records(asked, json_ends, "}", json_measures)
     rest = rests.select("source_file", (F.col("records") + 1).alias("number"), "text")
     parts = found.withColumn("last", F.lit(False)).unionByName(rest.withColumn("last", F.lit(True)))
     files = blocks.groupBy("source_file").agg(F.max("base").alias("base"), F.bool_or("ends_closed").alias("ends_closed"))

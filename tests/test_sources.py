@@ -2,12 +2,14 @@ import csv
 import io
 import json
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import timeline
-from faultline.sources import files, growing, scenarios
+from faultline.sources import files, fragments, growing, scenarios
 from faultline.sources.numbering import number_records
 
 
@@ -312,3 +314,42 @@ def test_scenarios(spark, tmp_path):
     events = spark.createDataFrame([("db_pool", 1), ("other", 2)], "scenario string, n int")
     joined = scenarios.with_scenario(events, scenarios.read_catalogue(spark, str(tmp_path))).collect()
     assert [(r.scenario, r.name, r.services) for r in joined] == [("db_pool", "Pool", ["db"])]
+
+
+def test_measures_of_fragments():
+    texts = ['{"a\\"{": "x[', 'y]\n{"', '', '\n[{', 'é"\\\\"[', 'no']
+
+    def by_character(text, inside):
+        quotes = depth = broken = 0
+        plain = re.sub(r"(?s)\\.", "", text)
+        for c in plain:
+            if c == '"':
+                inside, quotes = not inside, quotes + 1
+            elif inside:
+                broken += c in "\n\r"
+            else:
+                depth += (c in "{[") - (c == "]")
+        return quotes % 2, depth, broken > 0
+
+    for some in (pa.array(texts), pa.array(["x", *texts]).slice(1)):
+        quotes, depth0, depth1, broken0, broken1 = (m.tolist() for m in fragments.json_measures(some))
+        assert list(zip(quotes, depth0, broken0)) == [by_character(t, False) for t in texts]
+        assert [d for d in zip(depth1, broken1)] == [by_character(t, True)[1:] for t in texts]
+
+
+def test_each_json_text_is_read_once(spark):
+    rows = spark.createDataFrame([("f", 1, '{"a": 1, "a": 2}')], "source_file string, line_number long, element string")
+    read = files._json_rows(rows).filter("reason IS NULL")
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("element" in line for line in plan.splitlines() if "Filter" in line)
+    assert [r.fields for r in read.collect()] == [{"a": "2"}]
+
+
+def test_many_ranges_get_wider():
+    reader = growing.GrowingReader("/none", ["log"], 1 << 16)
+    found = reader.partitions({"a": 10}, {"a": 10 + (1 << 30), "b": 100})
+    assert len(found) <= growing.TASKS + 2
+    assert [(r.start, r.end) for r in found if r.file == "b"] == [(0, 100)]
+    mine = [r for r in found if r.file == "a"]
+    assert mine[0].start == 10 and mine[-1].end == 10 + (1 << 30)
+    assert all(x.end == y.start for x, y in zip(mine, mine[1:]))
