@@ -155,7 +155,8 @@ def json_object(text: Column) -> Column:
     """
     wrapped = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), f"v {_FIELDS}")["v"]
     alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    return F.when(text.startswith("{") & alone, last_of_each_key(wrapped))
+    # Bound to a name of its own, the map is read once and not at each place that asks for it.
+    return F.when(text.startswith("{") & alone, F.get(F.transform(F.array(wrapped), last_of_each_key), F.lit(0)))
 
 
 def last_of_each_key(fields: Column) -> Column:
@@ -169,7 +170,9 @@ def _json_rows(elements: DataFrame) -> DataFrame:
     """Raw rows of JSON texts that should each be one object."""
     text = F.col("element")
     good = F.col("fields").isNotNull()
-    return elements.withColumn("fields", json_object(text)).select(
+    # Made by a generator, which filters on the reason don't pass: each text is read once.
+    read = elements.select("*", F.inline(F.array(F.struct(json_object(text).alias("fields")))))
+    return read.select(
         "source_file",
         "line_number",
         _null("string").alias("line"),
@@ -191,16 +194,21 @@ def document_elements(parts: DataFrame) -> DataFrame:
 
     An array's first part begins with a bracket, each further one with a comma, and the last ends with a bracket.
     """
-    text, number, last = strip(F.col("text")), F.col("number"), F.col("last")
+    text, number, last, inner, listed = (F.col(c) for c in ("_text", "number", "last", "_inner", "_listed"))
     first, nothing = number == 1, F.lit("")
-    opened = F.when(first, text.startswith("[")).otherwise(text.startswith(",") | (last & (text == "]")))
-    closed = ~last | text.endswith("]")
     # What is left without the opening mark and, in the last part, without the bracket at its end.
     begin = F.when(first | text.startswith(","), 2).otherwise(1)
-    inner = strip(F.substring(text, begin, F.length(text) - begin + F.when(last, 0).otherwise(1)))
+    own = strip(F.substring(text, begin, F.length(text) - begin + F.when(last, 0).otherwise(1)))
+    staged = (
+        parts.withColumn("_text", strip(F.col("text")))
+        .withColumn("_inner", F.when(F.col("base") == 1, own))
+        .withColumn("_one", inner.startswith("{") & ~last)
+        .withColumn("_listed", F.concat(F.lit("["), inner, F.lit("]")))
+    )
+    opened = F.when(first, text.startswith("[")).otherwise(text.startswith(",") | (last & (text == "]")))
+    closed = ~last | text.endswith("]")
     may_be_empty = last & ~text.startswith(",")
-    listed = F.concat(F.lit("["), inner, F.lit("]"))
-    one = inner.startswith("{") & ~last
+    one = F.col("_one")
     none = F.array().cast("array<string>")
     in_array = F.struct(
         F.when(one, F.array(inner)).when(inner == "", none).otherwise(json_array(listed)).alias("elements"),
@@ -213,7 +221,7 @@ def document_elements(parts: DataFrame) -> DataFrame:
         F.when(last, none).otherwise(F.array(text)).alias("elements"),
         F.when(last, whole_end).otherwise(first & is_json(text)).alias("valid"),
     )
-    read = parts.withColumn("_read", F.when(F.col("base") == 1, in_array).otherwise(alone))
+    read = staged.withColumn("_read", F.when(F.col("base") == 1, in_array).otherwise(alone))
     return read.select("source_file", "number", "last", "_read.elements", F.coalesce("_read.valid", F.lit(False)).alias("valid"))
 
 
@@ -233,7 +241,8 @@ def raw_json(spark: SparkSession, paths: Sequence[str], extensions: Sequence[str
     if others:
         scan = _by_extension(spark, others).option("lineSep", "}").text(list(paths))
         parts, no_documents = json_documents(fragments(scan))
-        read = document_elements(parts)
+        # Asked twice, for files with a flaw and for the elements of the others.
+        read = cut(document_elements(parts))
         spoilt = cut(read.filter(~F.col("valid")).select("source_file").distinct())
         place = F.col("number") + F.when(F.col("last"), F.col("_at")).otherwise(0)
         found.append(
