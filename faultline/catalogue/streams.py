@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -238,12 +239,12 @@ GROWTHS = 3
 
 def _grow_logs(t: Tables, folder: str, step: int) -> None:
     """One log per day, as far as it is written by a step; but for the last, a step ends in the middle of a line."""
-    line = F.concat(second("timestamp"), F.lit(" "), "level", F.lit(" "), "service", F.lit(": #"), F.col("seq").cast("string"))
+    line = F.concat(second("timestamp"), F.lit(" "), "level", F.lit(" "), "service", F.lit(": #"), F.col("seq").cast("string"), F.lit("\n"))
     third = F.floor(F.hour("timestamp") / (24 / GROWTHS)).cast("int") + 1
     lines = t.log_events.select("incident_id", "seq", line.alias("line"), third.alias("step"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Lines of a day follow each other; a repeated task writes the same files anew."""
+        """Lines of a day follow each other by step; a repeated task writes the same files anew."""
         system, root = file_system(folder)
         day, out, cut = None, None, False
 
@@ -252,22 +253,30 @@ def _grow_logs(t: Tables, folder: str, step: int) -> None:
             system.move(f"{root}/{day}.new", f"{root}/{day}.log")
 
         for batch in batches:
-            for own, _, text, due in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            days = batch.column(0).dictionary_encode().indices.to_numpy()
+            edges = [0, *(np.flatnonzero(days[1:] != days[:-1]) + 1), batch.num_rows]
+            texts = batch.column(2).cast(pa.large_string())
+            ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = memoryview(texts.buffers()[2])
+            dues = batch.column(3).to_numpy()
+            for first, last in zip(edges[:-1], edges[1:], strict=True):
+                own = batch.column(0)[int(first)].as_py()
                 if own != day:
                     if out:
                         close()
                     day, out, cut = own, system.open_output_stream(f"{root}/{own}.new"), False
-                data = text.encode() + b"\n"
-                if due <= step:
-                    out.write(data)
-                elif not cut:
-                    out.write(data[: len(data) // 2])
+                # Lines lie end to end, those of this step and the ones before it in front.
+                here = first + int((dues[first:last] <= step).sum())
+                out.write(data[ends[first] : ends[here]])
+                if here < last and not cut:
+                    out.write(data[ends[here] : (ends[here] + ends[here + 1]) // 2])
                     cut = True
         if out:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([0])], names=["done"])
 
-    ordered = lines.repartition("incident_id").sortWithinPartitions("incident_id", "seq")
+    # By step first: a line of a later step must not stand between those of this one.
+    ordered = lines.repartition("incident_id").sortWithinPartitions("incident_id", "step", "seq")
     ordered.mapInArrow(write, "done long").agg(F.count("done")).collect()
 
 

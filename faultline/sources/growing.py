@@ -22,6 +22,8 @@ from faultline.schema import TEXT_EXTENSIONS
 
 # Bytes that one task reads of a file, that are read at once, and that a look for the last line end goes back by.
 SPLIT_BYTES, READ_BYTES, TAIL_BYTES = 64 << 20, 4 << 20, 64 << 10
+# Tasks of a trigger, about, before their ranges get wider than asked for, up to SPLIT_BYTES.
+TASKS = 256
 SCHEMA = "source_file string, position long, value string"
 
 
@@ -44,7 +46,7 @@ class Range(InputPartition):
 class GrowingFiles(DataSource):
     """``spark.readStream.format("growing_files").option("path", folder)``: SCHEMA, one row per whole line.
 
-    Options: ``extensions`` (comma-joined), ``split_bytes``. Every file below the folder has an entry in the
+    Options: ``extensions`` (comma-joined), ``split_bytes`` (more if a trigger has much to read). Every file below the folder has an entry in the
     offset, so logs should be moved away once they are done with. A file shorter than what was read of
     it was begun anew and is read from its start. A line without a line end waits until it has one.
     """
@@ -85,16 +87,14 @@ class GrowingReader(DataSourceStreamReader):
         return ends
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        out = []
-        for file, stop in sorted(end.items()):
-            floor = start.get(file, 0)
-            if floor > stop:
-                floor = 0
-            out += [
-                Range(file, at, min(at + self.split_bytes, stop), floor, stop)
-                for at in range(floor, stop, self.split_bytes)
-            ]
-        return out
+        floors = {file: start.get(file, 0) if start.get(file, 0) <= stop else 0 for file, stop in end.items()}
+        fresh = sum(stop - floors[file] for file, stop in end.items())
+        width = max(self.split_bytes, min(SPLIT_BYTES, fresh // TASKS))
+        return [
+            Range(file, at, min(at + width, stop), floors[file], stop)
+            for file, stop in sorted(end.items())
+            for at in range(floors[file], stop, width)
+        ]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(self.folder)
