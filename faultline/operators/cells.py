@@ -63,17 +63,20 @@ def dealt(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     return vectors.mapInPandas(deal, "vec_id long, embedding array<double>, cell int, angle double")
 
 
-def bounds_of_queries(queries: DataFrame, centroids: np.ndarray, cells: pd.DataFrame) -> DataFrame:
-    """(query_id, cell, bound): the greatest similarity that a vector of each cell can have to each query.
+def cells_to_open(queries: DataFrame, centroids: np.ndarray, cells: pd.DataFrame, k: int, floors: bool) -> DataFrame:
+    """(query_id, cell): the cells around each query, best bound first, until they hold ``k`` vectors.
 
-    A query knows all cells, of which there are at most CENTROIDS and one; it does not meet their vectors.
+    With ``floors``, the other cells whose bound reaches the ``floor`` of the query; a null floor opens all. The bound is
+    the greatest similarity that a vector of the cell can have. A query knows all cells, of which there are at most
+    CENTROIDS and one, and only those that it opens leave the task.
     """
+    cells = cells.sort_values("cell")
     shared = queries.sparkSession.sparkContext.broadcast(
-        (centroids, cells["cell"].to_numpy(), cells["radius"].to_numpy())
+        (centroids, cells["cell"].to_numpy(), cells["radius"].to_numpy(), cells["n"].to_numpy())
     )
 
-    def bound(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, cell, radius = shared.value
+    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres, cell, radius, n = shared.value
         for whole in frames:
             for start in range(0, len(whole), 512):
                 frame = whole.iloc[start : start + 512]
@@ -81,15 +84,18 @@ def bounds_of_queries(queries: DataFrame, centroids: np.ndarray, cells: pd.DataF
                 near = np.maximum(angles(unit, centres[np.maximum(cell, 0)]) - radius - SLACK, 0.0)
                 best = np.where(cell < 0, 0.0, np.cos(near))
                 best[~unit.any(axis=1)] = 0.0
-                yield pd.DataFrame(
-                    {
-                        "query_id": np.repeat(frame["query_id"].to_numpy(), len(cell)),
-                        "cell": np.tile(cell, len(frame)),
-                        "bound": best.ravel(),
-                    }
-                )
+                order = np.argsort(-best, axis=1, kind="stable")
+                held = np.cumsum(n[order], axis=1) - n[order]
+                opened = np.zeros(best.shape, dtype=bool)
+                np.put_along_axis(opened, order, held < k, axis=1)
+                if floors:
+                    floor = frame["floor"].to_numpy(dtype=np.float64, na_value=-np.inf)
+                    floor = np.where(np.isnan(floor), -np.inf, floor)
+                    opened = ~opened & (best >= floor[:, None] - SLACK)
+                row, column = np.nonzero(opened)
+                yield pd.DataFrame({"query_id": frame["query_id"].to_numpy()[row], "cell": cell[column]})
 
-    return queries.mapInPandas(bound, "query_id long, cell int, bound double")
+    return queries.mapInPandas(find, "query_id long, cell int")
 
 
 def search_cells(opened: DataFrame, queries: DataFrame, members: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
@@ -136,25 +142,13 @@ def nearest_in_cells(vectors: DataFrame, queries: DataFrame, k: int, most: int =
     members = cut(dealt(vectors, centroids))
     sizes = cut(members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")))
     # One row per cell: at most as many as centroids, and one.
-    bounds = cut(bounds_of_queries(queries, centroids, sizes.select("cell", "radius").toPandas()))
-    # The cells around a query, best bound first, until they hold k vectors.
-    near = first_n(bounds, ["query_id"], [F.desc("bound"), "cell"], k)
-    filled = lookup_join(near, sizes.select("cell", "n"), ["cell"])
-    held_before = filled.withColumn(
-        "before", F.expr("coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
-    )
-    first = cut(held_before.filter(F.col("before") < k).select("query_id", "cell"))
+    known = sizes.select("cell", "radius", "n").toPandas()
+    first = cut(cells_to_open(queries, centroids, known, k, False))
     seen = cut(search_cells(first, queries, members, sizes, k))
     kth = first_n(seen, ["query_id"], [F.desc("similarity"), "vec_id"], k)
     floors = kth.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("similarity").alias("floor"))
-    floors = cut(floors.select("query_id", F.when(F.col("found") == k, F.col("floor")).alias("floor")))
-    more = (
-        lookup_join(bounds, floors, ["query_id"], "left")
-        .filter(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - SLACK))
-        .join(first, ["query_id", "cell"], "left_anti")
-        .select("query_id", "cell")
-    )
-    more = cut(more)
+    floors = floors.select("query_id", F.when(F.col("found") == k, F.col("floor")).alias("floor"))
+    more = cut(cells_to_open(queries.join(floors, "query_id", "left"), centroids, known, k, True))
     found = seen.unionByName(search_cells(more, queries, members, sizes, k))
     return (
         first_n(found, ["query_id"], [F.desc("similarity"), "vec_id"], k, "rank"),

@@ -15,6 +15,8 @@ from faultline.plans.ranking import first_n
 # Query vectors that every task holds at once; more are searched block by block.
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 16384
+# As many best scores are looked for one by one; more are found by sorting.
+FEW_BEST = 16
 
 _RESULT = "query_id long, vec_id long, similarity double"
 
@@ -32,7 +34,15 @@ def _best(ids: np.ndarray, scores: np.ndarray, query_ids: np.ndarray, k: int) ->
     """The k best vectors of one batch for every query; ties go to the lower id."""
     by_id = np.argsort(ids, kind="stable")
     ids, scores = ids[by_id], scores[:, by_id]
-    keep = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    if k <= FEW_BEST:
+        keep = np.empty((len(scores), min(k, scores.shape[1])), dtype=np.int64)
+        left, rows = scores.copy(), np.arange(len(scores))
+        for place in range(keep.shape[1]):
+            # The first of equal scores, which is that of the lowest id.
+            keep[:, place] = left.argmax(axis=1)
+            left[rows, keep[:, place]] = -np.inf
+    else:
+        keep = np.argsort(-scores, axis=1, kind="stable")[:, :k]
     return pd.DataFrame(
         {
             "query_id": np.repeat(query_ids, keep.shape[1]),
