@@ -128,3 +128,11 @@ def test_times_need_utc(spark):
             timeline.to_events(spark.range(1), F.current_timestamp())
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_a_dealt_table_has_parts_for_each_split(spark):
+    from faultline.plans.cut import SPLIT_PARTS, spread
+
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(0, 100, 1, 3)).rdd.getNumPartitions() == max(cores, 3 * SPLIT_PARTS)
+    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == cores
