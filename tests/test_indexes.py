@@ -176,3 +176,35 @@ def test_merged_sketches_keep_the_rank_bound(spark):
         assert r.n == len(own)
         for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
             assert abs(np.searchsorted(own, r[name]) / len(own) - q) <= 2 * quantiles.RANK_ERROR
+
+
+def test_only_cells_to_open_leave_the_task(spark):
+    import numpy as np
+    import pandas as pd
+
+    from faultline.operators import cells
+
+    centroids = np.eye(4)
+    known = pd.DataFrame({"cell": [0, 1, 2, 3], "radius": [0.1] * 4, "n": [1, 5, 5, 5]})
+    asked = spark.createDataFrame([(7, [1.0, 0.2, 0.1, 0.0], 0.15)], "query_id long, embedding array<double>, floor double")
+    first = cells.cells_to_open(asked, centroids, known, 3, False).collect()
+    more = cells.cells_to_open(asked, centroids, known, 3, True).collect()
+    assert [tuple(r) for r in first] == [(7, 0), (7, 1)]
+    assert [tuple(r) for r in more] == [(7, 2)]
+
+
+def test_equal_texts_are_searched_once(spark, monkeypatch):
+    from faultline.operators import name_index
+
+    searched, plain = [], name_index.file_names
+
+    def watched(texts, *args):
+        searched.append(texts.count())
+        return plain(texts, *args)
+
+    monkeypatch.setattr(name_index, "file_names", watched)
+    texts = spark.createDataFrame([(n, f"call by user {n % 3}") for n in range(30)] + [(30, None)], "key long, text string")
+    names = spark.createDataFrame([("user 1", 1), ("call", 2)], "name string, priority int")
+    found = {r.key: r.name for r in name_index.first_names(texts, names).collect()}
+    assert found == {n: "user 1" if n % 3 == 1 else "call" for n in range(30)}
+    assert searched == [3]
