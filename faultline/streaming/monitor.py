@@ -137,17 +137,19 @@ def monitor(
 
         batch = batch.persist()
         try:
-            process(batch, save)
+            process(batch, batch_id, save)
         except Exception as error:
             save(scan_row(batch.sparkSession, f"error: {type(error).__name__}").withColumn("scan_time", now), "scans")
             raise
         finally:
             batch.unpersist()
 
-    def process(batch: DataFrame, save: Callable[[DataFrame, str], None]) -> None:
+    def process(batch: DataFrame, batch_id: int, save: Callable[[DataFrame, str], None]) -> None:
         events = prepare(batch)
         save(quarantined(batch), "quarantine")
         save(events, "events")
+        # Read back as written: the texts are not read once more for the alerts and again for the counts.
+        events = batch.sparkSession.read.schema(events.schema).parquet(f"{path}/events/scan_number={batch_id + 1}")
         alerts = error_rate_alerts(events, now, order=order).persist()
         save(alerts, "alerts")
         counts = events.agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("events")).unionByName(

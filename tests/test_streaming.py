@@ -202,3 +202,23 @@ def test_runs_end_and_their_state_with_them(spark, make_events, tmp_path):
     # All but the last run are closed, each once; the late row has changed none of them.
     assert found == want[:-1] and len(found) == 9
     assert max(k for k in kept if k is not None) <= 3
+
+
+def test_texts_of_a_scan_are_read_once(spark, make_events, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    made = make_events([("i", n, "ERROR", "s", "m") for n in range(10)]).withColumn("source_file", F.lit("f"))
+    made.withColumn("reason", F.lit(None).cast("string")).withColumn("raw", F.lit(None).cast("string")).write.parquet(source)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(level):
+        read.add(1)
+        return level
+
+    marked = F.udf(seen, "string").asNondeterministic()
+    stream = stream_table(spark, source, spark.read.parquet(source).schema)
+    monitor.monitor(
+        stream, lambda rows: rows.withColumn("level", marked("level")), out, state, F.current_timestamp(), once=True
+    ).awaitTermination()
+    assert spark.read.parquet(f"{out}/events").count() == 10
+    assert [r.events_processed for r in spark.read.parquet(f"{out}/scans").collect()] == [10]
+    assert read.value == 10
