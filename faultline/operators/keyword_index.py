@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from faultline.plans.ranking import first_n
 
 # Texts of a block, about; and folders that keywords are dealt to.
 BLOCK_TEXTS, BUCKETS = 4096, 64
+# Blocks, about, whose rows one folder's task writes.
+SLICE_BLOCKS = 256
 
 
 @dataclass
@@ -54,18 +58,22 @@ def build_index(
     reader of a keyword skips the rest by their least and greatest. ``key`` must be unique.
     """
     blocks = max(1, -(-documents.count() // block_texts))
-    words = documents.select(F.col(key).alias("key"), F.explode(words_of(F.col(text))).alias("keyword"))
-    counted = words.groupBy("keyword", "key").agg(F.count(F.lit(1)).alias("score"))
     block = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(blocks)).cast("int")
+    # Texts move once, to their block; their words are counted there, without a further exchange.
+    placed = documents.select(F.col(key).alias("key"), F.col(text).alias("_text")).withColumn("block", block)
+    words = placed.repartition("block").select("block", "key", F.explode(words_of(F.col("_text"))).alias("keyword"))
+    counted = words.groupBy("block", "keyword", "key").agg(F.count(F.lit(1)).alias("score"))
     entry = F.struct(F.col("key"), F.col("score"))
     rows = (
-        counted.withColumn("block", block)
-        .groupBy("keyword", "block")
+        counted.groupBy("block", "keyword")
         .agg(F.max("score").alias("greatest"), F.array_sort(F.collect_list(entry)).alias("entries"))
         .withColumn("bucket", bucket_of(F.col("keyword"), buckets))
     )
+    # Not by ranges, whose bounds would be found by counting all words once more. A folder's blocks are dealt to slices,
+    # so a keyword in every text is no single task's work.
+    slices = F.pmod("block", F.lit(-(-blocks // SLICE_BLOCKS)))
     (
-        rows.repartitionByRange("bucket", "keyword", "block")
+        rows.repartition("bucket", slices)
         .sortWithinPartitions("bucket", "keyword", "block")
         .write.partitionBy("bucket")
         .parquet(f"{path}/postings")
@@ -123,6 +131,28 @@ def search_index(index: KeywordIndex, queries: DataFrame, k: int) -> DataFrame:
         ["keyword", "block"],
         "left_semi",
     )
-    found = read.join(wanted, ["keyword", "block"]).select("query_id", F.explode("entries").alias("e"))
-    scored = found.groupBy("query_id", F.col("e.key").alias("key")).agg(F.sum("e.score").alias("score"))
-    return first_n(scored, ["query_id"], [F.desc("score"), "key"], k, "rank")
+    # A block's entries meet the queries that open it in one task, which passes on k rows per query.
+    words = queries.select("query_id", "keyword").distinct().groupBy("query_id").agg(F.collect_list("keyword").alias("keywords"))
+    asked = lookup_join(opened, words, ["query_id"])
+
+    def score(entries: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        if entries.empty or asking.empty:
+            return pd.DataFrame({"query_id": [], "key": [], "score": []})
+        place = {word: at for at, word in enumerate(entries["keyword"])}
+        keys = sorted({entry["key"] for some in entries["entries"] for entry in some})
+        at = {key: i for i, key in enumerate(keys)}
+        counts = np.zeros((len(place), len(keys)), dtype=np.int64)
+        for row, some in enumerate(entries["entries"]):
+            for entry in some:
+                counts[row, at[entry["key"]]] = entry["score"]
+        rows = []
+        for query, keywords in zip(asking["query_id"], asking["keywords"], strict=True):
+            total = counts[[place[word] for word in keywords if word in place]].sum(axis=0)
+            best = np.argsort(-total, kind="stable")[:k]
+            rows += [(query, keys[i], int(total[i])) for i in best if total[i] > 0]
+        return pd.DataFrame(rows, columns=["query_id", "key", "score"])
+
+    kinds = {"query_id": queries, "key": read.select(F.explode("entries.key").alias("key"))}
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c, rows in kinds.items()) + ", score long"
+    best = read.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(score, schema)
+    return first_n(best, ["query_id"], [F.desc("score"), "key"], k, "rank")
