@@ -207,7 +207,8 @@ def test_runs_end_and_their_state_with_them(spark, make_events, tmp_path):
 def test_texts_of_a_scan_are_read_once(spark, make_events, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     made = make_events([("i", n, "ERROR", "s", "m") for n in range(10)]).withColumn("source_file", F.lit("f"))
-    made.withColumn("reason", F.lit(None).cast("string")).withColumn("raw", F.lit(None).cast("string")).write.parquet(source)
+    nothing = {"reason": F.lit(None).cast("string"), "raw": F.lit(None).cast("string"), "line_number": F.lit(1)}
+    made.withColumns(nothing).write.parquet(source)
     read = spark.sparkContext.accumulator(0)
 
     def seen(level):
