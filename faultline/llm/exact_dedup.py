@@ -14,7 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.skew import attach, held, numbered, without_rows
+from faultline.llm.skew import attach, held, numbered_in_place, without_rows
 
 # What is deleted before texts are compared.
 WHITE = " \t\n\x0b\x0c\r"
@@ -113,7 +113,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, whole rows, in the columns of ``docs``; one row of each group, ids missing or repeated."""
-    rows = numbered(docs, "exact-input", compression="zstd")
+    rows = numbered_in_place(docs, "exact-input", compression="zstd")
     found = exact_groups(rows.select(F.struct("doc_id", "_row").alias("key"), "text"), id_col="key")
     gone = found.filter(~F.col("kept")).select(F.col("doc_id._row").alias("_gone"))
     return without_rows(rows, gone, "copies")

@@ -16,18 +16,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.graph import components
-from faultline.llm.skew import attach, by_size, held, numbered, without_rows
+from faultline.llm.skew import attach, fits, held, marked_rows, numbered, numbered_in_place, without_rows
+from faultline.llm.warc import file_system
 from faultline.llm.words import Sums, TextSlice, find_words, grams, lean, mix, text_slices
+from faultline.session import new_folder
 
 GROUP = 64  # members of a group: bits of a matrix row
 SENT_SLICE = 1 << 20  # bytes of text within which a signature is sent once
 FREQUENT = 1 << 16  # shingles that are told to every task as frequent: 512 kB
-CHUNKS, LARGEST_CHUNK = 16, 4096  # a larger family has so many chunks, until they reach the largest size
-CHUNK = 128  # documents of a family that meet in one task with as many others
+CHUNK = 512  # sets of a family that meet in one task with as many others; a larger family is cut by size and hash
+CHUNK_UNITS, UNIT_TASKS = 4, 4096  # pairs of chunks for a task, until there are so many tasks
+ROW_GROUP = 1 << 20  # bytes of sets in a file that are read at once
 
 
 class Rule:
@@ -289,18 +293,17 @@ def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def packed_sets(n: int):
-    """mapInArrow: (doc_id, family, chunk, chunks, text) to the same with the set as bytes in place of the text."""
+    """mapInArrow: (doc_id, unit, text) to the same with the set as bytes in place of the text."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch.column(4)):
+            for part in text_slices(batch.column(2)):
                 token, bounds = shingle_sets(part, n)
                 sets = [token[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 head = batch.slice(part.first, len(sets))
                 yield pa.RecordBatch.from_arrays(
-                    [*head.columns[:4], pa.array(sets, pa.binary())],
-                    names=["doc_id", "family", "chunk", "chunks", "tokens"],
+                    [*head.columns[:2], pa.array(sets, pa.binary())], names=["doc_id", "unit", "tokens"]
                 )
 
     return run
@@ -362,25 +365,136 @@ def link_sets(sets: list[np.ndarray], rule: Rule, chunk: np.ndarray | None = Non
     return union
 
 
+def links_of_sets(ids: np.ndarray, packed: list[bytes], chunk: np.ndarray | None, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b): each document that is joined with others, and the first of them."""
+    order = np.argsort(ids, kind="stable")
+    sets = [np.frombuffer(packed[i], dtype=np.uint64) for i in order]
+    union = link_sets(sets, rule, None if chunk is None else chunk[order])
+    root = np.array([union.root(i) for i in range(len(sets))], dtype=np.int64)
+    joined = root != np.arange(len(sets))
+    ids = ids[order]
+    return ids[joined], ids[root[joined]]
+
+
 def links_of_unit(rule: Rule):
-    """applyInArrow over the sets of a unit: one link per document to the first one it is joined with."""
+    """applyInArrow over the sets of a family: one link per document to the first one it is joined with."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
-        chunk = table.column("chunk").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        packed = table.column("tokens").to_pylist()
-        sets = [np.frombuffer(packed[i], dtype=np.uint64) for i in order]
-        across = chunk[order] if len(np.unique(chunk)) > 1 else None
-        union = link_sets(sets, rule, across)
-        root = np.array([union.root(i) for i in range(len(sets))])
-        joined = root != np.arange(len(sets))
-        ids = ids[order]
-        return pa.table({"a": ids[joined], "b": ids[root[joined]]})
+        a, b = links_of_sets(table.column("doc_id").to_numpy(), table.column("tokens").to_pylist(), None, rule)
+        return pa.table({"a": a, "b": b})
 
     return run
 
 
+def read_chunk(spans: list[dict]) -> tuple[np.ndarray, list[bytes]]:
+    """The ids and sets of a chunk, from the row groups of files that hold it: (file, first, n_sets) each."""
+    ids, sets = [np.zeros(0, dtype=np.int64)], []
+    for span in spans:
+        system, path = file_system(span["file"])
+        with system.open_input_file(path) as stream:
+            file = pq.ParquetFile(stream)
+            sizes = [file.metadata.row_group(g).num_rows for g in range(file.num_row_groups)]
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            first, stop = span["first"], span["first"] + span["n_sets"]
+            groups = [g for g in range(len(sizes)) if starts[g] < stop and starts[g + 1] > first]
+            found = file.read_row_groups(groups, ["doc_id", "tokens"], use_threads=False)
+            found = found.slice(first - int(starts[groups[0]]), span["n_sets"])
+            ids.append(found.column("doc_id").to_numpy())
+            sets += found.column("tokens").to_pylist()
+    return np.concatenate(ids), sets
+
+
+def links_of_chunks(rule: Rule):
+    """mapInArrow: (low, high), the spans of two chunks that meet, or twice of one, to links (a, b)."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit in batch.to_pylist():
+                ids, sets = read_chunk(unit["low"])
+                chunk = None
+                if unit["high"] != unit["low"]:
+                    others, more = read_chunk(unit["high"])
+                    chunk = np.repeat([0, 1], [len(ids), len(others)])
+                    ids, sets = np.concatenate([ids, others]), sets + more
+                a, b = links_of_sets(ids, sets, chunk, rule)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def members_with_texts(texts: DataFrame, dealt: DataFrame, label: str) -> DataFrame:
+    """(doc_id, unit, text) of the documents in ``dealt`` (_gone, unit).
+
+    Beyond what can be broadcast, only the texts of these documents are shuffled.
+    """
+    dealt = held(dealt, label)
+    if fits(dealt):
+        dealt = F.broadcast(dealt)
+    else:
+        marked = marked_rows(texts, dealt, f"{label}-bits", "doc_id")
+        texts = texts if marked is None else marked.filter("_marked")
+    return texts.join(dealt, F.col("doc_id") == F.col("_gone")).select("doc_id", "unit", "text")
+
+
+PACKED = "doc_id long, unit long, tokens binary"
+
+
+def links_within(texts: DataFrame, members: DataFrame, n: int, rule: Rule) -> DataFrame:
+    """Links (a, b) of the sets of small families, each whole in one task; ``members`` has (doc_id, family)."""
+    dealt = members.select(F.col("doc_id").alias("_gone"), F.col("family").alias("unit"))
+    sets = members_with_texts(texts, dealt, "family-members").mapInArrow(packed_sets(n), PACKED)
+    return sets.groupBy("unit").applyInArrow(links_of_unit(rule), "a long, b long")
+
+
+def links_across(texts: DataFrame, members: DataFrame, n: int, rule: Rule) -> DataFrame:
+    """Links (a, b) of the sets of large families; ``members`` has (doc_id, family, band).
+
+    A family is cut by band, where similar sets are in one band or in neighbouring ones, and a band into chunks by hash. Each set is
+    written once, beside the others of its chunk, and the tasks that compare chunks read them there, however many chunks a chunk meets.
+    """
+    spark = texts.sparkSession
+    keys = ["family", "band"]
+    cells = held(
+        members.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("int").alias("parts")), "family-bands"
+    )
+    chunk = F.xxhash64(*keys, "part")
+    dealt = (
+        members.join(F.broadcast(cells) if fits(cells) else cells, keys)
+        .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+        .select(F.col("doc_id").alias("_gone"), chunk.alias("unit"))
+    )
+    sets = members_with_texts(texts, dealt, "chunk-members").mapInArrow(packed_sets(n), PACKED)
+    folder = new_folder(spark, "chunks")
+    sets.repartition("unit").sortWithinPartitions("unit").write.option("parquet.block.size", ROW_GROUP).parquet(folder)
+    spans = (
+        spark.read.schema(sets.schema)
+        .parquet(folder)
+        .groupBy("unit", F.col("_metadata.file_path").alias("file"))
+        .agg(F.min("_metadata.row_index").alias("first"), F.count(F.lit(1)).alias("n_sets"))
+        .groupBy("unit")
+        .agg(F.sort_array(F.collect_list(F.struct("file", "first", "n_sets"))).alias("spans"))
+    )
+    every = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    every = held(every.withColumn("unit", chunk).join(spans, "unit").select(*keys, "part", "spans"), "chunk-spans")
+    low = every.select(*keys, F.col("part").alias("low_part"), F.col("spans").alias("low"))
+    high = every.select(
+        "family",
+        F.col("band").alias("high_band"),
+        F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"),
+        "part",
+        F.col("spans").alias("high"),
+    )
+    units = held(
+        low.join(high, keys)
+        .filter((F.col("high_band") > F.col("band")) | (F.col("part") >= F.col("low_part")))
+        .select("low", "high"),
+        "chunk-pairs",
+    )
+    tasks = min(UNIT_TASKS, -(-units.count() // CHUNK_UNITS))
+    return units.repartition(max(1, tasks)).mapInArrow(links_of_chunks(rule), "a long, b long")
+
+
 def families(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
     """(node, root): documents that share a class signature, directly or over others."""
     marks = docs.mapInArrow(signed(n, rule, frequent_shingles(docs, n)), SIGNED)
@@ -407,42 +521,23 @@ def components_of_texts(texts: DataFrame, n: int, percent: int) -> DataFrame:
     # Families are found among all documents, and compared by one document for each set.
     family = families(texts, n, rule)
     singles = equal.select(F.col("twin").alias("doc_id"), "size")
+    bands = F.array_position(F.transform(F.array(*map(F.lit, rule.high)), lambda most: most >= F.col("size")), True)
     members = held(
-        family.join(singles, F.col("node") == F.col("doc_id")).select("doc_id", F.col("root").alias("family"), "size"),
+        family.join(singles, F.col("node") == F.col("doc_id")).select(
+            "doc_id", F.col("root").alias("family"), (bands - 1).cast("int").alias("band")
+        ),
         "members",
     )
     counted = held(
         members.groupBy("family").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "families"
     )
-    # Each set is copied to as many units as its family has chunks.
-    size = F.greatest(F.lit(CHUNK), F.least(F.ceil(F.col("group_size") / F.lit(CHUNKS)), F.lit(LARGEST_CHUNK)))
-    chunks = F.ceil(F.col("group_size") / size).cast("int")
-    dealt = (
-        attach(members, counted.withColumn("chunks", chunks), "family", "doc_id", ["chunks"])
-        .filter("chunks is not null")
-        .select(
-            F.col("doc_id").alias("_id"),
-            "family",
-            "chunks",
-            F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"),
-        )
-    )
-    dealt = by_size(dealt, "family-members")
-    sets = (
-        texts.join(dealt, F.col("doc_id") == F.col("_id"))
-        .select("doc_id", "family", "chunk", "chunks", "text")
-        .mapInArrow(packed_sets(n), "doc_id long, family long, chunk int, chunks int, tokens binary")
-    )
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    units = sets.withColumn("other", other).select(
-        "doc_id",
-        "family",
-        F.least("chunk", "other").alias("low"),
-        F.greatest("chunk", "other").alias("high"),
-        "chunk",
-        "tokens",
+    sized = held(
+        attach(members, counted, "family", "doc_id", ["group_size"]).filter("group_size is not null"), "sized-members"
     )
-    links = units.groupBy("family", "low", "high").applyInArrow(links_of_unit(rule), "a long, b long")
+    links = links_within(texts, sized.filter(F.col("group_size") <= CHUNK), n, rule)
+    large = sized.filter(F.col("group_size") > CHUNK)
+    if not large.isEmpty():
+        links = links.unionByName(links_across(texts, large, n, rule))
     joined = components(links)
     named = equal.join(joined, F.col("twin") == F.col("node"), "left").select(
         "set_key", "group_size", F.coalesce("root", "twin").alias("component_id")
@@ -493,7 +588,7 @@ def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataF
 
     Compared are rows, whose ids may be missing (the smallest) or repeated.
     """
-    rows = numbered(docs, "near-input", compression="zstd")
+    rows = numbered_in_place(docs, "near-input", compression="zstd")
     found = components_of_texts(rows.select(F.col("_row").alias("doc_id"), "text"), n, percent).select(
         F.col("doc_id").alias("_gone"), "component_id"
     )

@@ -47,6 +47,40 @@ def numbered(df: DataFrame, label: str, name: str = "_row", compression: str = "
     return held(df.withColumn(name, F.monotonically_increasing_id()), label, compression)
 
 
+def lies_in_files(df: DataFrame) -> bool:
+    """Whether ``df`` is Parquet files as they lie, each read once, with columns chosen or made at most."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or "_metadata" in df.columns:
+        return False
+    relation = plan.relation()
+    if relation.getClass().getSimpleName() != "HadoopFsRelation" or relation.fileFormat().toString() != "Parquet":
+        return False
+    files = list(relation.location().inputFiles())
+    return len(set(files)) == len(files)
+
+
+def numbered_in_place(df: DataFrame, label: str, name: str = "_row", compression: str = "snappy") -> DataFrame:
+    """``numbered`` without a copy of rows that lie in Parquet files: their number is the file's and the place in it.
+
+    Files are never overwritten while they are read, and their rows keep their places; other rows are held.
+    Only the names of the files reach the driver.
+    """
+    if not lies_in_files(df):
+        return numbered(df, label, name, compression)
+    short_batches(df.sparkSession)
+    if name in df.columns:
+        df = df.withColumnRenamed(name, own_name(name))
+    file, start = f"{name}~file", f"{name}~start"
+    paths = sorted(r[0] for r in df.select(F.col("_metadata.file_path").alias(file)).distinct().collect())
+    starts = df.sparkSession.createDataFrame(
+        [(path, n << 33) for n, path in enumerate(paths)], f"`{file}` string, `{start}` long"
+    )
+    found = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(name))
+    return found.join(F.broadcast(starts), file).withColumn(name, F.col(f"`{start}`") + F.col(name)).drop(file, start)
+
+
 def own_name(name: str) -> str:
     return f"{name}~own"
 
@@ -58,20 +92,50 @@ def unnumbered(df: DataFrame, name: str = "_row") -> DataFrame:
 
 def without_rows(rows: DataFrame, gone: DataFrame, label: str, name: str = "_row") -> DataFrame:
     """The rows of ``numbered`` whose number is not in ``gone`` (_gone), without the number."""
-    gone = by_size(gone, label)
+    gone = held(gone, label)
+    if fits(gone):
+        return unnumbered(rows.join(F.broadcast(gone), F.col(name) == F.col("_gone"), "left_anti"), name)
+    marked = marked_rows(rows, gone, f"{label}-bits", name)
+    if marked is not None:
+        return unnumbered(marked.filter(~F.col("_marked")).drop("_marked"), name)
     return unnumbered(rows.join(gone, F.col(name) == F.col("_gone"), "left_anti"), name)
 
 
+def marked_rows(rows: DataFrame, numbers: DataFrame, label: str, name: str = "_row") -> DataFrame | None:
+    """``rows`` with ``_marked``: whether their number is in ``numbers`` (_gone), by a bit per number that every task holds.
+
+    Numbers are never missing. None if the bits are too many to be broadcast.
+    """
+    bits = held(
+        numbers.groupBy(F.bitmap_bucket_number("_gone").alias("_bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("_gone")).alias("_bits")
+        ),
+        label,
+    )
+    if not fits(bits):
+        return None
+    place = f"bitmap_bit_position(`{name}`)"
+    byte = f"cast(conv(hex(substring(_bits, cast({place} div 8 as int) + 1, 1)), 16, 10) as int)"
+    bit = F.expr(f"shiftright({byte}, cast({place} % 8 as int)) & 1")
+    found = rows.join(F.broadcast(bits), F.bitmap_bucket_number(name) == F.col("_bucket"), "left")
+    return found.withColumn("_marked", F.coalesce(bit, F.lit(0)) == 1).drop("_bucket", "_bits")
+
+
+def fits(kept: DataFrame) -> bool:
+    """Whether the counted rows and bytes of a held table allow its broadcast."""
+    wide = [F.octet_length(f"`{c}`") for c, kind in kept.dtypes if kind in ("string", "binary")]
+    width = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(8 * len(kept.columns)))
+    size = kept.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return size.rows <= SENT_ROWS and size.bytes <= SENT_BYTES
+
+
 def by_size(df: DataFrame, label: str) -> DataFrame:
     """A held table of narrow rows, marked for broadcast if its counted rows and bytes allow it.
 
     Beyond the bounds it is returned as it is, and a join with it shuffles both sides.
     """
     kept = held(df, label)
-    wide = [F.octet_length(f"`{c}`") for c, kind in kept.dtypes if kind in ("string", "binary")]
-    width = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(8 * len(kept.columns)))
-    size = kept.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
-    return F.broadcast(kept) if size.rows <= SENT_ROWS and size.bytes <= SENT_BYTES else kept
+    return F.broadcast(kept) if fits(kept) else kept
 
 
 def attach(

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.skew import held, numbered, without_rows
+from faultline.llm.skew import held, numbered_in_place, without_rows
 from faultline.llm.words import few_rows, lean
 
 # The classifier is fitted on at most so many labelled rows, those of the smallest id hashes.
@@ -350,7 +350,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Texts go to Python to be scored, and only row numbers and scores come back.
     """
     model = fit(docs, labels)
-    rows = numbered(docs, "toxicity-input", compression="zstd")
+    rows = numbered_in_place(docs, "toxicity-input", compression="zstd")
     scored = rows.select("_row", "text").mapInArrow(score_rows(model), "doc_id long, score double")
     gone = scored.filter(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("_gone"))
     return without_rows(rows, gone, "toxic-rows")
