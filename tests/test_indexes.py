@@ -193,6 +193,37 @@ def test_only_cells_to_open_leave_the_task(spark):
     assert [tuple(r) for r in more] == [(7, 2)]
 
 
+def test_vectors_move_once_where_no_cell_is_ruled_out(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    points = [(i, rng.normal(size=16).tolist()) for i in range(400)]
+    points += [(1000 + i, (3.0 * np.array(points[i][1])).tolist()) for i in range(0, 400, 40)] + [(900, [0.0] * 16)]
+    held, plain = [], cells.cut
+    monkeypatch.setattr(cells, "cut", lambda df: held.append(plain(df)) or held[-1])
+    monkeypatch.setattr(cells, "LEAST_PART", 64)
+    vectors = spark.createDataFrame(points, "vec_id long, embedding array<double>").repartition(3)
+    found, opened = cells.nearest_in_cells(vectors, vectors.withColumnRenamed("vec_id", "query_id"), 3)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    assert {q: [row[n] for n in (1, 2, 3)] for q, row in got.items()} == neighbours_by_hand(points, points, 3)
+    # Every query opens nearly every cell, and still no table is as long as queries times cells.
+    n, n_cells = len(points), opened.select("cell").distinct().count()
+    assert opened.count() > n * n_cells / 2
+    tasks = cells.TASKS * spark.sparkContext.defaultParallelism
+    shares = -(-tasks // min(tasks, -(-n // 64)))
+    assert max(df.count() for df in held) <= 3 * n * shares < n * n_cells / 2
+    with_vectors = [df for df in held if "embedding" in df.columns]
+    assert [df.count() for df in with_vectors] == [n]
+
+
+def test_best_of_many_equal_scores():
+    best = cells.Best(3, 2)
+    best.meet(np.array([0, 2]), np.arange(50, 90), np.tile([[0.5], [0.25]], 40))
+    best.meet(np.array([0, 1, 2]), np.array([7, 95]), np.array([[0.5 + 1e-15, 0.5], [0.1, 0.2], [0.1, 0.9]]))
+    assert best.ids.tolist() == [[7, 50], [95, 7], [95, 50]]
+    assert best.scores.tolist() == [[0.5, 0.5], [0.2, 0.1], [0.9, 0.25]]
+
+
 def test_equal_texts_are_searched_once(spark, monkeypatch):
     from faultline.operators import name_index
 
