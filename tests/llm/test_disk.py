@@ -1,13 +1,11 @@
 """What stages write to disk: no text a second time, no set once more for every chunk it meets."""
 
-import glob
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from faultline.llm import exact_dedup, jaccard, skew, toxicity
-from faultline.session import shared_folder
 
 
 def texts_with_families(copies=40):
@@ -23,19 +21,17 @@ def texts_with_families(copies=40):
 
 
 @pytest.fixture
-def new_folders(spark):
-    """The folders below the shared one that came since, by label."""
-    root = shared_folder(spark).removeprefix("file:")
-    before = set(glob.glob(f"{root}/*"))
+def new_folders(monkeypatch):
+    """The folders that are made from now on, by label."""
+    made, plain = [], skew.new_folder
 
-    def found(label=""):
-        return [f for f in glob.glob(f"{root}/{label}*") if f not in before]
+    def watched(spark, label):
+        made.append(plain(spark, label))
+        return made[-1]
 
-    return found
-
-
-def columns_of(spark, folder):
-    return spark.read.parquet(folder).columns if glob.glob(f"{folder}/*.parquet") else []
+    monkeypatch.setattr(skew, "new_folder", watched)
+    monkeypatch.setattr(jaccard, "new_folder", watched)
+    return lambda label="": [f for f in made if f.rsplit("/", 1)[1].startswith(label)]
 
 
 def test_stages_write_no_text_that_lies_in_files(spark, tmp_path, make_docs, new_folders):
@@ -54,7 +50,7 @@ def test_stages_write_no_text_that_lies_in_files(spark, tmp_path, make_docs, new
         held = sorted(r.doc_id for r in stage(docs.localCheckpoint()).select("doc_id").collect())
         assert sorted(r.doc_id for r in stay.select("doc_id").collect()) == held
     # Rows that lie in no file are held once; only a labelled sample has texts besides.
-    wrote = [f for f in new_folders() if "text" in columns_of(spark, f) and "/toxicity-" not in f]
+    wrote = [f for f in new_folders() if "text" in spark.read.parquet(f).columns and "/toxicity-" not in f]
     assert sorted(f.rsplit("/", 1)[1].rsplit("-", 1)[0] for f in wrote) == ["exact-input", "near-input"]
 
 
